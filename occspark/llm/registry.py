@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .langid import op4_langid
 from .neardup import op3_neardup
+from .packing import op8_packing
+from .quality import op7_quality
+from .sharding import op6_sharding
 
 QUERIES = {
     "op3_neardup": op3_neardup,
+    "op4_langid": op4_langid,
+    "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
 }
 #: DuckDB twins; queries without one are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
