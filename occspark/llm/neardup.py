@@ -6,10 +6,12 @@ full sets decide. Which values of a sketch are listed follows from the overlap t
 linked documents must have: with at least T common values among s, one of the s - T + 1
 rarest is common, so values that half the corpus shares need no list.
 
-Within a list no two-by-two pairs are emitted. Every member is compared with a few hubs
-first; linked members merge, and only members outside their list's main component are then
-compared with the members of other components. Links that are left out join documents that
-are already in one component, so components are exact.
+Within a list no two-by-two pairs are emitted. Every member is compared with two hubs first,
+and linked members merge. Lists that still hold several components are drawn anew from their
+members' full sets, where a linked pair must share one of the rarest 1 - threshold of all
+values. What is then outside a list's main component is compared with the members of other
+components that it may be linked with. Links that are left out join documents of one
+component, so components are exact.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -30,8 +32,6 @@ from .storage import stored
 
 #: Chance, for one linked pair, that its sketches look unlike. Sets T.
 MISS = 1e-9
-#: Hubs of each list that all its members are compared with at first.
-HUBS = 2
 #: Rows of a table that may be broadcast (16 to 40 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -70,21 +70,44 @@ def sketches(docs: DataFrame, words: int, k: int, full: bool = False) -> DataFra
     return thin.mapInArrow(lambda it: _shingle_batches(it, words, k, full), "doc_id long, n int, fp binary, values array<long>")
 
 
-def _candidate_lists(reps: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """(v, fp): each set below its rarest values, where another set has the value too."""
+def _lists(rows: DataFrame) -> DataFrame:
+    """(v, fp, n, s, score) from rows (fp, n, need, values): each set below its rarest common values.
+
+    Two sets with at least ``need`` values in common, as both their rows say, meet in a list.
+    Values that no other row has make none; s is how many values of the set others have, and
+    score is higher the more sets share them.
+    """
+    each = rows.select("fp", "n", "need", F.explode("values").alias("v"))
+    often = each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(often, "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
+    kept = shared.where("size(common) >= need").withColumn("s", F.size("common"))
+    return kept.select("fp", "n", "s", "score", F.explode(F.slice("common", F.lit(1), F.col("s") - F.col("need") + 1)).alias("x")).select(F.col("x.v").alias("v"), "fp", "n", "s", "score")
+
+
+def _need_of_sketch(k: int, threshold: Fraction) -> Column:
+    """How many values of its sketch a set must share with the sketch of any linked set."""
     t, n = float(threshold), F.col("n").cast("double")
     # a set of at most k values is its own sketch; a partner may be larger and hold values beyond its k
     small = F.greatest(F.lit(1.0), F.ceil(n * t - 1e-9) - F.greatest(F.lit(0.0), F.floor(n / t + 1e-9) - k))
-    need = F.when(F.col("n") > k, F.lit(least_overlap(k, threshold))).otherwise(small.cast("int"))
-    rows = reps.select("fp", need.alias("need"), F.explode("values").alias("v"))
-    often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = rows.join(often, "v").groupBy("fp", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"))
-    listed = shared.where("size(common) >= need").select("fp", F.explode(F.slice("common", F.lit(1), F.expr("size(common) - need + 1"))).alias("x")).select(F.col("x.v").alias("v"), "fp")
-    return listed
+    return F.when(F.col("n") > k, F.lit(least_overlap(k, threshold))).otherwise(small.cast("int"))
+
+
+def _with_hubs(lists: DataFrame) -> DataFrame:
+    """(a, b): every member of a list with its hubs. Hubs: the member whose values most sets share, and a random one."""
+    hubs = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max_by("fp", F.struct("score", F.xxhash64("fp"))).alias("h0"), F.min_by("fp", F.xxhash64("fp")).alias("h1")).where("c > 1")
+    return _distinct_pairs(lists.select("v", "fp").join(hubs, "v").select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array("h0", "h1"))).alias("b")))
+
+
+def _unsettled(lists: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members, with their components, of the lists that more than one component has members in; and those lists' main components."""
+    tagged = lists.join(placed, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    sizes = tagged.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("v").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("members")).where("roots > 1 and members > 2").select("v", "main")
+    return tagged, main
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k: int, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of prints whose full sets are similar enough."""
+def _likely(pairs: DataFrame, reps: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and whose union's sketch allow the similarity, with na and nb."""
     side = lambda x: reps.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"s{x}"))
     p, q = threshold.numerator, threshold.denominator
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -92,18 +115,25 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k:
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * F.lit(q) >= F.greatest("na", "nb") * F.lit(p))
     # a union of at most k values is known whole; else its k least values are a sample of it
     fewest = F.when(F.size(F.array_union("sa", "sb")) <= k, F.ceil(F.size(union) * float(threshold) - 1e-9)).otherwise(F.lit(least_overlap(k, threshold)))
-    likely = sized.where(both >= fewest)
-    likely = stored(likely.select("a", "b", "na", "nb"), "likely")
-    wanted = stored(likely.select(F.col("a").alias("fp")).union(likely.select("b")).distinct().join(reps.select("fp", "first_id"), "fp"), "wanted")
+    return stored(sized.where(both >= fewest).select("a", "b", "na", "nb"), "likely")
+
+
+def _full_sets(fps: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(fp, n, values): the whole sets of some prints (column fp), hashed anew from one document of each."""
+    wanted = stored(fps.distinct().join(reps.select("fp", "first_id"), "fp"), "wanted")
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = sketches(own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), words, k, full=True)
-    sets = stored(sets.select("fp", "values").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    sets = sketches(own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), words, 0, full=True)
+    return stored(sets.select("fp", "n", "values").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+
+def _linked(likely: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The likely pairs whose full sets are similar enough."""
+    p, q = threshold.numerator, threshold.denominator
     full = lambda x: sets.select(F.col("fp").alias(x), F.col("values").alias(f"f{x}"))
-    inter = F.size(F.array_intersect("fa", "fb"))
-    done = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "na", "nb", inter.alias("i"))
+    done = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("fa", "fb")).alias("i"))
     return stored(done.where(F.col("i").cast("long") * q >= (F.col("na") + F.col("nb") - F.col("i")).cast("long") * p).select("a", "b"), "links")
 
 
@@ -116,29 +146,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     Equal sets count as one node, so repeated rows and large groups of copies cost one
     sketch. Rows with a null doc_id keep it and never name a component that has another id.
     """
+    p, q = threshold.numerator, threshold.denominator
     prints = stored(sketches(docs, words, k), "prints")
     reps = stored(prints.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("values").alias("values")), "reps")
-    lists = stored(_candidate_lists(reps, k, threshold), "lists")
-    # first round: every member with its list's hubs, the members of least print hash
-    hubs = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), *[F.min_by("fp", F.xxhash64("fp", F.lit(h))).alias(f"h{h}") for h in range(HUBS)]).where("c > 1")
-    star = lists.join(hubs, "v").select("fp", F.explode(F.array_distinct(F.array(*[F.col(f"h{h}") for h in range(HUBS)]))).alias("hub"))
-    links = _verified(_distinct_pairs(star.select(F.col("fp").alias("a"), F.col("hub").alias("b"))), reps, docs, words, k, threshold)
-    placed = stored(connected_components(links), "placed")
-    # second round: members outside the list's main component with all members of others
-    tagged = stored(lists.join(hubs.where(f"c > {HUBS}").select("v"), "v", "left_semi").join(placed, F.col("fp") == F.col("node"), "left").select("v", "fp", F.coalesce("root", "fp").alias("root")), "tagged")
-    sizes = tagged.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("v").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("v", "main")
-    outside = tagged.join(main, "v").where("root <> main").select("v", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    rest = outside.join(tagged.select("v", F.col("fp").alias("b"), F.col("root").alias("rb")), "v").where("ra <> rb").select("a", "b")
-    done = _distinct_pairs(star.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    more = _verified(_distinct_pairs(rest).join(done, ["a", "b"], "left_anti"), reps, docs, words, k, threshold)
-    roots = stored(connected_components(links.unionByName(more)), "roots")
+    lists = stored(_lists(reps.withColumn("need", _need_of_sketch(k, threshold))), "lists")
+    likely = _likely(_with_hubs(lists), reps, k, threshold)
+    sets = _full_sets(likely.select(F.col("a").alias("fp")).union(likely.select("b")), reps, docs, words)
+    links = _linked(likely, sets, threshold)
+    # lists that still have several components: lists of the rarest values of their members' full sets, which are far fewer
+    tagged, main = _unsettled(lists, stored(connected_components(links), "placed"))
+    open_sets = _full_sets(tagged.join(main, "v", "left_semi").select("fp"), reps, docs, words)
+    need = F.ceil(F.col("n").cast("long") * p / q - 1e-9).cast("int")
+    lists = stored(_lists(open_sets.withColumn("need", need)), "lists")
+    links = links.unionByName(_linked(_likely(_with_hubs(lists), reps, k, threshold), open_sets, threshold))
+    # what is outside a list's main component meets all other components, as far as the parts that others share allow
+    tagged, main = _unsettled(lists, stored(connected_components(links), "placed"))
+    tagged = stored(tagged.join(main, "v").select("v", "fp", "n", "s", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
+    left, right = (tagged.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("fp", "n", "s", "root", "out")]) for x in "ab")
+    most = F.least("sa", "sb")
+    may = (F.col("roota") != F.col("rootb")) & (~F.col("outb") | (F.col("fpa") < F.col("fpb"))) & (most * F.lit(q) >= (F.col("na") + F.col("nb") - most) * F.lit(p))
+    rest = left.where("outa").join(right.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & may)
+    links = links.unionByName(_linked(_likely(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, k, threshold), open_sets, threshold))
+    roots = stored(connected_components(links), "roots")
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = stored(named.join(least, "root").where("not component_id <=> first_id or root <> fp").select(F.col("fp").alias("_fp"), "component_id"), "moved")
-    own = reps.select(F.col("fp").alias("_fp"), "first_id")
-    owners = stored(own.join(moved, "_fp", "left").select("_fp", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
-    return prints.join(owners, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # only sets whose component has a smaller id than their own first: few rows to join with all documents
+    moved = stored(named.join(least, "root").where("not (component_id <=> first_id)").select(F.col("fp").alias("moved_fp"), "component_id"), "moved")
+    owners = stored(reps.select(F.col("fp").alias("owned_fp"), "first_id").join(moved, F.col("owned_fp") == F.col("moved_fp"), "left").select("owned_fp", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
+    told = prints.select("doc_id", "n", "fp").join(owners, F.col("fp") == F.col("owned_fp"), "left")
+    return told.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
