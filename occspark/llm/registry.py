@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .langid import op4_langid
 from .neardup import op3_neardup
 from .packing import op8_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op10_decontaminate": op10_decontaminate,
 }
 #: DuckDB twins; queries without one are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
