@@ -6,10 +6,12 @@ from .decontaminate import op10_decontaminate
 from .langid import op4_langid
 from .neardup import op3_neardup
 from .packing import op8_packing
+from .pii import op2_pii
 from .quality import op7_quality
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_neardup": op3_neardup,
     "op4_langid": op4_langid,
     "op6_sharding": op6_sharding,
