@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .katz import op9_katz
 from .langid import op4_langid
 from .neardup import op3_neardup
 from .packing import op8_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_katz": op9_katz,
     "op10_decontaminate": op10_decontaminate,
 }
 #: DuckDB twins; queries without one are held against brute force in tests/llm.
