@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
+from .html import op5_html
 from .katz import op9_katz
 from .langid import op4_langid
 from .neardup import op3_neardup
@@ -10,11 +11,14 @@ from .packing import op8_packing
 from .pii import op2_pii
 from .quality import op7_quality
 from .sharding import op6_sharding
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_neardup": op3_neardup,
     "op4_langid": op4_langid,
+    "op5_html": op5_html,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
