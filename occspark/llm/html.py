@@ -256,7 +256,7 @@ _BEFORE = ('<header><p>{a}</p></header>', '<div class="cookie-notice"><p>{a}</p>
 
 
 #: What an article's own element becomes: tag and names.
-_WRAPPERS = (*["article."] * 6, "main.", "div.", "section.", "div.content", "div.post", "div.article-body", "section.story")
+_WRAPPERS = (*["article."] * 12, "main.", "div.", "section.", "div.content", "div.post", "div.article-body", "section.story")
 
 
 def labelled(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | None:
