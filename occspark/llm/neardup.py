@@ -71,17 +71,18 @@ def sketches(docs: DataFrame, words: int, k: int, full: bool = False) -> DataFra
 
 
 def _lists(rows: DataFrame) -> DataFrame:
-    """(v, fp, n, s, score) from rows (fp, n, need, values): each set below its rarest common values.
+    """(v, fp, n, s, score, listed) from rows (fp, n, need, values): each set below its rarest common values.
 
     Two sets with at least ``need`` values in common, as both their rows say, meet in a list.
     Values that no other row has make none; s is how many values of the set others have, and
-    score is higher the more sets share them.
+    score is higher the more sets share them. listed: all values that the set is listed under.
     """
     each = rows.select("fp", "n", "need", F.explode("values").alias("v"))
     often = each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = each.join(often, "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
     kept = shared.where("size(common) >= need").withColumn("s", F.size("common"))
-    return kept.select("fp", "n", "s", "score", F.explode(F.slice("common", F.lit(1), F.col("s") - F.col("need") + 1)).alias("x")).select(F.col("x.v").alias("v"), "fp", "n", "s", "score")
+    listed = F.transform(F.slice("common", F.lit(1), F.col("s") - F.col("need") + 1), lambda x: x["v"])
+    return kept.select("fp", "n", "s", "score", listed.alias("listed")).withColumn("v", F.explode("listed"))
 
 
 def _need_of_sketch(k: int, threshold: Fraction) -> Column:
@@ -149,7 +150,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     p, q = threshold.numerator, threshold.denominator
     prints = stored(sketches(docs, words, k), "prints")
     reps = stored(prints.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("values").alias("values")), "reps")
-    lists = stored(_lists(reps.withColumn("need", _need_of_sketch(k, threshold))), "lists")
+    lists = stored(_lists(reps.withColumn("need", _need_of_sketch(k, threshold))).drop("listed"), "lists")
     likely = _likely(_with_hubs(lists), reps, k, threshold)
     sets = _full_sets(likely.select(F.col("a").alias("fp")).union(likely.select("b")), reps, docs, words)
     links = _linked(likely, sets, threshold)
@@ -161,11 +162,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     links = links.unionByName(_linked(_likely(_with_hubs(lists), reps, k, threshold), open_sets, threshold))
     # what is outside a list's main component meets all other components, as far as the parts that others share allow
     tagged, main = _unsettled(lists, stored(connected_components(links), "placed"))
-    tagged = stored(tagged.join(main, "v").select("v", "fp", "n", "s", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
-    left, right = (tagged.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("fp", "n", "s", "root", "out")]) for x in "ab")
+    tagged = stored(tagged.join(main, "v").select("v", "fp", "n", "s", "listed", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
+    left, right = (tagged.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("fp", "n", "s", "root", "out", "listed")]) for x in "ab")
     most = F.least("sa", "sb")
     may = (F.col("roota") != F.col("rootb")) & (~F.col("outb") | (F.col("fpa") < F.col("fpb"))) & (most * F.lit(q) >= (F.col("na") + F.col("nb") - most) * F.lit(p))
-    rest = left.where("outa").join(right.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & may)
+    once = F.array_min(F.array_intersect("listeda", "listedb")) == F.col("v")  # a pair counts in the first of the lists that both are in
+    rest = left.where("outa").join(right.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & may & once)
     links = links.unionByName(_linked(_likely(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, k, threshold), open_sets, threshold))
     roots = stored(connected_components(links), "roots")
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
