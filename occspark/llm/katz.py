@@ -1,6 +1,6 @@
 """Katz backoff bigram model over a corpus, and the probability of every document under it.
 
-The corpus is stored once as chunks: a few million tokens each, as codes into the chunk's own
+The corpus is stored once as chunks: about a million tokens each, as codes into the chunk's own
 vocabulary. Every exchange then moves one array for each chunk and bucket of keys, never a
 row for each token, and a key that a chunk holds a million times travels once, so a hot word
 or word pair costs no more than others:
@@ -33,9 +33,9 @@ from . import kernels
 from .storage import stored
 
 #: Tokens of a chunk, about; one document is never cut.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Keys that one bucket's task holds at once, about.
-BUCKET_KEYS = 2_500_000
+BUCKET_KEYS = 1_200_000
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 END = np.uint64(0xE27D_0000_0000_0001)
