@@ -27,12 +27,8 @@ def read_source_csv(spark: SparkSession, path: str, strict: bool = False) -> Dat
     names = [] if header is None else [x.strip().strip('"').replace('""', '"') for x in header[0].lstrip("﻿").split(";")]
     schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(names))])
     mode = "FAILFAST" if strict else "DROPMALFORMED"
-    before = spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")  # with it, ragged rows still count
-    try:
-        rows = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', schema=schema, mode=mode, enforceSchema=True)
-    finally:
-        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", before)
+    # with column pruning, ragged rows would still count
+    rows = spark.read.option("columnPruning", False).csv(path, sep=";", header=True, quote='"', escape='"', schema=schema, mode=mode, enforceSchema=True)
     return rows.toDF(*names) if names else rows
 
 
