@@ -81,7 +81,7 @@ def _lists(rows: DataFrame) -> DataFrame:
     often = each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = each.join(often, "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
     kept = shared.where("size(common) >= need").withColumn("s", F.size("common"))
-    listed = F.transform(F.slice("common", F.lit(1), F.col("s") - F.col("need") + 1), lambda x: x["v"])
+    listed = F.transform(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("s") - F.col("need") + 1)), lambda x: x["v"])
     return kept.select("fp", "n", "s", "score", listed.alias("listed")).withColumn("v", F.explode("listed"))
 
 
