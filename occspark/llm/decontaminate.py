@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 
@@ -165,9 +166,14 @@ def scan(texts: list[str | None], items: Items) -> list[list[tuple[object, int,
     return out
 
 
+def _id_type(benchmark: DataFrame) -> str:
+    """Item ids stay whole numbers, or else are text."""
+    return "long" if isinstance(benchmark.schema["item_id"].dataType, T.IntegralType) else "string"
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items, BLOCK_ITEM_BYTES of text at a time; an item is whole in one block."""
-    thin = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    thin = benchmark.select(F.col("item_id").cast(_id_type(benchmark)).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, ceil(size / BLOCK_ITEM_BYTES))
     for k in range(n):
@@ -183,9 +189,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     occur exactly. Null and empty texts hold nothing, an empty benchmark or table gives no
     rows, repeated rows and items match each.
     """
-    item_type = benchmark.schema["item_id"].dataType
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = f"doc_id long, item_id {item_type.simpleString()}, first_word long, n_words long, edits long"
+    schema = f"doc_id long, item_id {_id_type(benchmark)}, first_word long, n_words long, edits long"
     found = None
     for items in item_blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(items)
