@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +24,11 @@ from . import fixtures as FX
 #: The worked filter of the queries.
 WHERE = FI.FeatureFilter(after="2024-01-05", before="2024-01-20", categories=("Furto - click", "Furto - view", "Outros"), periods=("  À   TARDE  ", "pela manhã"), hour_start=22, hour_end=14)
 
-def _noisy(*columns: Column):
+def _noisy(columns: Callable[[], list[Column]]):
+    """A query of some expressions over the noisy cells; columns need a session, so they are made when it runs."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return FX.noisy(spark, sf_dir).select("id", *columns)
+        return FX.noisy(spark, sf_dir).select("id", *columns())
 
     return run
 
@@ -209,20 +212,20 @@ def month_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IM.coroner_month_targets(calendar, have, have.where("month <> 5"))
 
 QUERIES = {
-    "o3_predicates": _noisy(*[_flag(f("v"), n) for n, f in (("is_null", P.is_null_pattern), ("not_informed", P.is_not_informed), ("overflow", P.is_excel_overflow), ("zip", P.is_zip_code), ("dashed", P.is_dash_identifier), ("is_integer", P.is_valid_integer), ("is_numeric", P.is_valid_numeric), ("is_time", P.matches_time_pattern), ("descriptive", P.is_descriptive_text))]),
-    "o4_1_parse_date": _noisy(_text_date(V.parse_date_flexible("v")).alias("d"), V.normalize_date_iso("v").alias("iso"), V.convert_excel_serial_if_needed("v").alias("serial")),
-    "o4_7_parse_time": _noisy(V.parse_time_flexible("v").alias("t")),
-    "o4_8_clean_date": _noisy(V.clean_date("v").alias("cleaned")),
-    "o4_9_clean_time": _noisy(V.clean_time("v").alias("cleaned")),
-    "o4_10_clean_numeric": _noisy(V.clean_numeric("v").alias("cleaned")),
-    "o4_11_clean_integer": _noisy(V.clean_integer("v").alias("cleaned")),
-    "o4_12_clean_general": _noisy(V.clean_general("v").alias("cleaned"), X.source_text("v").alias("source_text")),
-    "o4_14_parse_source_number": _noisy(V.parse_source_number("v").alias("number"), V.parse_source_integer("v").alias("whole"), _flag(V.parse_source_flag("v"), "is_yes"), _flag(~V.parse_source_flag("v"), "is_no")),
-    "o4_17_parse_source_date": _noisy(_text_date(V.parse_source_date("v")).alias("d")),
-    "o4_19_normalize_period": _noisy(X.normalize_period("v").alias("period"), V.period_label(X.normalize_period("v")).alias("label"), V.period_sort(X.normalize_period("v")).alias("sort")),
-    "o4_21_occurrence_hour": _noisy(V.occurrence_hour("v").alias("hour")),
-    "o4_24_lookup_key": _noisy(X.normalize_lookup_key("v").alias("lookup_key"), X.normalize_text("v").alias("normalized_text"), X.normalize_name_column("v").alias("column_name")),
-    "o4_26_quantities": _noisy(V.record_quantity("v").alias("quantity"), V.drug_grams("v").alias("grams")),
+    "o3_predicates": _noisy(lambda: [*[_flag(f("v"), n) for n, f in (("is_null", P.is_null_pattern), ("not_informed", P.is_not_informed), ("overflow", P.is_excel_overflow), ("zip", P.is_zip_code), ("dashed", P.is_dash_identifier), ("is_integer", P.is_valid_integer), ("is_numeric", P.is_valid_numeric), ("is_time", P.matches_time_pattern), ("descriptive", P.is_descriptive_text))]]),
+    "o4_1_parse_date": _noisy(lambda: [_text_date(V.parse_date_flexible("v")).alias("d"), V.normalize_date_iso("v").alias("iso"), V.convert_excel_serial_if_needed("v").alias("serial")]),
+    "o4_7_parse_time": _noisy(lambda: [V.parse_time_flexible("v").alias("t")]),
+    "o4_8_clean_date": _noisy(lambda: [V.clean_date("v").alias("cleaned")]),
+    "o4_9_clean_time": _noisy(lambda: [V.clean_time("v").alias("cleaned")]),
+    "o4_10_clean_numeric": _noisy(lambda: [V.clean_numeric("v").alias("cleaned")]),
+    "o4_11_clean_integer": _noisy(lambda: [V.clean_integer("v").alias("cleaned")]),
+    "o4_12_clean_general": _noisy(lambda: [V.clean_general("v").alias("cleaned"), X.source_text("v").alias("source_text")]),
+    "o4_14_parse_source_number": _noisy(lambda: [V.parse_source_number("v").alias("number"), V.parse_source_integer("v").alias("whole"), _flag(V.parse_source_flag("v"), "is_yes"), _flag(~V.parse_source_flag("v"), "is_no")]),
+    "o4_17_parse_source_date": _noisy(lambda: [_text_date(V.parse_source_date("v")).alias("d")]),
+    "o4_19_normalize_period": _noisy(lambda: [X.normalize_period("v").alias("period"), V.period_label(X.normalize_period("v")).alias("label"), V.period_sort(X.normalize_period("v")).alias("sort")]),
+    "o4_21_occurrence_hour": _noisy(lambda: [V.occurrence_hour("v").alias("hour")]),
+    "o4_24_lookup_key": _noisy(lambda: [X.normalize_lookup_key("v").alias("lookup_key"), X.normalize_text("v").alias("normalized_text"), X.normalize_name_column("v").alias("column_name")]),
+    "o4_26_quantities": _noisy(lambda: [V.record_quantity("v").alias("quantity"), V.drug_grams("v").alias("grams")]),
     "o1_text_form": write_read_text,
     "o1_8_union_tables": evolve_and_union,
     "o5_1_profile_columns": profile_columns,
