@@ -271,6 +271,9 @@ def labelled(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] |
     if cuts and dice.random() < 0.5:  # a short article
         inside = inside[: cuts[min(len(cuts) - 1, dice.integers(0, 6))]]
         cuts = [c for c in cuts if c <= len(inside)]
+    if dice.random() < 0.2:  # one of a few words
+        inside = re.sub(r">([^<]{0,16})[^<]*", r">\1", inside[: cuts[0]] if cuts else inside)
+        cuts = [m.end() for m in re.finditer("</p>", inside)]
     if dice.random() < 0.3:  # and one in other blocks than paragraphs
         kind = ("div", "li", "blockquote", "td")[dice.integers(4)]
         inside = re.sub(r"(</?)p>", rf"\1{kind}>", inside)
