@@ -71,18 +71,20 @@ def sketches(docs: DataFrame, words: int, k: int, full: bool = False) -> DataFra
 
 
 def _lists(rows: DataFrame) -> DataFrame:
-    """(v, fp, n, s, score, listed) from rows (fp, n, need, values): each set below its rarest common values.
+    """(v, fp, n, rest, score, listed) from rows (fp, n, need, values): each set below its rarest common values.
 
     Two sets with at least ``need`` values in common, as both their rows say, meet in a list.
-    Values that no other row has make none; s is how many values of the set others have, and
-    score is higher the more sets share them. listed: all values that the set is listed under.
+    Values that no other row has make none. listed: all values that the set is listed under,
+    rarest first, in one order for all sets. rest: how many values that others have the set
+    holds from this one on. score is higher the more sets share a set's values.
     """
     each = rows.select("fp", "n", "need", F.explode("values").alias("v"))
     often = each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = each.join(often, "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
     kept = shared.where("size(common) >= need").withColumn("s", F.size("common"))
     listed = F.transform(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("s") - F.col("need") + 1)), lambda x: x["v"])
-    return kept.select("fp", "n", "s", "score", listed.alias("listed")).withColumn("v", F.explode("listed"))
+    each = kept.select("fp", "n", "s", "score", listed.alias("listed")).select("fp", "n", "s", "score", "listed", F.posexplode("listed").alias("at", "v"))
+    return each.withColumn("rest", F.col("s") - F.col("at")).drop("s", "at")
 
 
 def _need_of_sketch(k: int, threshold: Fraction) -> Column:
@@ -138,6 +140,14 @@ def _linked(likely: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return stored(done.where(F.col("i").cast("long") * q >= (F.col("na") + F.col("nb") - F.col("i")).cast("long") * p).select("a", "b"), "links")
 
 
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after some more links: those found so far are stars already."""
+    if links.isEmpty():
+        return placed
+    stars = placed.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return stored(connected_components(stars.unionByName(links)), "placed")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), k: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -153,23 +163,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     lists = stored(_lists(reps.withColumn("need", _need_of_sketch(k, threshold))).drop("listed"), "lists")
     likely = _likely(_with_hubs(lists), reps, k, threshold)
     sets = _full_sets(likely.select(F.col("a").alias("fp")).union(likely.select("b")), reps, docs, words)
-    links = _linked(likely, sets, threshold)
+    placed = stored(connected_components(_linked(likely, sets, threshold)), "placed")
     # lists that still have several components: lists of the rarest values of their members' full sets, which are far fewer
-    tagged, main = _unsettled(lists, stored(connected_components(links), "placed"))
+    tagged, main = _unsettled(lists, placed)
     open_sets = _full_sets(tagged.join(main, "v", "left_semi").select("fp"), reps, docs, words)
     need = F.ceil(F.col("n").cast("long") * p / q - 1e-9).cast("int")
     lists = stored(_lists(open_sets.withColumn("need", need)), "lists")
-    links = links.unionByName(_linked(_likely(_with_hubs(lists), reps, k, threshold), open_sets, threshold))
+    placed = _joined(placed, _linked(_likely(_with_hubs(lists), reps, k, threshold), open_sets, threshold))
     # what is outside a list's main component meets all other components, as far as the parts that others share allow
-    tagged, main = _unsettled(lists, stored(connected_components(links), "placed"))
-    tagged = stored(tagged.join(main, "v").select("v", "fp", "n", "s", "listed", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
-    left, right = (tagged.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("fp", "n", "s", "root", "out", "listed")]) for x in "ab")
-    most = F.least("sa", "sb")
+    tagged, main = _unsettled(lists, placed)
+    tagged = stored(tagged.join(main, "v").select("v", "fp", "n", "rest", "listed", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
+    left, right = (tagged.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("fp", "n", "rest", "root", "out", "listed")]) for x in "ab")
+    # a pair counts in the first list that both are in; all that they share comes from there on
+    most = F.least("resta", "restb")
     may = (F.col("roota") != F.col("rootb")) & (~F.col("outb") | (F.col("fpa") < F.col("fpb"))) & (most * F.lit(q) >= (F.col("na") + F.col("nb") - most) * F.lit(p))
-    once = F.array_min(F.array_intersect("listeda", "listedb")) == F.col("v")  # a pair counts in the first of the lists that both are in
+    once = F.get(F.array_intersect("listeda", "listedb"), F.lit(0)) == F.col("v")
     rest = left.where("outa").join(right.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & may & once)
-    links = links.unionByName(_linked(_likely(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, k, threshold), open_sets, threshold))
-    roots = stored(connected_components(links), "roots")
+    roots = _joined(placed, _linked(_likely(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, k, threshold), open_sets, threshold))
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # only sets whose component has a smaller id than their own first: few rows to join with all documents
