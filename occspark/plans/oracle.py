@@ -93,7 +93,7 @@ _DATES = "d BETWEEN date '2024-01-05' AND date '2024-01-20'"
 _CATS = "list_has_any(cats, ['Furto - click', 'Furto - view', 'Outros'])"
 _PERS = "p IN ('a tarde', 'pela manha')"
 _HOURS = "(h >= 22 OR h <= 14)"
-_NEAR = "longitude BETWEEN -46.5 - 10000 / 111320.0 AND -46.5 + 10000 / 111320.0 AND latitude BETWEEN -23.5 - 10000 / 111320.0 AND -23.5 + 10000 / 111320.0 AND 2 * 6371008.8 * asin(sqrt(pow(sin(radians(-23.5 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(-23.5)) * pow(sin(radians(-46.5 - longitude) / 2), 2))) <= 10000"
+_NEAR = "longitude BETWEEN -46.15 - 10000 / 111320.0 AND -46.15 + 10000 / 111320.0 AND latitude BETWEEN -23.12 - 10000 / 111320.0 AND -23.12 + 10000 / 111320.0 AND 2 * 6371008.8 * asin(sqrt(pow(sin(radians(-23.12 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(-23.12)) * pow(sin(radians(-46.15 - longitude) / 2), 2))) <= 10000"
 _BUCKETS = "list_distinct(list_append(rubs, category))"
 
 
@@ -177,7 +177,7 @@ SELECT feat.num_bo, delegacia, location_hash, (n - n_vei + coalesce(k, 0))::int
     "o7_2_categories": _counted("list_has_any(cats, ['Furto - click', 'Furto - view'])"),
     "o7_3_periods": _counted(_PERS),
     "o7_4_hours": _counted("h >= 22 OR h <= 5"),
-    "o7_5_bounds": _counted("longitude BETWEEN -46.6 AND -46.3 AND latitude BETWEEN -23.7 AND -23.2"),
+    "o7_5_bounds": _counted("longitude BETWEEN -46.2 AND -46.1 AND latitude BETWEEN -23.2 AND -23.1"),
     "o7_6_radius": _counted(_NEAR),
     "o7_7_tile_filter": _counted("d >= date '2024-01-05' AND list_contains(cats, 'Furto - click')"),
     "o8_2_category_stats": _categories(f"{_DATES} AND {_PERS} AND {_HOURS}"),

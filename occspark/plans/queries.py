@@ -107,7 +107,7 @@ def category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_stats_for_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-8.3."""
-    return ST.category_stats_for_location(FX.search_features(spark, sf_dir), -46.5, -23.5, 10_000)
+    return ST.category_stats_for_location(FX.search_features(spark, sf_dir), -46.15, -23.12, 10_000)
 
 def period_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-8.4."""
@@ -242,8 +242,8 @@ QUERIES = {
     "o7_2_categories": _count("O-7.2", lambda: FI.category_filter((" Furto - click ", "Furto - view", ""))),
     "o7_3_periods": _count("O-7.3", lambda: FI.period_filter(("  À   TARDE  ", "pela manhã"))),
     "o7_4_hours": _count("O-7.4", lambda: FI.hour_filter(22, 5)),
-    "o7_5_bounds": _count("O-7.5", lambda: FI.bounds_filter((-46.6, -23.7, -46.3, -23.2))),
-    "o7_6_radius": _count("O-7.6", lambda: FI.radius_filter(-46.5, -23.5, 10_000)),
+    "o7_5_bounds": _count("O-7.5", lambda: FI.bounds_filter((-46.2, -23.2, -46.1, -23.1))),
+    "o7_6_radius": _count("O-7.6", lambda: FI.radius_filter(-46.15, -23.12, 10_000)),
     "o7_7_tile_filter": _count("O-7.7", lambda: FI.tile_filter("2024-01-05", "2024-13-99", ("Furto - click",), (), ("22", None))),
     "o8_2_category_stats": category_stats,
     "o8_3_category_stats_for_location": category_stats_for_location,
