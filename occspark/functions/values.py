@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import ColumnLike, col, source_text, trimmed
+from .text import ColumnLike, col, trimmed
 
 #: Dates before this year are taken for errors.
 FIRST_YEAR = 2013
