@@ -18,6 +18,7 @@ was seen, else the context's backoff weight times the word's probability.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable, Iterator
 from math import ceil
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from . import kernels
 from .storage import stored
 
+_LOG = logging.getLogger(__name__)
+
 #: Tokens of a chunk, about; one document is never cut.
 CHUNK_TOKENS = 1_000_000
 #: Keys that one bucket's task holds at once, about.
@@ -187,25 +190,51 @@ def backoff(seen: np.ndarray, lower: np.ndarray, count: np.ndarray) -> tuple[np.
     return np.where(count > 0, weight, 1.0), scale
 
 
-def discounts(counts_of_counts: list[int]) -> np.ndarray:
-    """Good-Turing discount of counts 0, 1, ..., MOST_DISCOUNTED, and 1 for larger ones.
+def _turing(ratios: np.ndarray, common: float) -> np.ndarray | None:
+    """Katz's discounts from r* / r and (k + 1) n[k+1] / n[1], where all lie in (0, 1)."""
+    found = (ratios - common) / (1 - common) if common < 1 else np.zeros(len(ratios))
+    return found if ((found > 0) & (found < 1)).all() else None
+
+
+def _fitted_slope(n: np.ndarray) -> float | None:
+    """Slope of log n[r] over log r, each n[r] averaged over the gaps beside it, as in simple Good-Turing."""
+    r = np.flatnonzero(n)
+    if len(r) < 2:
+        return None
+    low, high = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+    return float(np.polyfit(np.log(r), np.log(2 * n[r] / (high - low)), 1)[0])
+
 
-    Where the counts of counts give no valid ones (small corpora), absolute discounting takes
-    their place, so that mass is always left for what was not seen.
+def discounts_used(counts_of_counts: list[int]) -> tuple[str, np.ndarray]:
+    """Which discounts the counts of counts allow, and those of :func:`discounts`.
+
+    Copies lift single counts of counts in corpora of any size, so that raw Good-Turing ratios
+    leave (0, 1). Then a line through their logarithms gives the ratios, and the discounted
+    mass is set to that of Good-Turing, n[1]. Only where no falling line fits (hardly any rare
+    items) is there no Good-Turing discount; absolute ones leave mass for what was not seen.
     """
     n = np.array([0, *counts_of_counts], float)
     k = MOST_DISCOUNTED
     r = np.arange(1, k + 1)
     out = np.ones(k + 2)
-    if (n[1:] > 0).all():
-        common = (k + 1) * n[k + 1] / n[1]
-        turing = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if common < 1 else np.zeros(k)
-        if ((turing > 0) & (turing < 1)).all():
-            out[1 : k + 1] = turing
-            return out
+    raw = _turing((r + 1) * n[r + 1] / (r * n[r]), (k + 1) * n[k + 1] / n[1]) if (n[1:] > 0).all() else None
+    if raw is not None:
+        out[1 : k + 1] = raw
+        return "Good-Turing", out
+    slope = _fitted_slope(n)
+    if slope is not None and (fitted := _turing((1 + 1 / r) ** (slope + 1), (k + 1) ** (slope + 1))) is not None:
+        lost = (n[r] * r * (1 - fitted)).sum()
+        scaled = 1 - (1 - fitted) * n[1] / lost if lost else fitted
+        out[1 : k + 1] = scaled if ((scaled > 0) & (scaled < 1)).all() else fitted
+        return "smoothed Good-Turing", out
     part = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
     out[1 : k + 1] = 1 - part / r
-    return out
+    return "absolute", out
+
+
+def discounts(counts_of_counts: list[int]) -> np.ndarray:
+    """Good-Turing discount of counts 0, 1, ..., MOST_DISCOUNTED, and 1 for larger ones."""
+    return discounts_used(counts_of_counts)[1]
 
 
 class _Model:
@@ -214,13 +243,16 @@ class _Model:
     def __init__(self, words: list[int], pairs: list[int] | None, documents: int) -> None:
         k = MOST_DISCOUNTED
         self.n_tokens, self.n_types, self.documents = words[k + 2], words[k + 1], documents
-        self.word_discount = discounts(words[: k + 1])
+        self.word_method, self.word_discount = discounts_used(words[: k + 1])
         left = sum(words[r - 1] * r * (1 - self.word_discount[r]) for r in range(1, k + 1))
         self.unknown = left / self.n_tokens if self.n_tokens else 1.0
         if not self.unknown:  # no rare word: as much as one token
             self.unknown = 1 / (self.n_tokens + 1)
         self.scale = (1 - self.unknown) / (1 - left / self.n_tokens) if self.n_tokens else 0.0
-        self.pair_discount = discounts(pairs[: k + 1]) if pairs else None
+        self.pair_method, self.pair_discount = discounts_used(pairs[: k + 1]) if pairs else (None, None)
+        for what, method, counts in (("words", self.word_method, words), ("pairs", self.pair_method, pairs)):
+            if self.n_tokens and method:
+                _LOG.log(logging.INFO if method == "Good-Turing" else logging.WARNING, "%s: %s discounts, counts of counts %s", what, method, counts[: k + 1])
 
     def word(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words by training count; unseen words are one class."""

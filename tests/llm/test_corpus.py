@@ -269,6 +269,20 @@ def test_katz_without_rows(docs):
     assert {r["score"] for r in few} == {0.0} and {r["train_tokens"] for r in few} == {0}
 
 
+def test_katz_keeps_good_turing_where_copies_lift_a_count():
+    valid = [1000, 300, 140, 80, 50, 34]
+    common = 6 * 34 / 1000
+    method, d = katz.discounts_used(valid)
+    assert method == "Good-Turing" and d[1:6] == pytest.approx([((r + 1) * valid[r] / (r * valid[r - 1]) - common) / (1 - common) for r in range(1, 6)])
+    # pairs of the test tables, groups of five copies, a corpus that occurs twice
+    for n in ([184712, 23127, 5984, 1951, 2262, 607], [1482341, 227973, 46941, 19718, 17404, 6993], [100_000, 20_000, 8000, 4000, 60_000, 1500], [0, 100_000, 0, 20_000, 0, 8000]):
+        method, d = katz.discounts_used(n)
+        assert method == "smoothed Good-Turing" and (d[1:6] > 0).all() and (np.diff(d[1:7]) > 0).all() and d[6] == 1
+        if n[0]:
+            assert sum(n[r - 1] * r * (1 - d[r]) for r in range(1, 6)) == pytest.approx(n[0])
+    assert katz.discounts_used([0] * 6)[0] == katz.discounts_used([5, 5, 5, 5, 5, 500])[0] == "absolute"
+
+
 def test_pii_patterns_equal_plain_ones():
     email, ip, card, phone = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
     digits = lambda m: re.sub("[^0-9]", "", m[0])
