@@ -14,26 +14,56 @@ from occspark.llm import decontaminate, neardup, packing, pii, quality
 from occspark.llm.storage import stored
 
 
-#: Rejected ids that may be broadcast; more are joined by a shuffle.
+#: Rejected rows whose keys may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of one file have keys below this.
+FILE_ROWS = 1 << 40
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` with all columns, less the rows whose doc_id is in ``rejected`` (doc_id); null is an id like others."""
-    ids = stored(rejected.select(F.col("doc_id").alias("rejected_id")).distinct(), "rejected")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("rejected_id")), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number that no two rows share and that each reading gives again: file, and place in it.
+
+    What isn't a table of files by itself is stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = stored(docs, "rows")
+    path = F.col("_metadata.file_path")
+    files = sorted(r[0] for r in docs.select(path.alias("path")).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
+    placed = docs.select(*docs.columns, path.alias("_of"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(numbers), F.col("_of") == F.col("_path")).select(*docs.columns, (F.col("_file") * FILE_ROWS + F.col("_at")).alias("_row"))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Keyed rows with the key as doc_id, for operators that tell rows by doc_id."""
+    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Keyed ``rows`` with their own columns, less those whose key is in ``rejected`` (rejected_row)."""
+    keys = stored(rejected.select("rejected_row"), "rejected")
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, F.col("_row") == F.col("rejected_row"), "left_anti").drop("_row")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the fertility rules keep."""
-    return without(docs, quality.judged(docs).where("not kept"))
+    rows = keyed(docs)
+    return without(rows, quality.judged(by_row(rows)).where("not kept").select(F.col("doc_id").alias("rejected_row")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group at 80 % of five-word shingles."""
-    return without(docs, neardup.near_duplicates(docs, 5, Fraction(4, 5)).where("not (doc_id <=> component_id)"))
+    """Keeps one document of each group at 80 % of five-word shingles: that of least doc_id, null after all others, then the first row."""
+    rows = keyed(docs)
+    found = stored(neardup.near_duplicates(by_row(rows), 5, Fraction(4, 5)).select(F.col("doc_id").alias("member"), F.col("component_id").alias("component")), "found")
+    moved = found.where("member <> component")
+    members = moved.unionByName(moved.select(F.col("component").alias("member"), "component").distinct())
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("id"))
+    members = stored(members.join(ids, F.col("member") == F.col("_row")).select("member", "component", "id"), "members")
+    # rows are told apart by their own keys: a large group is one key of the aggregation alone
+    kept = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "member"))["member"].alias("kept_row"))
+    return without(rows, members.join(kept.select("kept_row"), F.col("member") == F.col("kept_row"), "left_anti").select(F.col("member").alias("rejected_row")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,25 @@ def test_stages_equal_plain_versions(spark, folder):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(clean)
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_each(spark, tmp_path):
+    dice = random.Random(21)
+    clean = [prose(dice, 100) for _ in range(8)]
+    near = lambda t, w: " ".join([*t.split()[:50], w, *t.split()[51:]])
+    rows = [(None, "too short"), (5, "too short"), (None, clean[0]), (None, clean[1]), (5, clean[2]), (5, clean[3])]
+    rows += [(None, clean[4]), (None, near(clean[4], "x")), (6, clean[5]), (6, near(clean[5], "x"))]  # groups without an id, and of one id
+    rows += [(None, near(clean[6], "x")), (9, clean[6]), (8, near(clean[6], "y")), (7, clean[7])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/d")
+    for docs in (frame, spark.read.parquet(f"{tmp_path}/d")):
+        left = corpus_pipeline.quality_rules(spark, docs, "")
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted((i or 0, t) for i, t in rows if t != "too short")
+        kept = corpus_pipeline.near_duplicates(spark, left, "")
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert kept.columns == docs.columns and len(got) == 8 and set(got) <= set(rows)
+        assert {(None, clean[0]), (None, clean[1]), (5, clean[2]), (5, clean[3]), (8, near(clean[6], "y")), (7, clean[7])} <= set(got)
+        assert sum(t in (clean[4], near(clean[4], "x")) for _, t in got) == sum(t in (clean[5], near(clean[5], "x")) for _, t in got) == 1
+
+
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
