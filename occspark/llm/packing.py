@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ def token_pieces(docs: DataFrame, room: int, json_path: str, ranks_path: str | N
 def place_lengths(counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
     """(how often, lengths) of each packing pattern. Longest lengths first, each into the shortest pack with room.
 
-    A group of equal packs is split when fewer pieces are left than packs, so the number of
+    No more packs are opened than all left pieces of a length fill, so copies share packs. A group of equal packs is split when fewer pieces are left than packs, so the number of
     patterns stays near the number of different lengths, whatever the counts.
     """
     open_packs: list[tuple[int, int, int, tuple[int, ...]]] = []  # by tokens used, fewest first
@@ -67,7 +68,7 @@ def place_lengths(counts: dict[int, int], room: int) -> list[tuple[int, tuple[in
             if open_packs and open_packs[0][0] + length <= room:
                 used, _, packs, lengths = heapq.heappop(open_packs)
             else:
-                used, packs, lengths = 0, left, ()
+                used, packs, lengths = 0, -(-left // (room // length)), ()
             take = min(left, packs)
             if take < packs:
                 heapq.heappush(open_packs, (used, made := made + 1, packs - take, lengths))
@@ -86,16 +87,19 @@ def packed(pieces: DataFrame, room: int) -> DataFrame:
     places, sequence, taken = [], 0, dict.fromkeys(counts, 0)
     for packs, lengths in place_lengths(counts, room):
         offset = 0
-        for length in lengths:
-            places.append((length, taken[length], taken[length] + packs, sequence, offset))
-            taken[length] += packs
-            offset += length
+        for length, equal in groupby(lengths):  # equal pieces of a pack are one range, dealt round its packs
+            times = len(list(equal))
+            places.append((length, taken[length], taken[length] + times * packs, sequence, packs, offset))
+            taken[length] += times * packs
+            offset += times * length
         sequence += packs
     # a length has a few ranges only: the table is bounded by room, not by the documents
-    table = spark.createDataFrame(places, "_length long, _from long, _to long, _sequence long, offset long")
+    table = spark.createDataFrame(places, "_length long, _from long, _to long, _sequence long, _packs long, _offset long")
     run = ranked(pieces, "length", ["doc_id", "start", "ids_crc32"])
     at = (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))
-    return run.join(F.broadcast(table), at).withColumn("sequence_id", F.col("_sequence") + F.col("rank") - F.col("_from")).drop("_length", "_from", "_to", "_sequence", "rank")
+    nth = F.col("rank") - F.col("_from")
+    told = run.join(F.broadcast(table), at).withColumn("sequence_id", F.col("_sequence") + nth % F.col("_packs")).withColumn("offset", F.col("_offset") + F.col("length") * F.expr("(rank - _from) div _packs"))
+    return told.drop("_length", "_from", "_to", "_sequence", "_packs", "_offset", "rank")
 
 
 def pack_documents(docs: DataFrame, room: int = 2048, json_path: str | None = None, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -184,6 +184,26 @@ def test_patterns_hold_all_lengths():
     assert placed == Counter({n: c for n, c in counts.items() if c})
 
 
+def test_a_hot_length_fills_its_packs(spark):
+    dice = random.Random(9)
+    for counts, least in (({100: 100_000}, 0.97), (Counter({300: 50_000}) + Counter(dice.randrange(60, 301) for _ in range(100_000)), 0.98), ({2048: 7, 1025: 9, 1: 5000}, 0.7)):
+        placed, sequences = Counter(), 0
+        for packs, lengths in packing.place_lengths(counts, 2048):
+            assert packs > 0 and sum(lengths) <= 2048
+            sequences += packs
+            for n in lengths:
+                placed[n] += packs
+        assert placed == Counter(counts) and sum(n * c for n, c in counts.items()) / (2048 * sequences) > least
+    rows = [(k, 0, n, k, n) for k, n in enumerate([30] * 50 + [20] * 7 + [100] * 2)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), 100).collect()
+    ends = defaultdict(list)
+    for r in got:
+        ends[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    assert len(got) == len(rows) and sorted(ends) == list(range(len(ends))) and len(ends) <= 21
+    for own in ends.values():
+        assert [s for s, _ in sorted(own)] == [0, *[e for _, e in sorted(own)][:-1]] and max(own)[1] <= 100
+
+
 def test_ids_equal_tokenizers_own():
     odd = ["<|endoftext|> a", "a b c\x1c\x1d d", "日本語 テキスト", "don't  stop\n\n  now ", "😀👩‍👩‍👧 x", "a" * 30_000, "\r\n\t", "ﬁ Ǆ 1²³ ½"]
     json_path, ranks = (tokens.vocabulary_path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
