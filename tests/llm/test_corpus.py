@@ -332,6 +332,18 @@ def test_pii_field_spreads_labels_over_a_document(spark, docs):
     assert pii.personal_data(docs.limit(0), pii.train(docs.limit(0))).count() == 0
 
 
+def test_labels_reach_all_mentions_of_a_long_document():
+    field = pii.Field(np.zeros((19, 5)), np.zeros((5, 5)), np.full((2, 5), 6.0))
+    text = "+1-555-123-4567" + " call 555-123-4567" * 300
+    assert len(pii.all_spans(text, field)[1]) == 301
+    rows = np.full(61, -1)
+    rows[0] = 4
+    line = pii.Graph([(0, 1)] * 61, np.zeros((61, 19)), rows, np.array([(k, k + 1, 1) for k in range(60)]))
+    got, weight = pii.marginals(line, field), math.exp(6)
+    kept, lost = weight / (weight + 4), 1 / (weight + 4)
+    assert np.allclose(got[:, 4], [0.2 + 0.8 * (kept - lost) ** k for k in range(61)], atol=1e-2)
+
+
 def test_messages_give_exact_marginals_on_trees():
     rng = np.random.default_rng(1)
     field = pii.Field(rng.normal(size=(19, 5)), rng.normal(size=(5, 5)), rng.normal(size=(2, 5)))
