@@ -4,12 +4,14 @@ A public vocabulary with byte fallback is run over every word. Text that the voc
 knows takes few tokens a character, hardly any raw bytes, and spreads over many tokens; junk
 leaves the band of its language in one of the three. Bands come from the corpus itself:
 median and spread of each measure over all documents of a language (or of a script, where
-the language is unknown) and of about the same length, as all three drift with length.
+the language is unknown) and of about the same length, as all three drift with length. Small
+groups lean on their language, then on their script, never on other scripts.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +33,7 @@ CACHE_WORDS = 250_000
 #: distance between the quartiles, which a tenth of junk hardly moves, with a floor for each.
 REACH = {"chars_per_token": (5.0, 5.0), "byte_share": (8.0, 8.0), "token_entropy": (4.0, 7.0)}
 FLOOR = {"chars_per_token": 0.05, "byte_share": 0.01, "token_entropy": 0.05}
-#: Groups with fewer measured documents take the bands of all documents.
+#: Groups with fewer measured documents are shrunk, by their count, towards the wider group around them.
 LEAST_GROUP = 30
 #: Rows of the band table that may be broadcast.
 BROADCAST_GROUPS = 10_000
@@ -127,12 +129,20 @@ def fertility(words: list[str], chars: int, tokens: WordTokens) -> tuple[float,
     return chars / len(ids), float(tokens.is_byte[ids].mean()), float(-np.log(equal))
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> str:
+    """The script of a letter; one that isn't listed goes by the first word of its Unicode name."""
+    return next((name for name, low, high in _SCRIPTS if low <= ord(letter) <= high), None) or unicodedata.name(letter, "other").split()[0].lower()
+
+
 def script_of(text: str) -> str:
-    """The script of most letters among a regular sample of a text's characters."""
+    """The script of most letters of a text."""
+    if text.isascii():
+        return "latin" if text.lower() != text.upper() else "none"
     votes = Counter()
-    for c in text[:: max(1, len(text) // 400)]:
+    for c, n in Counter(text).items():
         if c.isalpha():
-            votes[next((name for name, low, high in _SCRIPTS if low <= ord(c) <= high), "other")] += 1
+            votes[_script(c)] += n
     return max(sorted(votes), key=votes.__getitem__) if votes else "none"
 
 
@@ -143,45 +153,68 @@ def _measure_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
     tokens = word_tokens(path)
     for batch in batches:
         rows = []
-        for text, lang in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for text in batch.column(1):
             text = text.as_py() or ""
             words, chars, symbols, lines, repeated = base_counts(text)
             measures = fertility(words, chars, tokens) or (None, None, None)
-            rows.append((script_of(text) if lang is None else None, len(words), chars, symbols, lines, repeated, *measures))
+            rows.append((script_of(text), len(words), chars, symbols, lines, repeated, *measures))
         kinds = [pa.string()] + [pa.int64()] * 5 + [pa.float64()] * 3
         columns = list(zip(*rows, strict=True)) or [[]] * 9
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split()[0] for x in _MEASURED.split(", ")])
 
 
 def measured(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The base counts and the three fertility measures of every row; null texts are empty, without measures. script: where lang is null."""
+    """The base counts and the three fertility measures of every row; null texts are empty, without measures."""
     path = path or vocabulary_path("piece_bpe_32k.model")
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return thin.mapInArrow(lambda it: _measure_batches(it, path), _MEASURED)
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(group, low and high of each measure) from all documents that pass the base rules: by language or script and length, by language or script, and of all ('*')."""
+    """(group, weight, median and spread of each measure) from all documents that pass the base rules, for each of _LEVELS.
+
+    weight: 1 from LEAST_GROUP documents on, less in proportion below.
+    """
     judged = rows.where(~_base_failed() & F.col("chars_per_token").isNotNull())
-    grouped = judged.select(F.explode(F.array(_group(True), _group(False), F.lit("*"))).alias("group"), *REACH)
-    cut = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in REACH])
-    out = cut.where((F.col("n") >= LEAST_GROUP) | (F.col("group") == "*"))
-    for m, (below, above) in REACH.items():
-        spread = F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(FLOOR[m]))
-        out = out.withColumn(f"{m}_low", F.col(m)[1] - below * spread).withColumn(f"{m}_high", F.col(m)[1] + above * spread)
-    return out.select("group", *[f"{m}_{x}" for m in REACH for x in ("low", "high")])
+    grouped = judged.select(F.explode(F.array_compact(F.array(*[_group(x) for x in _LEVELS]))).alias("group"), *REACH)
+    out = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in REACH])
+    for m in REACH:
+        out = out.withColumn(f"{m}_median", F.col(m)[1]).withColumn(f"{m}_spread", F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(FLOOR[m])))
+    return out.select("group", F.least(F.lit(1.0), F.col("n") / LEAST_GROUP).alias("weight"), *[f"{m}_{x}" for m in REACH for x in ("median", "spread")])
 
 
 def _base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _group(sized: bool) -> Column:
-    """Language or script, and with ``sized`` the power of two of the number of words."""
-    name = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
+#: Groups of a document, each shrunk towards the one before where it is small.
+_LEVELS = ("script", "script_sized", "lang", "lang_sized")
+
+
+def _group(level: str) -> Column:
+    """Script or language (null without one), and if sized the power of two of the number of words."""
+    kind, _, sized = level.partition("_")
+    name = F.concat(F.lit(f"{kind}:"), F.col(kind))
     return F.concat(name, F.lit(":"), F.floor(F.log2(F.col("n_words"))).cast("string")) if sized else name
 
 
+def _band(m: str) -> tuple[Column, Column]:
+    """(low, high) of a measure from the joined groups, null where no document of the script was measured.
+
+    A script has nothing to lean on, so its band widens as documents get few. Any other group
+    counts by its weight, and the group before it by the rest; how far the two are apart goes
+    into the band while the weight is between, as the truth may be at either.
+    """
+    middle, spread, between = F.col(f"script_{m}_median"), F.col(f"script_{m}_spread") / F.col("script_weight"), F.lit(0.0)
+    for level in _LEVELS[1:]:
+        w = F.coalesce(F.col(f"{level}_weight"), F.lit(0.0))
+        own, width = F.coalesce(f"{level}_{m}_median", F.lit(0.0)), F.coalesce(f"{level}_{m}_spread", F.lit(0.0))
+        between = (1 - w) * between + F.sqrt(w * (1 - w)) * F.abs(own - middle)
+        middle, spread = w * own + (1 - w) * middle, w * width + (1 - w) * spread
+    below, above = REACH[m]
+    return middle - below * spread - between, middle + above * spread + between
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, measures).
 
@@ -193,14 +226,13 @@ def judged(docs: DataFrame) -> DataFrame:
     found = stored(bands(rows), "bands")
     few = found.count() <= BROADCAST_GROUPS
     told = rows
-    for mark, key in (("sized", _group(True)), ("named", _group(False)), ("all", F.lit("*"))):
-        side = found.select(*[F.col(c).alias(f"{mark}_{c}") for c in found.columns])
-        told = told.join(F.broadcast(side) if few else side, key == F.col(f"{mark}_group"), "left")
+    for level in _LEVELS:
+        side = found.select(*[F.col(c).alias(f"{level}_{c}") for c in found.columns])
+        told = told.join(F.broadcast(side) if few else side, _group(level) == F.col(f"{level}_group"), "left")
     failed = _base_failed()
     inside = F.lit(True)
     for m in REACH:
-        low, high = (F.coalesce(*[f"{mark}_{m}_{x}" for mark in ("sized", "named", "all")]) for x in ("low", "high"))
-        inside = inside & F.coalesce(F.col(m).between(low, high), F.lit(True))
+        inside = inside & F.coalesce(F.col(m).between(*_band(m)), F.lit(True))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return told.select("doc_id", *counts, failed.alias("base_failed"), (~failed & inside).alias("kept"), *REACH)
 

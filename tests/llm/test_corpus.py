@@ -231,6 +231,16 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert len([k for k in kept if k < 1000]) >= 199 and not [k for k in kept if k >= 1000]
 
 
+def test_quality_judges_a_rare_script_by_its_own_documents(spark):
+    dice = random.Random(15)
+    thai = lambda n: " ".join("".join(chr(dice.randrange(0xE01, 0xE2F)) for _ in range(dice.randrange(3, 8))) for _ in range(n))
+    rows = [(k, prose(dice, 150), "en") for k in range(200)] + [(1000 + k, thai(150), "th") for k in range(20)] + [(2000 + k, thai(150), None) for k in range(3)]
+    rows += [(3000, prose(dice, 150), None), (3001, " | ".join(w + dice.choice(["###", "$$$", "%%%"]) for w in prose(dice, 150).split()), "xx")]
+    kept = {r["doc_id"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert {k for k, _, _ in rows if k >= 1000} - kept == {3001} and len(kept) >= 223
+    assert quality.script_of("x" + "я" * 3 + " " * 500) == "cyrillic" and quality.script_of("1 2") == "none" and quality.script_of("தமிழ்") == "tamil"
+
+
 def test_language_from_n_grams(spark, docs):
     dice = random.Random(6)
     say = {"aa": ["kala", "maka", "lamu"], "bb": ["streng", "wertz", "uncht"]}
