@@ -1,23 +1,27 @@
 """Benchmark decontamination by CGK random-walk embedding and bit-sampling LSH.
 
-A random walk over a window of words, which stays on a word or moves to the next by a random
-bit of (step, word), turns edits into few changed places: windows at a small edit distance
-get strings at a small Hamming distance. Each repeat draws a new walk and samples places of
-its string; a window that agrees with an item in all sampled places of any repeat is a
-candidate, and the exact word edit distance decides.
-
-Windows that can't be near an item are left out by an exact count: within e edits of an item
-of m words, at least m - q + 1 - e * q of its q-word runs survive.
+A random walk over a window of words stays on a word or moves to the next by a random bit of
+(step, word) and writes down the word it is on. This turns edits into few changed places:
+windows at a small edit distance get strings at a small Hamming distance, as their walks meet
+again behind an edit. Each repeat draws a new walk and samples some places of its string.
+Every window of a text, at every word, is embedded so for every length that items have; those
+that agree with an item in the sampled places of any repeat are its only candidates. Then
+the exact word edit distance decides.
+
+A walk doesn't depend on how long its window is, so all lengths share it, and four steps are
+taken at once by looking ahead. Items of more than PIECE words are looked for by pieces: of an
+item with few edits, some piece has no more than its share of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,70 +30,134 @@ from . import kernels
 
 #: Word edits allowed, as a share of an item's words.
 EDIT_SHARE = 0.2
-#: Repeats and sampled places of each. At EDIT_SHARE about a third of the places agree, so one
-#: repeat finds a window with about 0.1; the windows around an alignment and the repeats
-#: together stay above a recall of 0.99 (measured in tests/llm).
-REPEATS, PLACES = 48, 2
-#: UTF-8 bytes of items that one block, and so one broadcast, holds at most; there are as many blocks as it takes.
-BLOCK_ITEM_BYTES = 4 << 20
+#: Walks, repeats of the sampling (so many of each walk), sampled places of each, and steps from
+#: one place to the next. At EDIT_SHARE a repeat whose places are on different words finds about
+#: 0.45 of the alignments, so all together miss about 0.01 (tests/llm measures the recall of the
+#: hits alone).
+WALKS, REPEATS, PLACES, GAP = 4, 24, 3, 2
+#: An item is also looked for by places that share words if fewer repeats than this have none.
+LEAST_REPEATS = 4
+#: Items shorter than this are sampled at one place.
+SHORT = 8
+#: Longer items are looked for by pieces of so many words.
+PIECE = 64
+#: Lengths within this factor share their places.
+LENGTH_STEP = 1.5
+#: UTF-8 bytes of items that one block, and so one broadcast, holds at most (an item is whole in one).
+BLOCK_ITEM_BYTES = 16 << 20
 _PAD = np.uint64(0)
-_WINDOWS_AT_ONCE = 400
+_STRIDE = 4
+#: Places that a walk can get beyond the last word.
+_BEYOND = 2 * PIECE + 2 * _STRIDE
+_SLOTS = 16
+#: Cells of hits x words looked at together.
+_CELLS = 1 << 20
+
+
+def _draws() -> tuple[np.ndarray, np.ndarray]:
+    """(odd multipliers by walk and 64 steps, where in its walk each repeat samples, 0 to 1). Repeats r, r + WALKS, ... share a walk."""
+    random = np.random.default_rng(10)
+    odd = random.integers(0, 1 << 63, (WALKS, 1 + _BEYOND // 64), np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, (np.arange(REPEATS) + random.random(REPEATS)) / REPEATS
+
+
+_ODD, _WHERE = _draws()
+
+
+def length_class(words: int) -> int:
+    """The shortest length whose places are used for windows of ``words`` words."""
+    if words < SHORT:
+        return words
+    length = SHORT
+    while (longer := ceil(length * LENGTH_STEP)) <= words:
+        length = longer
+    return length
+
+
+def first_place(length: int, repeat: int) -> int:
+    """The step of the first place that a repeat samples; later ones follow at GAP."""
+    span = 2 * length - isqrt(length) - (0 if length < SHORT else PLACES * GAP)
+    return 0 if length < 1 / EDIT_SHARE else int(_WHERE[repeat] * max(0, span)) // _STRIDE * _STRIDE
+
+
+def _ahead(x: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[:-by] = x[by:]
+    return out
+
+
+def _moves(planes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far two and four steps lead from each word: bits are looked up at the words that they lead over."""
+    bit = [(planes[(step + k) % 64 // 8] >> np.uint8((step + k) % 8)) & np.uint8(1) for k in range(_STRIDE)]
+    two, next_two = (a + (b ^ ((b ^ _ahead(b, 1)) & a)) for a, b in (bit[:2], bit[2:]))
+    one, both = np.negative(two & np.uint8(1)), np.negative(two >> np.uint8(1))
+    return two, two + ((next_two & ~(one | both)) | (_ahead(next_two, 1) & one) | (_ahead(next_two, 2) & both))
+
+
+def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, ...]]]:
+    """(repeat, length, signature, places) of the windows from each start, by default from every word.
+
+    ``lengths`` are length classes. places: the words that the walk is on at the sampled
+    places. Behind the words everything is padding.
+    """
+    padded = np.concatenate([words, np.full(_BEYOND + 2, _PAD)])
+    mixed = [kernels.mix(padded + np.uint64(k + 1)) * np.uint64(2 * k + 3) for k in range(PLACES)]
+    begin = np.arange(len(words)) if starts is None else np.asarray(starts, np.int64)
+    for walk in range(WALKS):
+        wanted: dict[int, list[tuple[int, int]]] = {}
+        for repeat in range(walk, REPEATS, WALKS):
+            for length in lengths:
+                wanted.setdefault(first_place(length, repeat), []).append((repeat, length))
+        at, begun = begin, None
+        for step in range(0, max(wanted, default=-1) + 2 * _STRIDE, _STRIDE):
+            if begun:  # the third place is the one after four steps
+                asked, signature, places = begun
+                signature = signature + mixed[2].take(at)
+                for repeat, length in asked:
+                    yield repeat, length, signature, (*places, at)
+                begun = None
+            if step % 64 == 0:
+                bits = kernels.mix(padded * _ODD[walk, step // 64])
+                planes = np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 8).T)
+            two, four = _moves(planes, step)
+            if step in wanted:
+                first = mixed[0].take(at)
+                asked = []
+                for repeat, length in wanted[step]:
+                    if length < SHORT:
+                        yield repeat, length, first, (at,)
+                    else:
+                        asked.append((repeat, length))
+                if asked:
+                    half = at + two.take(at)
+                    begun = asked, first + mixed[1].take(half), (at, half)
+            at = at + four.take(at)
 
 
 @dataclass(frozen=True)
 class Items:
-    """Benchmark items of one block: words, allowed edits, run lengths and the runs' index."""
+    """Benchmark items of one block: words, allowed edits, and the signature tables of their pieces.
+
+    runs, grams: the length of the word runs that survivors are counted by, and each item's.
+    tables: (repeat, length class) -> (which slots are taken, sorted signatures, their pieces).
+    """
 
     ids: list
     words: list[np.ndarray]
     edits: np.ndarray
     runs: np.ndarray
-    index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # run length: (sorted hashes, item, place)
-    sketches: list[np.ndarray]
-
-
-def _draws(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(odd multipliers by step and repeat, sampled steps of each repeat) for windows of ``length`` words."""
-    random = np.random.default_rng(length)
-    steps = 2 * length
-    return random.integers(0, 1 << 63, (steps, REPEATS), np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, max(1, steps), (REPEATS, PLACES))
-
-
-def embed(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """(window, repeat) signatures of the windows words[s : s + length]: the sampled places, hashed."""
-    odd, places = _draws(length)
-    padded = np.concatenate([words, np.full(length + 1, _PAD)])
-    at = np.zeros((len(starts), REPEATS), np.int64)
-    first = starts[:, None]
-    out = np.zeros((len(starts), REPEATS), np.uint64)
-    for step in range(2 * length):
-        word = np.where(at < length, padded[first + np.minimum(at, length)], _PAD)
-        for k in range(PLACES):
-            out += np.where(places[:, k] == step, kernels.mix(word + np.uint64(k + 1)) * np.uint64(2 * k + 1), np.uint64(0)) if (places[:, k] == step).any() else np.uint64(0)
-        at += ((word * odd[step]) >> np.uint64(63)).astype(np.int64)
-    return out
+    grams: list[np.ndarray]
+    item: np.ndarray
+    offset: np.ndarray
+    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def edit_distances(item: np.ndarray, words: np.ndarray, starts: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start, the least edit distance of ``item`` to words[start : end], and that end minus start."""
-    span = len(item) + edits
-    padded = np.concatenate([words, np.full(span + 1, _PAD)])
-    window = padded[starts[:, None] + np.arange(span)]
-    beyond = starts[:, None] + np.arange(1, span + 1) > len(words)
-    place = np.arange(span + 1)
-    row = np.broadcast_to(place, (len(starts), span + 1)).copy()
-    for word in item:
-        new = np.empty_like(row)
-        new[:, 0] = row[:, 0] + 1
-        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (window != word))
-        row = np.minimum.accumulate(new - place, axis=1) + place
-    row[:, 1:][beyond] = len(item) + span
-    best = row.argmin(1)
-    return row[np.arange(len(starts)), best], best
+def _runs(words: np.ndarray, q: int) -> np.ndarray:
+    return kernels.hash_ngrams(words, np.array([0, len(words)]), q, whole_if_short=False)[0]
 
 
 def prepare(rows: list[tuple[object, str | None]], share: float = EDIT_SHARE) -> Items:
-    """The index of some items; items without words are left out."""
+    """The tables of some items; items without words are left out."""
     ids, words = [], []
     for first, raws in kernels.blocks([text for _, text in rows]):
         hashed, at = kernels.hash_words(raws, strip_punctuation=True)
@@ -99,70 +167,107 @@ def prepare(rows: list[tuple[object, str | None]], share: float = EDIT_SHARE) ->
                 words.append(hashed[at[k] : at[k + 1]])
     edits = np.array([floor(share * len(w) + 1e-9) for w in words], np.int64)
     runs = np.array([max(1, min(3, (len(w) - e) // (e + 1))) for w, e in zip(words, edits, strict=True)], np.int64)
-    index = {}
-    for q in sorted(set(runs.tolist())):
-        own = np.flatnonzero(runs == q)
-        hashes, item, place = [], [], []
-        for i in own:
-            grams, _ = kernels.hash_ngrams(words[i], np.array([0, len(words[i])]), q, whole_if_short=False)
-            hashes.append(grams)
-            item.append(np.full(len(grams), i))
-            place.append(np.arange(len(grams)))
-        order = np.argsort(all_hashes := np.concatenate(hashes), kind="stable")
-        index[q] = (all_hashes[order], np.concatenate(item)[order], np.concatenate(place)[order])
-    return Items(ids, words, edits, runs, index, [embed(w, np.zeros(1, np.int64), len(w))[0] for w in words])
-
-
-def matches(words: np.ndarray, items: Items, hits: dict[int, np.ndarray]) -> list[tuple[object, int, int, int]]:
-    """(item id, first word, words, edits) of the best window of each item that a text holds.
-
-    ``hits``: by run length, the text's places whose run is in the index.
-    """
-    found = []
-    for q, places in hits.items():
-        hashes, item, place = items.index[q]
-        grams, _ = kernels.hash_ngrams(words, np.array([0, len(words)]), q, whole_if_short=False)
-        low, high = np.searchsorted(hashes, grams[places], "left"), np.searchsorted(hashes, grams[places], "right")
+    pieces = [(i, o, min(PIECE, len(w))) for i, w in enumerate(words) for o in sorted({*range(0, max(1, len(w) - PIECE + 1), PIECE), max(0, len(w) - PIECE)})]
+    item, offset, size = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
+    own = np.array([length_class(int(n)) for n in size], np.int64)
+    tables = {}
+    gap = np.full(_BEYOND, _PAD)
+    for length in sorted(set(own.tolist())):
+        of = np.flatnonzero(own == length)
+        parts = [np.concatenate([words[item[p]][offset[p] : offset[p] + size[p]], gap]) for p in of]
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+        drawn = list(signatures(np.concatenate(parts), [length], starts))
+        # a walk that runs out of its piece says nothing, and one that stays on a word little
+        inside = [places[-1] < starts + size[of] for _, _, _, places in drawn]
+        apart = [np.logical_and.reduce([a < b for a, b in zip(places, places[1:], strict=False)] or [np.ones(len(of), bool)]) & x for x, (_, _, _, places) in zip(inside, drawn, strict=True)]
+        few = np.sum(apart, 0) < LEAST_REPEATS
+        for (repeat, _, signature, _), x, y in zip(drawn, inside, apart, strict=True):
+            told = np.flatnonzero(np.where(few, x, y))
+            order = told[np.argsort(signature[told], kind="stable")]
+            taken = np.zeros(1 << _SLOTS, bool)
+            taken[signature[order] >> np.uint64(64 - _SLOTS)] = True
+            tables[repeat, length] = (taken, signature[order], of[order])
+    return Items(ids, words, edits, runs, [np.unique(_runs(w, int(q))) for w, q in zip(words, runs, strict=True)], item, offset, tables)
+
+
+def hits(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item, where it would start) of every window that agrees with an item in some repeat's places, each once."""
+    found = [np.empty((0, 2), np.int64)]
+    for repeat, length, signature, _ in signatures(words, sorted({c for _, c in items.tables})):
+        taken, known, piece = items.tables[repeat, length]
+        near = np.flatnonzero(taken.take((signature >> np.uint64(64 - _SLOTS)).view(np.int64)))
+        low, high = np.searchsorted(known, signature[near], "left"), np.searchsorted(known, signature[near], "right")
         count = high - low
-        flat = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        at, which, start = np.repeat(places, count), item[flat], np.repeat(places, count) - place[flat]
-        for i in np.unique(which):
-            own, m, e = which == i, len(items.words[i]), int(items.edits[i])
-            if len(np.unique(at[own])) < max(1, m - q + 1 - e * q):
-                continue
-            starts = np.unique((np.unique(start[own])[:, None] + np.arange(-e, e + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts < len(words))]
-            near = np.concatenate([starts[k : k + _WINDOWS_AT_ONCE][(embed(words, starts[k : k + _WINDOWS_AT_ONCE], m) == items.sketches[i]).any(1)] for k in range(0, len(starts), _WINDOWS_AT_ONCE)] or [starts])
-            best = None
-            for k in range(0, len(near), _WINDOWS_AT_ONCE):
-                part = near[k : k + _WINDOWS_AT_ONCE]
-                distance, size = edit_distances(items.words[i], words, part, e)
-                j = int(distance.argmin())
-                if distance[j] <= e and (best is None or distance[j] < best[3]):
-                    best = (items.ids[i], int(part[j]), int(size[j]), int(distance[j]))
-            if best:
-                found.append(best)
-    return found
+        which = piece[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        found.append(np.stack([items.item[which], np.repeat(near, count) - items.offset[which]], 1))
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """(edits, first word, end) of the window of ``text`` nearest to ``item`` in word edits; of equal ones the first, shortest."""
+    one = len(text) + 1
+    place = np.arange(one) * one
+    row = np.arange(one)  # edits * one + start
+    for word in item:
+        new = row + one
+        new[1:] = np.minimum(new[1:], row[:-1] + (text != word) * one)
+        row = np.minimum.accumulate(new - place) + place
+    end = int(row.argmin())
+    return int(row[end] // one), int(row[end] % one), end
+
+
+def matches(words: np.ndarray, bounds: np.ndarray, items: Items) -> list[tuple[int, object, int, int, int]]:
+    """(text, item id, first word, words, edits) of the best window of each item that some texts hold.
+
+    ``words`` of text d: bounds[d] to bounds[d + 1].
+    """
+    which, start = hits(words, items)
+    text = np.searchsorted(bounds, np.clip(start, 0, len(words) - 1), "right") - 1
+    cut = np.flatnonzero(np.diff(which)) + 1
+    runs: dict[int, np.ndarray] = {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for own in np.split(np.arange(len(which)), cut) if len(which) else []:
+        i = int(which[own[0]])
+        m, e, q = len(items.words[i]), int(items.edits[i]), int(items.runs[i])
+        reach = e + isqrt(min(m, PIECE)) + 1
+        low, high = start[own] - reach, start[own] + m + e + reach
+        # runs of q words of which e edits leave m - q + 1 - e * q at least
+        if q not in runs:
+            runs[q] = np.append(_runs(words, q), np.zeros(max(1, len(words) + 1 - max(0, len(words) - q + 1)), np.uint64))
+        need, span = max(1, m - q + 1 - e * q), m + e + 2 * reach
+        kept = []
+        for k in range(0, len(own), max(1, _CELLS // span)):
+            at = np.clip(low[k : k + max(1, _CELLS // span), None] + np.arange(span), 0, len(words))
+            grams = items.grams[i]
+            seen = runs[q][at]
+            same = grams[np.minimum(np.searchsorted(grams, seen), len(grams) - 1)] == seen
+            same[:, 1:] &= np.diff(at, axis=1) > 0
+            kept.append(k + np.flatnonzero(same.sum(1) >= need))
+        kept = np.concatenate(kept)
+        if not len(kept):
+            continue
+        apart = np.flatnonzero((np.diff(start[own][kept]) > m) | (np.diff(text[own][kept]) > 0)) + 1
+        for region in np.split(kept, apart):
+            for d in range(int(text[own[region[0]]]), int(text[own[region[-1]]]) + 1):
+                a, b = max(int(low[region[0]]), int(bounds[d])), min(int(high[region[-1]]), int(bounds[d + 1]))
+                edits, first, end = best_window(items.words[i], words[a:b])
+                if edits <= e:
+                    told = (edits, a + first - int(bounds[d]), end - first)
+                    best[d, i] = min(best.get((d, i), told), told)
+    return [(d, items.ids[i], first, size, edits) for (d, i), (edits, first, size) in sorted(best.items())]
 
 
 def scan(texts: list[str | None], items: Items) -> list[list[tuple[object, int, int, int]]]:
-    """The matches of each text."""
+    """The matches (item id, first word, words, edits) of each text."""
     out: list[list[tuple[object, int, int, int]]] = [[] for _ in texts]
     if not items.ids:
         return out
     for first, raws in kernels.blocks(texts):
         words, at = kernels.hash_words(raws, strip_punctuation=True)
-        hit: dict[int, dict[int, np.ndarray]] = {}
-        for q, (hashes, _, _) in items.index.items():
-            grams, start = kernels.hash_ngrams(words, at, q, whole_if_short=False)
-            where = np.searchsorted(hashes, grams)
-            inside = np.flatnonzero(hashes[np.minimum(where, len(hashes) - 1)] == grams)
-            doc = np.searchsorted(start, inside, "right") - 1
-            cut = np.flatnonzero(np.diff(doc)) + 1
-            for part, d in zip(np.split(inside, cut), doc[np.concatenate([[0], cut])] if len(doc) else [], strict=False):
-                hit.setdefault(int(d), {})[q] = part - start[d]
-        for d, hits in hit.items():
-            out[first + d] = matches(words[at[d] : at[d + 1]], items, hits)
+        if len(words):
+            for d, *match in matches(words, at, items):
+                out[first + d].append(tuple(match))
     return out
 
 
@@ -172,13 +277,28 @@ def _id_type(benchmark: DataFrame) -> str:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The items, BLOCK_ITEM_BYTES of text at a time; an item is whole in one block."""
+    """The items, at most BLOCK_ITEM_BYTES of text at a time, from one pass over the benchmark; at least one block."""
     thin = benchmark.select(F.col("item_id").cast(_id_type(benchmark)).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, ceil(size / BLOCK_ITEM_BYTES))
-    for k in range(n):
-        rows = thin.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield prepare([(r["item_id"], r["text"]) for r in rows])
+    rows, size, none = [], 0, True
+    for row in thin.toLocalIterator():
+        if rows and size + len(row["text"].encode()) > BLOCK_ITEM_BYTES:
+            yield prepare(rows)
+            rows, size, none = [], 0, False
+        rows.append((row["item_id"], row["text"]))
+        size += len(row["text"].encode())
+    if rows or none:
+        yield prepare(rows)
+
+
+def _found(texts: list[str | None], blocks: list[Broadcast]) -> list[list[tuple[object, int, int, int]]]:
+    """The matches of each text with all blocks; of several, a task holds one at a time."""
+    out: list[list[tuple[object, int, int, int]]] = [[] for _ in texts]
+    for block in blocks:
+        for own, more in zip(out, scan(texts, block.value), strict=True):
+            own += more
+        if len(blocks) > 1:
+            del block._value  # read again from the executor's disk for the next texts
+    return out
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -187,38 +307,32 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of letters and digits, without case of A-Z. An item is held if some window
     is within EDIT_SHARE of its words in word edits; items of fewer than five words must
     occur exactly. Null and empty texts hold nothing, an empty benchmark or table gives no
-    rows, repeated rows and items match each.
+    rows, repeated rows and items match each. Documents are read once, whatever the benchmark's size.
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = f"doc_id long, item_id {_id_type(benchmark)}, first_word long, n_words long, edits long"
-    found = None
-    for items in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
+    names = ("doc_id", "item_id", "first_word", "n_words", "edits")
+    kinds = (pa.int64(), pa.int64() if _id_type(benchmark) == "long" else pa.string(), pa.int64(), pa.int64(), pa.int64())
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
-                for doc_id, own in zip(ids, scan(batch.column(1).to_pylist(), sent.value), strict=True):
-                    rows += [dict(zip(("doc_id", "item_id", "first_word", "n_words", "edits"), (doc_id, *x), strict=True)) for x in own]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            rows = [(doc_id, *match) for doc_id, own in zip(ids, _found(batch.column(1).to_pylist(), sent), strict=True) for match in own]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        part = thin.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return thin.mapInArrow(run, f"doc_id long, item_id {_id_type(benchmark)}, first_word long, n_words long, edits long")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no item."""
-    for items in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    """The rows of ``docs``, with all their columns, whose text holds no item, from one pass over them."""
+    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not x for x in scan(batch.column("text").to_pylist(), sent.value)], pa.bool_()))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in _found(batch.column("text").to_pylist(), sent)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

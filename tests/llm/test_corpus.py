@@ -395,21 +395,85 @@ def test_decontamination_finds_edited_items(spark, docs):
     assert decontaminate.contaminations(df, bench.limit(0)).count() == 0 and decontaminate.contaminations(df.limit(0), bench).count() == 0
 
 
-def test_word_edit_distance():
+def nearest(item, text):
+    """(edits, first, end) of the text's window nearest to an item, by plain dynamic programming; of equal ones the first, shortest."""
+    row = [(0, k) for k in range(len(text) + 1)]
+    for x in item:
+        new = [(row[0][0] + 1, row[0][1])]
+        for j, y in enumerate(text, 1):
+            new.append(min((row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1]), (row[j - 1][0] + (x != y), row[j - 1][1])))
+        row = new
+    end = min(range(len(row)), key=lambda k: row[k])
+    return (*row[end], end)
+
+
+def test_best_window_equals_plain_edit_distance():
     dice = random.Random(10)
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
-        return row
-
-    for _ in range(100):
-        a, b = (np.array([dice.randrange(1, 4) for _ in range(dice.randrange(1, 9))], np.uint64) for _ in range(2))
-        got = decontaminate.edit_distances(a, b, np.array([0]), 2)[0][0]
-        assert got == min(plain(a, b)[: len(a) + 3])
+    for _ in range(200):
+        a, b = ([dice.randrange(1, 4) for _ in range(dice.randrange(1, 9))] for _ in range(2))
+        assert decontaminate.best_window(np.array(a, np.uint64), np.array(b, np.uint64)) == nearest(a, b)
+
+
+def changed(dice, item, edits):
+    item = list(item)
+    for _ in range(edits):
+        at, how = dice.randrange(len(item)), dice.randrange(3)
+        if how == 0:
+            item[at] = f"new{dice.randrange(99)}"
+        elif how == 1:
+            item.insert(at, f"more{dice.randrange(99)}")
+        elif len(item) > 1:
+            del item[at]
+    return item
+
+
+def test_sampled_places_alone_reach_the_target_recall():
+    dice = random.Random(12)
+    items = [prose(dice, dice.randrange(12, 60)) for _ in range(60)]
+    known = decontaminate.prepare(list(enumerate(items)))
+    found = 0
+    for n in range(600):
+        i = n % 60
+        text = " ".join([prose(dice, 40), *changed(dice, items[i].split(), int(known.edits[i])), prose(dice, 40)])
+        hashed, _ = decontaminate.kernels.hash_words([text.encode()], strip_punctuation=True)
+        found += i in decontaminate.hits(hashed, known)[0]
+    assert found >= 0.98 * 600
+    none = decontaminate.prepare([(k, x) for k, x in enumerate(items) if k])  # without its signatures an item is not found
+    assert 0 not in [x[0] for x in decontaminate.scan([items[0]], none)[0]]
+
+
+def test_matches_equal_brute_force_over_all_windows():
+    dice = random.Random(13)
+    items = [prose(dice, n) for n in (1, 3, 4, 5, 6, 7, 9, 14, 20, 33, 58, 70, 150, 400)] + ["", None, "the"]
+    texts = [prose(dice, dice.randrange(1, 120)) for _ in range(20)] + [None, "", "house"]
+    for k, item in enumerate(items[:14]):
+        for share in (0, 0.1, 0.2):
+            n = len(item.split())
+            texts.append(" ".join([prose(dice, k), *changed(dice, item.split(), int(share * n * 0.99)), prose(dice, 2 * k)]))
+    plain = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", lower(t or ""))
+    got = decontaminate.scan(texts, decontaminate.prepare(list(enumerate(items))))
+    right = total = 0
+    for text, own in zip(texts, got, strict=True):
+        want = set()
+        for k, item in enumerate(items):
+            if (w := plain(item)) and plain(text):
+                edits, first, end = nearest(w, plain(text))
+                if edits <= len(w) // 5:
+                    want.add((k, first, end - first, edits))
+        assert {x[0] for x in own} <= {x[0] for x in want}
+        right, total = right + len(want & set(own)), total + len(want)
+    assert total > 60 and right >= 0.98 * total
+
+
+def test_blocks_of_items_are_read_in_one_pass(spark, monkeypatch):
+    dice = random.Random(14)
+    items = [prose(dice, 20) for _ in range(12)]
+    docs = spark.createDataFrame([(k, f"a {t} b", "x") for k, t in enumerate(items)] + [(99, "clean words only", "x")], "doc_id long, text string, item_id string").repartition(2)
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEM_BYTES", 400)
+    assert len(list(decontaminate.item_blocks(bench))) > 3
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(docs, bench).collect()} == {(k, f"i{k}") for k in range(12)}
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()] == [99]
 
 
 def test_archives_round_trip(spark):
