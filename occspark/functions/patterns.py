@@ -12,7 +12,7 @@ DESCRIPTIVE_WORDS = ("madrugada", "manha", "tarde", "noite", "durante", "periodo
 # The state's bounding box in degrees.
 BOX = {"lat": (-25, -19), "lon": (-54, -44)}
 #: A number after separators are cleaned (O-4.14).
-PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+PLAIN_NUMBER = "^-?[0-9]+([.][0-9]+)?$"
 
 
 def is_null_pattern(c: ColumnLike) -> Column:
@@ -68,7 +68,7 @@ def is_in_state_bbox(lat: ColumnLike, lon: ColumnLike) -> Column:
     return F.coalesce(col(lat).between(*BOX["lat"]) & col(lon).between(*BOX["lon"]), F.lit(False))
 
 
-def is_processable_row(num: ColumnLike, year: ColumnLike, lat: ColumnLike, lon: ColumnLike) -> Column:
+def is_processable_row(num: str, year: str, lat: str, lon: str) -> Column:
     """O-3.12: a report number, and a year and coordinates that read as numbers."""
     from .values import parse_source_number
 

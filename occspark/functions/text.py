@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
+#: What counts as white space at the ends of a value: that of ASCII, no-break and typographic spaces, line separators, the byte order mark.
+WHITE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Latin letters with marks and the plain letters they stand for.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
@@ -25,12 +28,17 @@ def col(c: ColumnLike) -> Column:
 
 def trimmed(c: ColumnLike) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def source_text(c: ColumnLike) -> Column:
     """O-4.18: trimmed; blank becomes NULL."""
-    return F.nullif(F.trim(col(c)), F.lit(""))
+    return F.nullif(trimmed(c), F.lit(""))
+
+
+def text_sql(x: str) -> str:
+    """O-4.18 of an SQL expression, as SQL: rows of wide tables are read by SQL text, which is parsed at once."""
+    return f"nullif(btrim({x}, '{WHITE}'), '')"
 
 
 def strip_accents(c: ColumnLike) -> Column:

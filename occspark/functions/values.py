@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import ColumnLike, col, trimmed
+from .text import WHITE, ColumnLike, col, trimmed
 
 #: Dates before this year are taken for errors.
 FIRST_YEAR = 2013
@@ -21,8 +21,13 @@ RECORD_LABELS = {"celular": "Celulares", "veiculo": "Veículos", "objeto": "Obje
 WEEKDAYS = ("Segunda", "Terça", "Quarta", "Quinta", "Sexta", "Sábado", "Domingo")
 
 
+def _found(c: Column, pattern: str, group: int = 0) -> Column:
+    """What a pattern finds, else NULL: casts of blanks that fail are slow."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
 def _date(c: Column, pattern: str, form: str) -> Column:
-    return F.try_to_date(F.regexp_extract(c, pattern, 1), form)
+    return F.try_to_date(_found(c, pattern, 1), form)
 
 
 def parse_date_flexible(c: ColumnLike) -> Column:
@@ -42,7 +47,7 @@ def is_time_format(c: ColumnLike) -> Column:
 
 def is_timestamp_format(c: ColumnLike) -> Column:
     """O-3.9: an ISO date, a blank or T, and a time with seconds."""
-    return F.coalesce(col(c).rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T]([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$") & F.try_to_date(F.regexp_extract(col(c), "^([0-9-]+)", 1), "y-M-d").isNotNull(), F.lit(False))
+    return F.coalesce(col(c).rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T]([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$") & F.try_to_date(_found(col(c), "^([0-9-]+)", 1), "y-M-d").isNotNull(), F.lit(False))
 
 
 def iso(d: Column) -> Column:
@@ -63,7 +68,7 @@ def excel_serial_to_date(n: ColumnLike) -> Column:
 
 def _serial_date(c: ColumnLike) -> Column:
     """The date of a whole or broken serial in range; all of them are past 1900-02-29."""
-    number = F.regexp_extract(trimmed(c), r"^[0-9]{1,9}(\.[0-9]+)?$", 0).try_cast("double")
+    number = _found(trimmed(c), r"^[0-9]{1,9}(\.[0-9]+)?$").try_cast("double")
     day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(number).cast("int"))
     first, last = (F.date_add(F.lit("1899-12-30").cast("date"), F.lit(n)) for n in SERIALS)
     return F.when(day.between(first, last), day)
@@ -97,13 +102,13 @@ def excel_datetime_cell(serial: ColumnLike, header: str) -> Column:
 def parse_time_flexible(c: ColumnLike) -> Column:
     """O-4.7: ``H:M:S``, ``H:M``, ``23h30``, a day's fraction, ``23.30``, ``hmm``, in this order; else NULL."""
     t = trimmed(c)
-    part = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
+    part = lambda p, k: _found(t, p, k).try_cast("int")
     real = lambda p, seconds: F.when(t.rlike(p), (part(p, 1) <= 23) & (part(p, 2) <= 59) & ((part(p, 3) <= 59) if seconds else F.lit(True)))
     full, short, h, dot = "^([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$", "^([0-9]{1,2}):([0-9]{1,2})$", "^([0-9]{1,2})[hH]([0-9]{1,2})$", r"^([0-9]{1,2})\.([0-9]{1,2})$"
     hm = lambda p: F.when(real(p, False), F.format_string("%02d:%02d", part(p, 1), part(p, 2)))
-    fraction = F.regexp_extract(t, r"^[0-9]*\.?[0-9]+$", 0).try_cast("double")
+    fraction = _found(t, r"^[0-9]*\.?[0-9]+$").try_cast("double")
     seconds = F.when((fraction >= 0) & (fraction < 1), F.round(fraction * 86400).cast("int"))
-    n = F.regexp_extract(t, "^[0-9]{1,4}$", 0).try_cast("int")
+    n = _found(t, "^[0-9]{1,4}$").try_cast("int")
     hmm = F.when((n <= 2359) & (n % 100 <= 59), F.format_string("%02d:%02d", F.floor(n / 100).cast("int"), (n % 100).cast("int")))
     return F.coalesce(F.when(real(full, True), F.format_string("%02d:%02d:%02d", part(full, 1), part(full, 2), part(full, 3))), hm(short), hm(h), F.when(seconds < 86400, _clock(seconds)), F.when(seconds.isNull(), hm(dot)), F.when(seconds.isNull(), hmm))
 
@@ -116,7 +121,7 @@ def _void(c: ColumnLike) -> Column:
 def clean_date(c: ColumnLike) -> Column:
     """O-4.8: ISO text or ''. A timestamp gives its date part, whatever the year."""
     t = trimmed(c)
-    stamp = F.when(is_timestamp_format(t), iso(F.try_to_date(F.regexp_extract(t, "^([0-9-]+)", 1), "y-M-d")))
+    stamp = F.when(is_timestamp_format(t), iso(_date(t, "^([0-9-]+)", "y-M-d")))
     return F.when(_void(c) | P.is_null_pattern(t), "").otherwise(F.coalesce(normalize_date_iso(t), stamp, iso(_serial_date(t)), F.lit("")))
 
 
@@ -128,6 +133,7 @@ def clean_time(c: ColumnLike) -> Column:
 
 def clean_numeric(c: ColumnLike) -> Column:
     """O-4.10: seven rewrites of separators, then the value or its first number, or ''. ``1.234,56`` gives ``1.234``."""
+    # The rewrites, in order.
     t = trimmed(c)
     for pattern, by in ((r"(-?[0-9]+),([0-9]+)", "$1.$2"), (r"(-?[0-9]+)\.([0-9]*),([0-9]+)", "$1.$2$3"), (r"\.{2,}", "."), (",{2,}", "."), ("[,.][,.]", "."), ("[,.]$", ""), ("^(-)[,.]", "$1")):
         t = F.regexp_replace(t, pattern, by)
@@ -163,35 +169,60 @@ def clean_by_type(c: ColumnLike, kind: str, header: str) -> Column:
     return clean_time(c) if "time" in kind else clean_general(c)
 
 
-def clean_separators(c: ColumnLike) -> Column:
+#: Numbers of record fields, in the grammar of the source's runtime, but for its hexadecimal ones.
+RECORD_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def separators_sql(x: str) -> str:
     """A number's text with a point for its decimals: of two kinds of separators the last one, else a comma."""
-    t = F.regexp_replace(col(c), r"\s+", "")
-    t = F.regexp_replace(t, r"\.(?=.*,[^.]*$)", "")  # points before a last comma
-    t = F.regexp_replace(t, r",(?=.*\.[^,]*$)", "")  # commas before a last point
-    return F.translate(t, ",", ".")
+    bare = f"translate({x}, '{WHITE}', '')"
+    no_points = f"regexp_replace({bare}, '[.](?=[^,]*,[^.]*$)', '')"  # points before a last comma
+    return f"translate(regexp_replace({no_points}, ',(?=[^.]*[.][^,]*$)', ''), ',', '.')"
+
+
+def number_sql(x: str, grammar: str = P.PLAIN_NUMBER) -> str:
+    """O-4.14 as SQL. The grammar of plain numbers is for coordinates and years, RECORD_NUMBER for fields of records."""
+    return f"try_cast(nullif(regexp_extract({separators_sql(x)}, '{grammar}', 0), '') AS double)"
+
+
+def flag_sql(x: str) -> str:
+    """O-4.16 as SQL."""
+    t = f"upper(btrim({x}, '{WHITE}'))"
+    return f"CASE WHEN {t} IN ('S', 'SIM', 'TRUE', '1') THEN true WHEN {t} IN ('N', 'NAO', 'NÃO', 'FALSE', '0') THEN false END"
 
 
-def parse_source_number(c: ColumnLike) -> Column:
-    """O-4.14: ``1.234,56`` gives 1234.56; what is no number gives NULL."""
-    return F.regexp_extract(clean_separators(c), P.PLAIN_NUMBER, 0).try_cast("double")
+def date_sql(x: str) -> str:
+    """O-4.17 as SQL."""
+    t = f"btrim({x}, '{WHITE}')"
+    found = lambda pattern, form: f"try_to_date(nullif(regexp_extract({t}, '{pattern}', 1), ''), '{form}')"
+    days = f"cast(floor(try_cast(nullif(regexp_extract({t}, '^[0-9]{{1,9}}([.][0-9]+)?$', 0), '') AS double)) AS int)"
+    serial = f"CASE WHEN {days} BETWEEN {SERIALS[0]} AND {SERIALS[1]} THEN date_add(DATE'1899-12-30', {days}) END"
+    return f"coalesce({found('^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:$|[ T])', 'y-M-d')}, {found('^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 'd/M/y')}, {found('^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$', 'd-M-y')}, {serial})"
 
 
-def parse_source_integer(c: ColumnLike) -> Column:
+def parse_source_number(c: str) -> Column:
+    """O-4.14 of a column: ``1.234,56`` gives 1234.56; what is no number gives NULL."""
+    return F.expr(number_sql(c))
+
+
+def parse_record_number(c: str) -> Column:
+    """O-4.14 for fields of records: signs, exponents and bare points are read too."""
+    return F.expr(number_sql(c, RECORD_NUMBER))
+
+
+def parse_source_integer(c: str) -> Column:
     """O-4.15: the number cut toward zero."""
     return parse_source_number(c).cast("bigint")
 
 
-def parse_source_flag(c: ColumnLike) -> Column:
+def parse_source_flag(c: str) -> Column:
     """O-4.16."""
-    t = F.upper(F.trim(col(c)))
-    return F.when(t.isin("S", "SIM", "TRUE", "1"), True).when(t.isin("N", "NAO", "NÃO", "FALSE", "0"), False)
+    return F.expr(flag_sql(c))
 
 
-def parse_source_date(c: ColumnLike) -> Column:
+def parse_source_date(c: str) -> Column:
     """O-4.17: ISO date or datetime, ``d/m/Y`` with anything behind, ``d-m-Y``, or a serial. Impossible dates are NULL."""
-    t = trimmed(c)
-    forms = ((r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:$|[ T])", "y-M-d"), ("^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})", "d/M/y"), ("^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$", "d-M-y"))
-    return F.coalesce(*[_date(t, p, f) for p, f in forms], _serial_date(t))
+    return F.expr(date_sql(c))
 
 
 def period_label(p: ColumnLike) -> Column:
@@ -215,19 +246,25 @@ def occurrence_hour(c: ColumnLike) -> Column:
     return F.nullif(F.regexp_extract(col(c), r"^\s*(2[0-3]|[01]?[0-9])(?:$|[^0-9])", 1), F.lit("")).cast("int")
 
 
-def _half_up(x: Column) -> Column:
-    return F.floor(x * 10000 + 0.5) / 10000
+def hash_sql(lat: str, lon: str) -> str:
+    """O-4.22 as SQL."""
+    part = lambda x: f"format_string('%.4f', floor({x} * 10000 + 0.5) / 10000 + 0.0D)"
+    return f"substring(md5(concat({part(lat)}, '|', {part(lon)})), 1, 16)"
+
+
+def bucket_sql(x: str) -> str:
+    """O-4.23 as SQL."""
+    return f"cast(round(cast({x} AS decimal(20,10)), 4) AS decimal(12,4))"
 
 
-def location_hash(lat: ColumnLike, lon: ColumnLike) -> Column:
+def location_hash(lat: str, lon: str) -> Column:
     """O-4.22: 16 hex digits for the cell of about 11 m; halves go up. -0.0 reads as 0."""
-    part = lambda x: F.format_string("%.4f", _half_up(col(x)) + F.lit(0.0))
-    return F.substring(F.md5(F.concat(part(lat), F.lit("|"), part(lon))), 1, 16)
+    return F.expr(hash_sql(lat, lon))
 
 
-def location_bucket(x: ColumnLike) -> Column:
+def location_bucket(x: str) -> Column:
     """O-4.23: four decimals, halves away from zero."""
-    return F.round(col(x).cast("decimal(20,10)"), 4).cast("decimal(12,4)")
+    return F.expr(bucket_sql(x))
 
 
 def record_quantity(q: ColumnLike) -> Column:

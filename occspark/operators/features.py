@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import text as X
 from ..functions import values as V
-from .records import KEY, LOCATION, OCCURRENCE, source_rows
+from .records import KEY, LOCATION, OCCURRENCE, source_config, source_rows
 
 _SUMMARY = (("celulares_count", "celular"), ("veiculos_count", "veiculo"), ("objetos_count", "objeto"), ("dados_criminais_count", "dados_criminais"))
 
@@ -75,29 +75,45 @@ def remove_source_table(features: DataFrame, table: str) -> DataFrame:
     return out.withColumn("source_tables", F.array_remove("source_tables", table)).withColumn("summary", summarize_records(F.col("records")))
 
 
-def upsert_features(features: DataFrame, rows: DataFrame, table: str) -> DataFrame:
-    """O-6.13: a table's rows instead of those it gave before, merged with the rules of O-6.11, what is there as the earlier.
+def refresh_features(features: DataFrame, rows: DataFrame, tables: list[str]) -> DataFrame:
+    """O-6.13 for some tables at once: their rows (source_rows) instead of those they gave before.
 
-    Both sides meet in one aggregation on the key.
+    As if the tables came one after another by name: what a feature is without them is kept
+    under the new rows by the rules of O-6.11, unless nothing else feeds it when the last of
+    its old tables goes. Old and new features meet in one aggregation on the key, however
+    many tables come.
     """
-    before = remove_source_table(features, table).drop("summary").withColumn("_rank", F.lit(0))
-    new = group_features(rows).withColumn("source_tables", F.array("source_table")).drop("source_table").withColumn("_rank", F.lit(1))
-    both = before.select(*new.columns).unionByName(new)
-    order = F.col("_rank")
-    fields = lambda struct, names: F.struct(*[_last_known(F.col(f"{struct}.{f}"), order).alias(f) for f in names]).alias(struct)
-    merged = both.groupBy(*KEY).agg(
-        F.min_by("latitude", order).alias("latitude"), F.min_by("longitude", order).alias("longitude"), F.max_by("category", order).alias("category"), F.max_by("rubrica_for_styling", order).alias("rubrica_for_styling"),
-        _last_known(F.col("data_ocorrencia"), order).alias("data_ocorrencia"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_tables")))).alias("source_tables"), fields("location", LOCATION), fields("occurrence", OCCURRENCE),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("all_rubricas")))).alias("all_rubricas"), F.sort_array(F.collect_list(F.struct("_rank", "records"))).alias("kept"))
-    whole = merged.withColumn("records", F.flatten(F.transform("kept", lambda x: x["records"]))).drop("kept")
+    names = F.array(*map(F.lit, sorted(set(tables))))
+    rest = F.filter("records", lambda r: ~F.array_contains(names, r["source_table"]))
+    touched = F.arrays_overlap("source_tables", names)
+    rubrics = F.array_distinct(F.filter(F.transform(rest, lambda r: r["rubrica"]), lambda x: x.isNotNull()))
+    old = features.withColumns({"all_rubricas": F.when(touched, rubrics).otherwise(F.col("all_rubricas")), "records": F.when(touched, rest).otherwise(F.col("records")),
+                                "_was": F.array_max("source_tables"), "source_tables": F.array_except("source_tables", names)})
+    new = merge_features(group_features(rows.repartition(*KEY))).withColumn("_was", F.lit(None).cast("string"))
+    columns = [c for c in new.columns if c not in (*KEY, "summary")]
+    side = lambda df, name, other: df.select(*KEY, F.struct(*columns).alias(name), F.lit(None).alias(other))
+    both = side(old, "o", "n").unionByName(side(new, "n", "o"))
+    met = both.groupBy(*KEY).agg(F.first("o", True).alias("o"), F.first("n", True).alias("n"))
+    fed = (F.size("o.source_tables") > 0) | (F.col("n").isNotNull() & (F.get("n.source_tables", F.lit(0)) < F.col("o._was")))
+    met = met.withColumn("o", F.when(fed, F.col("o"))).where("o is not null or n is not null")
+    either = lambda first, then, c: F.coalesce(F.col(f"{first}.{c}"), F.col(f"{then}.{c}")).alias(c)
+    last_known = lambda struct, names: F.struct(*[F.coalesce(F.col(f"n.{struct}.{f}"), F.col(f"o.{struct}.{f}")).alias(f) for f in names]).alias(struct)
+    all_of = lambda c: F.flatten(F.array_compact(F.array(F.col(f"o.{c}"), F.col(f"n.{c}"))))
+    whole = met.select(*KEY, either("o", "n", "latitude"), either("o", "n", "longitude"), either("n", "o", "category"), either("n", "o", "rubrica_for_styling"), either("n", "o", "data_ocorrencia"),
+                       F.array_sort(F.array_distinct(all_of("source_tables"))).alias("source_tables"), last_known("location", LOCATION), last_known("occurrence", OCCURRENCE),
+                       F.array_sort(F.array_distinct(all_of("all_rubricas"))).alias("all_rubricas"), all_of("records").alias("records"))
     return whole.withColumn("summary", summarize_records(F.col("records")))
 
 
+def upsert_features(features: DataFrame, rows: DataFrame, table: str) -> DataFrame:
+    """O-6.13: a table's rows instead of those it gave before, merged with the rules of O-6.11, what is there as the earlier."""
+    return refresh_features(features, rows, [table])
+
+
 def incremental_refresh(features: DataFrame, tables: dict[str, DataFrame], flagged: list[str]) -> DataFrame:
-    """O-6.14: upserts of the flagged tables that have a configuration, by name."""
-    for name in sorted(set(flagged) & set(tables)):
-        features = upsert_features(features, source_rows(tables[name], name), name)
-    return features
+    """O-6.14: the flagged tables that have a configuration, all in one pass."""
+    known = sorted(t for t in set(flagged) & set(tables) if source_config(t) is not None)
+    return refresh_features(features, reduce(DataFrame.unionByName, [source_rows(tables[t], t) for t in known]), known) if known else features
 
 
 def derive_search_columns(features: DataFrame) -> DataFrame:
@@ -124,9 +140,12 @@ def date_range(features: DataFrame, date: str = "data_ocorrencia") -> DataFrame:
     return known.withColumn("default_after", F.greatest("min_date", F.add_months("max_date", -3)))
 
 
-def etl_status(features: DataFrame) -> DataFrame:
-    """O-6.18: (source_table, features) by table."""
-    return features.select(F.explode("source_tables").alias("source_table")).groupBy("source_table").agg(F.count(F.lit(1)).alias("features")).orderBy("source_table")
+def etl_status(rows: DataFrame, tables: list[str]) -> DataFrame:
+    """O-6.18: (source_table, status, rows_processed) by table, from the rows that were grouped (source_rows); a table that gave none is pending."""
+    counted = rows.groupBy("source_table").agg(F.count(F.lit(1)).alias("n"))
+    asked = rows.sparkSession.createDataFrame([(t,) for t in sorted(set(tables))], "source_table string")
+    told = asked.join(counted, "source_table", "left")
+    return told.select("source_table", F.when(F.col("n") > 0, "completed").otherwise("pending").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("rows_processed")).orderBy("source_table")
 
 
 def hydrate_missing_records(features: DataFrame, rows: DataFrame) -> DataFrame:

@@ -101,11 +101,11 @@ def bounds_filter(bounds: tuple[float, float, float, float] | None) -> Column |
     return F.col("longitude").between(bounds[0], bounds[2]) & F.col("latitude").between(bounds[1], bounds[3])
 
 
-def radius_filter(lon: float, lat: float, metres: float, ellipsoid: bool = False) -> Column:
-    """O-7.6: a box of so many degrees each way, and the distance. The box is square in degrees and cuts the circle's east and west."""
+def radius_filter(lon: float, lat: float, metres: float, sphere: bool = False) -> Column:
+    """O-7.6: a box of so many degrees each way, and the distance on the ellipsoid. The box is square in degrees and cuts the circle's east and west."""
     reach = check_radius(metres) / geo.METRES_PER_DEGREE
     box = F.col("longitude").between(lon - reach, lon + reach) & F.col("latitude").between(lat - reach, lat + reach)
-    measure = geo.geodesic_m if ellipsoid else geo.haversine_m
+    measure = geo.haversine_m if sphere else geo.ellipsoid_m
     return box & (measure(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)) <= metres)
 
 

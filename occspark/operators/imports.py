@@ -16,8 +16,9 @@ def import_status(catalog: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def import_statistics(status: DataFrame) -> DataFrame:
-    """O-11.2: one row: categories and tables with data, rows."""
-    return status.agg(F.count_distinct(F.when(F.col("rows") > 0, F.col("category"))).alias("categories"), F.count_if(F.col("rows") > 0).alias("tables"), F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"))
+    """O-11.2: one row: categories and tables, in all and with data, and records."""
+    full = F.col("exists") & (F.col("rows") > 0)
+    return status.agg(F.count_distinct("category").alias("total_categories"), F.count_distinct(F.when(full, F.col("category"))).alias("categories_with_data"), F.count(F.lit(1)).alias("total_tables"), F.count_if(full).alias("tables_with_data"), F.coalesce(F.sum(F.when(full, F.col("rows"))), F.lit(0)).cast("long").alias("total_records"))
 
 
 def tables_needing_attention(status: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def coroner_join(features: DataFrame, coroner: DataFrame) -> DataFrame:
 
 
 def features_by_report(features: DataFrame, num_bo: str, ano_bo: int | None = None, delegacia: str | None = None) -> DataFrame:
-    """O-9.3: the features of a report, latest first, unknown dates before all."""
+    """O-9.3: the features of a report, latest first, unknown dates before all. The unit is compared as it is; '' is that of features without one."""
     rows = features.where(F.col("num_bo") == num_bo.strip())
     rows = rows if ano_bo is None else rows.where(F.col("ano_bo") == ano_bo)
-    rows = rows if not delegacia else rows.where(normalize_lookup_key("delegacia") == normalize_lookup_key(F.lit(delegacia)))
+    rows = rows if delegacia is None else rows.where(F.coalesce("delegacia", F.lit("")) == delegacia)
     return rows.orderBy(F.desc_nulls_first("data_ocorrencia"), *KEY)
 
 
@@ -50,22 +50,32 @@ def features_by_reports(features: DataFrame, reports: DataFrame) -> DataFrame:
     return features.join(keys, (F.col("num_bo") == F.col("_num")) & (F.col("_ano").isNull() | (F.col("ano_bo") == F.col("_ano"))), "left_semi")
 
 
-def summaries_by_report(features: DataFrame, num_bo: str, ano_bo: int | None = None) -> DataFrame:
-    """O-9.4: thin rows of O-9.3."""
-    return features_by_report(features, num_bo, ano_bo).select(*KEY, "category", "data_ocorrencia", "latitude", "longitude", "total_records")
+def summaries_by_report(features: DataFrame, num_bo: str, ano_bo: int | None = None, delegacia: str | None = None) -> DataFrame:
+    """O-9.4: thin rows of O-9.3; a blank unit doesn't filter here."""
+    rows = features_by_report(features, num_bo, ano_bo, delegacia or None)
+    return rows.select(*KEY, "latitude", "longitude", "category", "rubrica_for_styling", "data_ocorrencia", "source_tables")
 
 
-def feature_detail(features: DataFrame, coroner: DataFrame, num_bo: str, ano_bo: int | None = None) -> DataFrame:
+def feature_detail(features: DataFrame, coroner: DataFrame, num_bo: str, ano_bo: int | None = None, delegacia: str | None = None) -> DataFrame:
     """O-9.5: the first feature of a report with its coroner records."""
-    return coroner_join(features_by_report(features, num_bo, ano_bo).limit(1), coroner)
+    return coroner_join(features_by_report(features, num_bo, ano_bo, delegacia).limit(1), coroner)
 
 
 def grouped_occurrences(features: DataFrame) -> DataFrame:
-    """O-9.6: a row for each record, by id ``table:source_id``; a feature without records gives one of its own."""
-    rows = features.select(*KEY, "category", "data_ocorrencia", "source_tables", F.greatest("total_records", F.lit(1)).alias("record_count"), F.explode_outer("records").alias("r"))
-    alone = F.concat_ws(":", F.get("source_tables", F.lit(0)), F.col("num_bo"), F.col("ano_bo").cast("string"))
-    return rows.select(F.when(F.col("r").isNull(), alone).otherwise(F.concat_ws(":", "r.source_table", F.col("r.source_id").cast("string"))).alias("occurrence_id"), *KEY, F.coalesce(F.nullif("r.rubrica", F.lit("")), "category").alias("category"),
-                       V.record_type_label("r.type").alias("record_label"), "data_ocorrencia", "record_count")
+    """O-9.6: a row for each record, by id ``table:source_id``; a feature without records gives one of its own.
+
+    The columns from primary_category on are those of the report that the row belongs to.
+    """
+    of = {"hora_ocorrencia": "occurrence.hora_ocorrencia", "data_registro": "occurrence.data_registro", "logradouro": "location.logradouro", "numero_logradouro": "location.numero", "bairro": "location.bairro", "cidade": "location.cidade",
+          "local_tipo": "location.tipo_local", "periodo": "occurrence.periodo", "conduta": "occurrence.conduta", "natureza_apurada": "occurrence.natureza_apurada"}
+    first_table = F.coalesce(F.get("source_tables", F.lit(0)), F.lit("unknown"))
+    rows = features.select(*KEY, "latitude", "longitude", "category", "rubrica_for_styling", "data_ocorrencia", "source_tables", *[F.col(c).alias(n) for n, c in of.items()], F.coalesce("occurrence.delegacia", "delegacia").alias("unit"), "all_rubricas",
+                           F.greatest(F.coalesce("total_records", F.lit(0)), F.lit(1)).alias("record_count"), F.explode_outer("records").alias("r"))
+    known = F.col("r").isNotNull()
+    alone = F.concat_ws(":", F.lit("map_features"), F.col("num_bo"), F.col("ano_bo").cast("string"), F.col("location_hash"))
+    return rows.select(F.when(known, F.concat_ws(":", "r.source_table", F.col("r.source_id").cast("string"))).otherwise(alone).alias("occurrence_id"), F.when(known, F.col("r.source_table")).otherwise(first_table).alias("source_table"), "num_bo", "ano_bo", "location_hash",
+                       F.coalesce(F.nullif("r.rubrica", F.lit("")), "category").alias("category"), "rubrica_for_styling", "latitude", "longitude", "data_ocorrencia", *of, F.col("unit").alias("delegacia"), V.record_type_label("r.type").alias("record_label"),
+                       F.col("category").alias("primary_category"), F.when(F.size("all_rubricas") > 0, F.col("all_rubricas")).otherwise(F.array("category")).alias("all_categories"), "source_tables", "record_count")
 
 
 def tile_metadata(features: DataFrame, where: FeatureFilter | None = None) -> DataFrame:

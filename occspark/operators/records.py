@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as X
 from ..functions import values as V
 
 KEY = ["num_bo", "ano_bo", "delegacia", "location_hash"]
@@ -67,62 +68,99 @@ def select_needed(df: DataFrame, config: SourceConfig) -> DataFrame:
 
 def filter_processable(df: DataFrame) -> DataFrame:
     """O-6.3: rows with a number, a year and coordinates inside the state."""
-    inside = P.is_in_state_bbox(V.parse_source_number("LATITUDE"), V.parse_source_number("LONGITUDE"))
-    return df.where(P.is_processable_row("NUM_BO", "ANO_BO", "LATITUDE", "LONGITUDE") & inside)
+    inside = " AND ".join(f"{V.number_sql(c)} BETWEEN {low} AND {high}" for c, (low, high) in (("LATITUDE", P.BOX["lat"]), ("LONGITUDE", P.BOX["lon"])))
+    return df.where(f"{X.text_sql('NUM_BO')} IS NOT NULL AND {V.number_sql('ANO_BO')} IS NOT NULL AND {inside}")
 
 
-def _first(df: DataFrame, columns: tuple[str, ...] | list[str]) -> Column:
-    own = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns if c in df.columns]
-    return F.coalesce(*own) if own else F.lit(None).cast("string")
+def _texts(df: DataFrame) -> dict[str, str]:
+    """The trimmed text of each column, blank as NULL, as SQL."""
+    return {c: X.text_sql(f"`{c}`") for c in df.columns}
+
+
+def _first_sql(columns: tuple[str, ...], among: dict[str, str]) -> str:
+    """The first of some columns that has text, as SQL. among: SQL of each column's text."""
+    own = [among[c] for c in columns if c in among]
+    return "cast(NULL AS string)" if not own else own[0] if len(own) == 1 else f"coalesce({', '.join(own)})"
+
+
+def _struct_sql(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _location_sql(among: dict[str, str]) -> str:
+    return _struct_sql({f: _first_sql(tuple(c), among) for f, c in LOCATION.items()})
+
+
+def _occurrence_sql(among: dict[str, str]) -> str:
+    iso = lambda x: f"date_format({V.date_sql(x)}, 'yyyy-MM-dd')"
+    convert = {"flagrante": V.flag_sql, "data_registro": iso, "data_comunicacao": iso}
+    return _struct_sql({f: convert.get(f, str)(_first_sql(tuple(c), among)) for f, c in OCCURRENCE.items()})
+
+
+def _record_sql(config: SourceConfig, table: str, among: dict[str, str]) -> str:
+    read = {"text": str, "flag": V.flag_sql, "int": lambda x: f"cast({V.number_sql(x, V.RECORD_NUMBER)} AS bigint)", "number": lambda x: V.number_sql(x, V.RECORD_NUMBER)}
+    own = {"type": f"'{config.record_type}'", "source_id": "cast(id AS bigint)", "source_table": _quoted(table)}
+    if config.rubric:
+        own["rubrica"] = _first_sql((config.rubric,), among)
+    for name, (kind, *columns) in config.fields.items():
+        own[name] = read[kind](_first_sql(tuple(columns), among))
+    return _struct_sql({f: f"cast({own[f]} AS {t})" if f in own else f"cast(NULL AS {t})" for f, t in RECORD_FIELDS.items()})
+
+
+def _category_sql(config: SourceConfig, among: dict[str, str]) -> tuple[str, str]:
+    rubric = _first_sql((config.rubric,), among) if config.rubric else "cast(NULL AS string)"
+    return f"coalesce({rubric}, {_quoted(config.category or 'Outros')})", f"coalesce({rubric}, {_quoted(config.styling or 'default')})"
+
+
+def _known_sql(date: str) -> str:
+    return f"CASE WHEN {date} >= DATE'2013-01-01' THEN {date} END"
 
 
 def extract_location(df: DataFrame) -> Column:
     """O-6.4: each field from its first column with text."""
-    return F.struct(*[_first(df, c).alias(f) for f, c in LOCATION.items()])
+    return F.expr(_location_sql(_texts(df)))
 
 
 def extract_occurrence(df: DataFrame) -> Column:
     """O-6.5: like O-6.4, then converted; a first text that can't be read gives NULL, later columns aren't tried."""
-    convert = {"flagrante": V.parse_source_flag, "data_registro": lambda c: V.iso(V.parse_source_date(c)), "data_comunicacao": lambda c: V.iso(V.parse_source_date(c))}
-    return F.struct(*[convert.get(f, lambda c: c)(_first(df, c)).alias(f) for f, c in OCCURRENCE.items()])
+    return F.expr(_occurrence_sql(_texts(df)))
 
 
 def extract_record(df: DataFrame, config: SourceConfig, table: str) -> Column:
     """O-6.6: the row's record, in the struct that all types share."""
-    read = {"text": lambda c: c, "int": V.parse_source_integer, "number": V.parse_source_number, "flag": V.parse_source_flag}
-    own = {"type": F.lit(config.record_type), "source_id": F.col("id").cast("bigint"), "source_table": F.lit(table)}
-    if config.rubric:
-        own["rubrica"] = _first(df, [config.rubric])
-    for name, (kind, *columns) in config.fields.items():
-        own[name] = read[kind](_first(df, columns))
-    return F.struct(*[own.get(f, F.lit(None)).cast(t).alias(f) for f, t in RECORD_FIELDS.items()])
+    return F.expr(_record_sql(config, table, _texts(df)))
 
 
 def derive_category(df: DataFrame, config: SourceConfig) -> tuple[Column, Column]:
     """O-6.7: (category, styling): the rubric, else what the configuration says, else others."""
-    rubric = _first(df, [config.rubric]) if config.rubric else F.lit(None).cast("string")
-    return F.coalesce(rubric, F.lit(config.category or "Outros")), F.coalesce(rubric, F.lit(config.styling or "default"))
-
-
-def known_date(d: Column) -> Column:
-    """A date from 2013 on."""
-    return F.when(d >= F.lit("2013-01-01").cast("date"), d)
+    category, styling = _category_sql(config, _texts(df))
+    return F.expr(category), F.expr(styling)
 
 
 def derive_date(c: str) -> Column:
     """O-6.8: the date of occurrence, from 2013 on."""
-    return known_date(V.parse_source_date(c))
+    return F.expr(_known_sql(V.date_sql(c)))
 
 
 def source_rows(df: DataFrame, table: str) -> DataFrame:
-    """Processable rows in the shape that grouping takes: key, place, category, date and record."""
+    """Processable rows in the shape that grouping takes: key, place, category, date and record.
+
+    Each step reads what the one before made: texts are trimmed once, then coordinates and
+    the date read once, and the wide struct is made of rows that are kept.
+    """
     config = source_config(table)
     if config is None:
         raise ValueError(f"no configuration for {table}")
-    rows = filter_processable(select_needed(df, config)).withColumns({"_lat": V.parse_source_number("LATITUDE"), "_lon": V.parse_source_number("LONGITUDE"), "_date": V.parse_source_date("DATA_OCORRENCIA_BO")})
-    lat, lon = F.col("_lat"), F.col("_lon")
-    category, styling = derive_category(rows, config)
-    return rows.select(F.trim("NUM_BO").alias("num_bo"), V.parse_source_integer("ANO_BO").cast("int").alias("ano_bo"), F.nullif(F.trim("NOME_DELEGACIA"), F.lit("")).alias("delegacia"), V.location_hash(lat, lon).alias("location_hash"),
-                       lat.alias("latitude"), lon.alias("longitude"), category.alias("category"), styling.alias("rubrica_for_styling"), known_date(F.col("_date")).alias("data_ocorrencia"),
-                       extract_location(rows).alias("location"), extract_occurrence(rows).alias("occurrence"), extract_record(rows, config, table).alias("record"), F.lit(table).alias("source_table"),
-                       V.location_bucket(lat).alias("lat_bucket"), V.location_bucket(lon).alias("lon_bucket"), F.col("id").cast("bigint").alias("id"))
+    rows = filter_processable(select_needed(df, config))
+    among = {c: f"`{c}`" for c in rows.columns}
+    trimmed = rows.selectExpr("id", *[f"{sql} AS `{c}`" for c, sql in _texts(rows).items() if c != "id"])
+    read = trimmed.selectExpr("*", f"{V.number_sql('LATITUDE')} AS _lat", f"{V.number_sql('LONGITUDE')} AS _lon", f"{V.date_sql('DATA_OCORRENCIA_BO')} AS _date")
+    category, styling = _category_sql(config, among)
+    return read.selectExpr(
+        "NUM_BO AS num_bo", f"cast({V.number_sql('ANO_BO')} AS int) AS ano_bo", "NOME_DELEGACIA AS delegacia", f"{V.hash_sql('_lat', '_lon')} AS location_hash", "_lat AS latitude", "_lon AS longitude",
+        f"{category} AS category", f"{styling} AS rubrica_for_styling", f"{_known_sql('_date')} AS data_ocorrencia", f"{_location_sql(among)} AS location", f"{_occurrence_sql(among)} AS occurrence", f"{_record_sql(config, table, among)} AS record",
+        f"{_quoted(table)} AS source_table", f"{V.bucket_sql('_lat')} AS lat_bucket", f"{V.bucket_sql('_lon')} AS lon_bucket", "cast(id AS bigint) AS id")

@@ -13,6 +13,9 @@ from ..operators import features as FE
 
 TABLES = ("celulares_2024", "veiculos_2024", "objetos_2024", "dados_criminais_2024", "produtividade_entorpecentes_2024")
 
+#: Tables of the other record types, each from a third of the rows.
+OTHER_TABLES = ("produtividade_armas_2024", "produtividade_veiculos_recuperados_2024", "produtividade_presos_2024")
+
 #: Raw rows of the five tables (src is the place in TABLES): ten events share a report, text is noisy on purpose.
 RAW_SQL = """
 SELECT event_id + 1 AS id, event_id % 5 AS src, 'DU' || lpad(cast(g AS string), 6, '0') AS NUM_BO, '2024' AS ANO_BO,
@@ -29,7 +32,11 @@ SELECT event_id + 1 AS id, event_id % 5 AS src, 'DU' || lpad(cast(g AS string),
   CASE event_id % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'N' ELSE '' END AS FLAG_BLOQUEIO,
   'Carro ' || cast(event_id % 3 AS string) AS DESCR_TIPO_VEICULO, CASE WHEN event_id % 8 = 1 THEN '' ELSE 'Fab ' || cast(event_id % 6 AS string) END AS DESCR_MARCA_VEICULO, cast(2000 + event_id % 20 AS string) AS ANO_MODELO,
   CASE WHEN event_id % 6 = 4 THEN '' ELSE 'Droga ' || cast(event_id % 8 AS string) END AS DESCR_TOXICO, cast(event_id % 300 AS string) || ',5' AS QTDE_GRAMAS_ARRED,
-  'Cidade ' || cast(g % 9 AS string) AS CIDADE, CASE WHEN g % 4 = 0 THEN '' ELSE 'Via ' || cast(g % 15 AS string) END AS DESCR_TIPOLOCAL, 'Circ ' || cast(g % 20 AS string) AS NOME_DELEGACIA_CIRC
+  'Cidade ' || cast(g % 9 AS string) AS CIDADE, CASE WHEN g % 4 = 0 THEN '' ELSE 'Via ' || cast(g % 15 AS string) END AS DESCR_TIPOLOCAL, 'Circ ' || cast(g % 20 AS string) AS NOME_DELEGACIA_CIRC,
+  event_id % 3 AS kind, CASE WHEN event_id % 4 = 1 THEN '' ELSE 'Arma ' || cast(event_id % 5 AS string) END AS DESC_ARMA_FOGO, '.' || cast(30 + event_id % 9 AS string) AS CALIBRE, ' Forja ' || cast(event_id % 2 AS string) AS ARMA_NOME_MARCA,
+  'AAA' || lpad(cast(event_id % 1000 AS string), 4, '0') AS PLACA_VEICULO, CASE event_id % 5 WHEN 0 THEN '+31' WHEN 1 THEN '2e1' WHEN 2 THEN '47,9' WHEN 3 THEN 'x' ELSE ' 18 ' END AS IDADE_PESSOA,
+  CASE WHEN event_id % 4 = 2 THEN ' ' ELSE 'Cor ' || cast(event_id % 3 AS string) END AS COR_CUTIS, 'Curtis' AS COR_CURTIS, CASE event_id % 4 WHEN 0 THEN ' sim' WHEN 1 THEN 'N' WHEN 2 THEN 'talvez' ELSE '' END AS FLAG_FLAGRANTE,
+  CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '2024-01-' || dd || ' 10:00:00' ELSE dd || '-01-2024' END AS DATA_REGISTRO, '2024-02-' || dd || 'T08:00' AS DATAHORA_REGISTRO_BO
 FROM (SELECT event_id, event_type, cast(floor(event_id / 10) AS bigint) AS g, hour(ts) AS h, minute(ts) AS mi, day(ts) AS d, lpad(cast(day(ts) AS string), 2, '0') AS dd, CASE event_id % 2 WHEN 0 THEN '.' ELSE ',' END AS sep FROM events) AS e
 """
 
@@ -69,6 +76,12 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: whole.where(F.col("src") == k).drop("src") for k, name in enumerate(TABLES)}
 
 
+def other_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of the other record types by name."""
+    whole = _select(spark, sf_dir, RAW_SQL)
+    return {name: whole.where(F.col("kind") == k).drop("src") for k, name in enumerate(OTHER_TABLES)}
+
+
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, v)."""
     return _select(spark, sf_dir, NOISY_SQL)

@@ -18,7 +18,7 @@ from ..operators import lookups as LO
 from ..operators import records as R
 from ..operators import stats as ST
 from ..operators import tiles as TI
-from ..sources import io, profile
+from ..sources import io, profile, schema, scratch
 from . import fixtures as FX
 
 #: The worked filter of the queries.
@@ -91,7 +91,9 @@ def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def etl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-6.18."""
-    return FE.etl_status(FE.build_features(FX.raw_tables(spark, sf_dir)))
+    raw = FX.raw_tables(spark, sf_dir)
+    rows = reduce(DataFrame.unionByName, [R.source_rows(df, t) for t, df in raw.items()])
+    return FE.etl_status(rows, [*raw, "dados_criminais_2013"])
 
 def _count(name: str, condition) -> DataFrame:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +140,9 @@ def by_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouped_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-9.6."""
-    return LO.grouped_occurrences(FX.search_features(spark, sf_dir)).select("occurrence_id", "num_bo", "location_hash", "category", "record_label", "record_count")
+    g = LO.grouped_occurrences(FX.search_features(spark, sf_dir))
+    plain = [c for c in g.columns if c not in ("data_ocorrencia", "latitude", "longitude", "all_categories", "source_tables", "delegacia")]
+    return g.select(*plain, F.coalesce("delegacia", F.lit("")).alias("delegacia"), _text_date(F.col("data_ocorrencia")).alias("data_ocorrencia"), F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), F.array_join("all_categories", "|").alias("all_categories"), F.array_join("source_tables", "|").alias("source_tables"))
 
 def cluster_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-10.3, O-10.4."""
@@ -179,7 +183,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     category = F.concat(F.lit("cat"), F.col("k").cast("string")).alias("category")
     catalog = orders.select(category, "year").distinct()
     counts = orders.where("k % 5 <> 1").groupBy(category, "year").agg(F.when(F.first("k") % 7 == 3, 0).otherwise(F.count(F.lit(1))).alias("rows"))
-    stored = catalog.where("hash(category) is not null and year % 2 = 0").select("category", "year", F.lit("a").alias("file_hash"))
+    stored = catalog.where("year % 2 = 0").select("category", "year", F.lit("a").alias("file_hash"))
     fresh = catalog.where("length(category) = 4").select("category", "year", F.when(F.col("year") % 4 == 0, "a").otherwise("b").alias("file_hash"))
     return catalog, counts, stored, fresh
 
@@ -211,7 +215,217 @@ def month_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = events.agg(F.lit("2024-02-10").cast("date").alias("now"))
     return IM.coroner_month_targets(calendar, have, have.where("month <> 5"))
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.1, O-1.2: noisy cells with separators, quotes and line breaks, written and read again under a header that needs quotes."""
+    n = FX.noisy(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.concat("v", F.when(F.col("id") % 3 == 0, F.lit(';"x"\ny')).otherwise("")).alias("a;b"))
+    path = scratch.new_path(spark, "csv")
+    io.write_source_csv(n, path)
+    return io.read_source_csv(spark, path).select(F.col("id"), F.coalesce(F.col("`a;b`"), F.lit("")).alias("v"))
+
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.3, O-1.4: a table's text form, written and read again."""
+    path = scratch.new_path(spark, "text")
+    io.write_parquet_text(FX.noisy(spark, sf_dir), path)
+    return io.read_parquet_text(spark, path)
+
+def merge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.5: orders and what was fulfilled of them, one after another."""
+    orders = FX.load(spark, sf_dir, "orders")
+    both = io.merge_tables([orders, orders.where("o_orderstatus = 'F'")])
+    return both.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
+
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.6: the first five of the ordered customers."""
+    return io.sample_rows(FX.load(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name"))
+
+def select_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.7, O-1.16: file and sheet names made from customers."""
+    kind = F.element_at(F.array(*map(F.lit, ("Dados Crimináis", "METODOLOGIA", "dicionário de dados", "Veículos Recuperados", "Tabela de Campos"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    files = FX.load(spark, sf_dir, "customer").select(F.concat_ws("_", kind, "c_mktsegment", F.col("c_custkey").cast("string")).alias("name"))
+    return io.select_files_for_category(files, ["veículos recuperados", "Building", "dicionario"]).select("name", _flag(io.is_data_sheet(F.col("name")), "is_data"))
+
+def evolve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.9: rows that name a column another way and bring a new one."""
+    customer = FX.load(spark, sf_dir, "customer")
+    incoming = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("C CUSTKEY"), F.col("c_mktsegment").alias("segment"))
+    return io.evolve_table(customer.select("c_custkey", "c_name"), incoming)
+
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.10: orders replace what was there; ids follow date and key."""
+    path = scratch.new_path(spark, "orders")
+    orders = FX.load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    io.replace_table([orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")], path)
+    return io.with_stable_ids(spark.read.parquet(path), ["o_orderdate", "o_orderkey"]).select("id", "o_orderkey")
+
+def replace_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.11: orders by month; then the months from July on anew, with fewer rows."""
+    path = scratch.new_path(spark, "months")
+    orders = FX.load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("ANO_REFERENCIA"), F.date_format("o_orderdate", "MM").alias("MES_REFERENCIA"))
+    io.replace_month(orders, path)
+    io.replace_month(orders.where("MES_REFERENCIA >= '07' and o_orderkey % 2 = 0"), path)
+    months = spark.read.schema("o_orderkey long, ANO_REFERENCIA string, MES_REFERENCIA string").parquet(path)
+    return months.groupBy(F.col("ANO_REFERENCIA").alias("year"), F.col("MES_REFERENCIA").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
+
+def coroner_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.12: an export in UTF-16 with tabs, written and read again."""
+    e = FX.load(spark, sf_dir, "events")
+    at = F.concat(F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0"), F.lit("/01/2024"))
+    cells = {"DataEntradaIML": F.when(F.col("event_id") % 4 == 0, " ").otherwise(at), "AnoBO": F.lit("2024"), "NumeroBO": F.concat(F.lit(" du-"), F.col("event_id").cast("string")), "NomeDelegaciaOrigem": F.concat(F.lit("01º D.P. Mauá "), (F.col("event_id") % 3).cast("string")), "CausaMortis": F.concat(F.lit("causa "), (F.col("event_id") % 5).cast("string"))}
+    blank = F.col("event_id") % 10 == 0
+    path = scratch.new_path(spark, "coroner")
+    e.select(*[F.when(blank, " ").otherwise(cells.get(c, F.lit(" "))).alias(c) for c in io.CORONER_INPUT]).write.csv(path, sep="\t", header=True, encoding="UTF-16LE", emptyValue="")
+    return io.read_coroner_export(spark, path, 2024, 1).select("NUM_BO", "DATA_ENTRADA_IML", "CAUSA_MORTIS", "ANO_REFERENCIA", "MES_REFERENCIA", "NUM_BO_NORMALIZED", "DELEGACIA_REGISTRO_NORMALIZED")
+
+def hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.13: one file of order keys for each priority."""
+    path = scratch.new_path(spark, "files")
+    orders = FX.load(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+    orders.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey").select(F.col("o_orderkey").cast("string"), "o_orderpriority").write.partitionBy("o_orderpriority").text(path)
+    return io.hash_files(spark, f"{path}/*/*.txt").select("sha256", "size")
+
+def _renamed(names: tuple[str, ...], fix) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = FX.noisy(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "v", F.upper("v").alias("u"), F.concat(F.lit("x"), "v").alias("x")).toDF(*names)
+        return fix(n)
+
+    return run
+
+def _typed(df: DataFrame) -> DataFrame:
+    """O-2.6: cleaned by types of which two are overridden by other spellings of the names."""
+    types = schema.apply_type_overrides({"ID": "INT", "QTDE (GRAMAS)": "TEXT", "HORA FATO": "TEXT", "X": "TEXT"}, {"QTDE_GRAMAS": "NUMERIC", "hora fato": "TIME", "gone": "DATE"})
+    return profile.prepare_table(df, types)[0]
+
+def profile_uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-5.2: distinct values, few or past the cap."""
+    customer = FX.load(spark, sf_dir, "customer").select(*[F.col(c).cast("string").alias(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")])
+    return profile.profile_columns(customer).select("column", F.col("unique_count").cast("long").alias("unique_count"))
+
+def profile_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-5.3: what reads as a number: exponents, bare points and infinities do, type suffixes and digit groups don't."""
+    k = F.col("event_id")
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (k % len(values) + 1).cast("int"))
+    e = FX.load(spark, sf_dir, "events").select(pick(F.concat((k % 90).cast("string"), F.lit("e1")), "+.5", "-7.", "inf", " NaN ", "").alias("floats"), pick("1e3", "2.0", "NULL").alias("whole"), pick("1", "1d").alias("suffixed"), pick("1_000", "3").alias("grouped"))
+    return profile.profile_columns(e).select("column", "null_count", "total_count", "numeric_min", "numeric_max", F.col("all_numeric").cast("int").alias("all_numeric"), F.col("all_integer").cast("int").alias("all_integer"))
+
+def other_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-6.5, O-6.6 e, g, h: the other record types and the occurrence's flag and dates, row by row."""
+    rows = reduce(DataFrame.unionByName, [R.source_rows(df, t) for t, df in FX.other_tables(spark, sf_dir).items()])
+    return rows.select("id", "source_table", "category", "rubrica_for_styling", F.col("record.type").alias("type"), *[F.col(f"record.{c}").alias(c) for c in ("tipo_arma", "calibre", "marca", "placa", "tipo_veiculo", "ano_modelo", "idade", "cor", "natureza_apurada")],
+                       F.col("occurrence.flagrante").cast("int").alias("flagrante"), F.col("occurrence.data_registro").alias("data_registro"))
+
+def weapon_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-8.18."""
+    return ST.chart(FE.derive_search_columns(FE.build_features(FX.other_tables(spark, sf_dir))), "weapon_type").select("rank", "label", "count")
+
+def upsert_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-6.14: of features of all tables, three tables come anew, each with the rows of every other report alone."""
+    raw = FX.raw_tables(spark, sf_dir)
+    fresh = {t: raw[t].where("cast(substring(NUM_BO, 3, 6) AS int) % 2 = 0") for t in ("celulares_2024", "dados_criminais_2024", "veiculos_2024")}
+    return flat(FE.incremental_refresh(FE.build_features(raw), fresh, [*fresh, "unknown_2024"]))
+
+def merge_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-8.21: rubrics and tables of a feature as one set."""
+    f = FX.search_features(spark, sf_dir)
+    return f.select("num_bo", "location_hash", F.coalesce("delegacia", F.lit("")).alias("delegacia"), F.array_join(F.array_sort(ST.merge_arrays(F.col("all_rubricas"), F.array_append("source_tables", F.col("category")))), "|").alias("merged"))
+
+#: The report of the single lookups.
+REPORT = "DU000009"
+
+def report_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-9.3: one report at one unit, and at none."""
+    f = FX.search_features(spark, sf_dir)
+    both = LO.features_by_report(f, f" {REPORT} ", 2024, "DP 2").unionByName(LO.features_by_report(f, "DU000007", 2024, "")).unionByName(LO.features_by_report(f, REPORT, 2024, "dp 2"))
+    return both.select("num_bo", F.coalesce("delegacia", F.lit("")).alias("delegacia"), "location_hash", "category", "total_records")
+
+def report_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-9.4."""
+    got = LO.summaries_by_report(FX.search_features(spark, sf_dir), REPORT)
+    return got.select("num_bo", "ano_bo", "location_hash", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "category", "rubrica_for_styling", _text_date(F.col("data_ocorrencia")).alias("data_ocorrencia"), F.array_join("source_tables", "|").alias("source_tables"))
+
+def feature_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-9.5: a report's first feature with the ids of its coroner records."""
+    d = LO.feature_detail(FX.search_features(spark, sf_dir), FX.coroner(spark, sf_dir), REPORT, 2024)
+    return d.select("num_bo", "delegacia", "location_hash", "total_records", F.coalesce(F.array_join(F.transform("coroner", lambda c: c["id"].cast("string")), ","), F.lit("")).alias("coroner_ids"))
+
+def tile_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-9.7."""
+    m = LO.tile_metadata(FX.search_features(spark, sf_dir))
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["count"].cast("string"))), "|")
+    return m.select(*[_text_date(F.col(c)).alias(c) for c in ("min_date", "max_date", "default_after")], "count", told("category_counts").alias("categories"), told("period_counts").alias("periods"))
+
+def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11.8: files that several categories share."""
+    targets = FX.load(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 40).cast("string")).alias("url"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("category"))
+    return IM.group_targets_by_file(targets).select("url", "year", F.array_join("categories", "|").alias("categories"))
+
+def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11.9: orders as downloads; some were never fetched."""
+    files = FX.load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate")).alias("last_downloaded"))
+    return IM.stale_files(files, 400, "1998-01-01").select("o_orderkey")
+
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = FX.load(spark, sf_dir, "orders")
+    return orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+def month_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11.10: months of orders; some exports are empty, some hashes old, some months gone from the table."""
+    m = _months(spark, sf_dir)
+    fresh = m.select("year", "month", F.when(F.col("year") % 2 == 0, "a").otherwise("b").alias("file_hash"), F.when(F.col("month") == 3, 0).otherwise(F.col("n")).alias("rows"), (F.col("month") != 5).alias("present"))
+    stored = m.where("month <> 7").select("year", "month", F.lit("a").alias("file_hash"))
+    return IM.coroner_month_decision(m.where("month < 11").select("year", "month"), stored, fresh)
+
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11.11: the last write of each month holds."""
+    m = _months(spark, sf_dir)
+    old = m.where("month <= 8").select("year", "month", F.lit("old").alias("file_hash"), "n")
+    new = m.where("month >= 6").select("year", "month", F.concat(F.lit("new"), F.col("n").cast("string")).alias("file_hash"), F.lit(1).cast("long").alias("n"))
+    return IM.upsert_file_metadata(old, new, ["year", "month"])
+
+def flagged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11.12: set for two tables, then cleared for one."""
+    rows = reduce(DataFrame.unionByName, [R.source_rows(df, t) for t, df in FX.raw_tables(spark, sf_dir).items()])
+    status = FE.etl_status(rows, list(FX.TABLES)).withColumn("needs_geom_update", F.col("rows_processed") < 0)
+    flagged = IM.flag_tables_for_etl(IM.flag_tables_for_etl(status, ["celulares_2024", "objetos_2024"]), ["objetos_2024"], False)
+    return flagged.select("source_table", F.col("needs_geom_update").cast("int").alias("needs_geom_update"))
+
 QUERIES = {
+    "o1_1_csv_round_trip": csv_round_trip,
+    "o1_3_parquet_text": parquet_round_trip,
+    "o1_5_merge": merge_tables,
+    "o1_6_sample_rows": sample_rows,
+    "o1_7_select_files": select_files,
+    "o1_9_evolve_table": evolve_table,
+    "o1_10_stable_ids": stable_ids,
+    "o1_11_replace_month": replace_month,
+    "o1_12_coroner_export": coroner_export,
+    "o1_13_hash_files": hash_files,
+    "o2_2_names_of_the_api": _renamed(("Id", "coluna@#$%especial", "  Ação   fim ", "x__y"), lambda df: df.toDF(*map(X.normalize_column_name_api, df.columns))),
+    "o2_3_duplicates_that_differ": _renamed(("id", "Valor", "valor", "X"), schema.drop_identical_duplicate_columns),
+    "o2_4_fix_names": _renamed(("id", "", "V", "v"), lambda df: df.toDF(*schema.fix_blank_and_duplicate_names(df.columns))),
+    "o2_5_map_columns": _renamed(("Id", "Hora Fato", "DESCRICAO", "lost"), lambda df: schema.select_mapped(df, ["ID", "HORA_FATO", "descricao", "OTHER"])),
+    "o2_6_type_overrides": _renamed(("ID", "QTDE (GRAMAS)", "HORA FATO", "X"), _typed),
+    "o3_8_dates_and_times": _noisy(lambda: [_flag(f("v"), n) for n, f in (("is_date", V.is_date_format), ("is_time", V.is_time_format), ("is_timestamp", V.is_timestamp_format))]),
+    "o3_13_checked_filter": _count("O-3.13", lambda: WHERE.checked().column()),
+    "o4_3_excel_serials": _noisy(lambda: [_text_date(V.excel_serial_to_date(F.col("id") - 3)).alias("d"), V.excel_serial_legacy("v").alias("legacy")]),
+    "o4_6_excel_cells": _noisy(lambda: [V.excel_datetime_cell(F.col("id") / 32, h).alias(n) for n, h in (("as_date", "DATA FATO"), ("as_time", "Hora"), ("as_text", "Valor"))]),
+    "o4_16_flags_and_record_numbers": _noisy(lambda: [V.parse_record_number("concat('+', v)").alias("signed"), V.parse_record_number("concat(v, 'e2')").alias("scaled"), V.parse_source_flag("concat(v, chr(9))").cast("int").alias("flag"), X.source_text(F.concat(F.lit("\t"), F.col("v"), F.lit("\u00a0"))).alias("text")]),
+    "o4_28_value_type": _noisy(lambda: [V.value_type_of("v").alias("value_type"), V.value_type_of(F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('"'))).alias("id_type")]),
+    "o5_2_unique_counts": profile_uniques,
+    "o5_3_float_grammar": profile_floats,
+    "o6_6_other_records": other_records,
+    "o6_14_refresh_known_tables": upsert_known,
+    "o8_6_count_features": lambda spark, sf_dir: ST.count_features(FX.search_features(spark, sf_dir), WHERE),
+    "o8_18_weapon_chart": weapon_chart,
+    "o8_21_merge_arrays": merge_rubrics,
+    "o9_3_report_at_a_unit": report_features,
+    "o9_4_report_summaries": report_summaries,
+    "o9_5_feature_detail": feature_detail,
+    "o9_7_tile_metadata": tile_metadata,
+    "o11_8_file_groups": file_groups,
+    "o11_9_stale_files": stale_files,
+    "o11_10_coroner_month_decisions": month_decisions,
+    "o11_11_file_metadata": file_metadata,
+    "o11_12_flagged_tables": flagged_tables,
     "o3_predicates": _noisy(lambda: [*[_flag(f("v"), n) for n, f in (("is_null", P.is_null_pattern), ("not_informed", P.is_not_informed), ("overflow", P.is_excel_overflow), ("zip", P.is_zip_code), ("dashed", P.is_dash_identifier), ("is_integer", P.is_valid_integer), ("is_numeric", P.is_valid_numeric), ("is_time", P.matches_time_pattern), ("descriptive", P.is_descriptive_text))]]),
     "o4_1_parse_date": _noisy(lambda: [_text_date(V.parse_date_flexible("v")).alias("d"), V.normalize_date_iso("v").alias("iso"), V.convert_excel_serial_if_needed("v").alias("serial")]),
     "o4_7_parse_time": _noisy(lambda: [V.parse_time_flexible("v").alias("t")]),

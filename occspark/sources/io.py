@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_column_name, normalize_lookup_key, source_text
+from .scratch import stored
 
 # The columns of a coroner export, and of its table.
 CORONER_INPUT = ("DataEntradaIML", "AnoBO", "NumeroBO", "NomeDelegaciaOrigem", "NumeroLaudo", "AnoLaudo", "IdadeVitima", "TipoIdade", "Conclusao", "DeclaracaoObito", "CausaMortis")
@@ -17,24 +18,27 @@ CORONER_OUTPUT = ("DATA_ENTRADA_IML", "ANO_BO", "NUM_BO", "DELEGACIA_REGISTRO",
 DOCUMENT_SHEETS = ("METODOLOGIA", "DICIONARIO", "CAMPOS", "TABELA")
 
 
+_CSV = {"sep": ";", "quote": '"', "escape": '"', "multiLine": True, "columnPruning": False}
+
+
 def read_source_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """O-1.1: ``;`` and a header, all text. Ragged rows are dropped, or fail if ``strict``.
 
-    Reads the header line by itself and applies it by position, as Spark renames repeated
-    headers; repeats keep their names here and are for drop_identical_duplicate_columns.
+    Cells and headers may hold separators, quotes and line breaks within quotes, so a file is
+    read by one task (files are at most 1.5 GB). The header is applied by position, as Spark
+    renames repeated ones; repeats keep their names and are for drop_identical_duplicate_columns.
     """
-    header = spark.read.option("wholetext", False).text(path).limit(1).first()
-    names = [] if header is None else [x.strip().strip('"').replace('""', '"') for x in header[0].lstrip("﻿").split(";")]
+    header = spark.read.options(**_CSV).csv(path, header=False).first()
+    names = [] if header is None else [(x or "").lstrip("\ufeff").strip() for x in header]
     schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(names))])
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
     # with column pruning, ragged rows would still count
-    rows = spark.read.option("columnPruning", False).csv(path, sep=";", header=True, quote='"', escape='"', schema=schema, mode=mode, enforceSchema=True)
+    rows = spark.read.options(**_CSV).csv(path, header=True, schema=schema, mode="FAILFAST" if strict else "DROPMALFORMED", enforceSchema=True)
     return rows.toDF(*names) if names else rows
 
 
 def write_source_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """O-1.2: ``;`` and a header; all cells quoted, or those that need it."""
-    df.write.mode("overwrite").csv(path, sep=";", header=True, quote='"', escape='"', quoteAll=quote_all, emptyValue="")
+    """O-1.2: ``;`` and a header; all cells quoted, or those that need it. Blanks around a cell stay."""
+    df.write.mode("overwrite").csv(path, sep=";", header=True, quote='"', escape='"', quoteAll=quote_all, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_parquet_text(spark: SparkSession, path: str) -> DataFrame:
@@ -111,11 +115,18 @@ def evolve_table(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def with_stable_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """A gapless ``id`` from 1 in the order of some columns. The counts of sorted partitions give each its start."""
+    """A gapless ``id`` from 1 in the order of some columns.
+
+    Rows are dealt by ranges of the order and stored; the counts of the ranges, one row each,
+    give each its start, and each range numbers its own rows.
+    """
     spark = df.sparkSession
-    indexed = df.orderBy(*order).rdd.zipWithIndex()
-    schema = T.StructType([*df.schema.fields, T.StructField("id", T.LongType(), False)])
-    return spark.createDataFrame(indexed.map(lambda x: (*x[0], x[1] + 1)), schema)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), F.col("_range") == F.col("_of")).select(*df.columns, (F.col("_start") + F.col("_own")).cast("long").alias("id"))
 
 
 def replace_table(tables: list[DataFrame], path: str) -> int:

@@ -54,7 +54,7 @@ def test_names():
 
 def test_places(spark):
     df = spark.createDataFrame([(-23.551201, -46.634047)], "lat double, lon double")
-    row = df.select(V.location_hash("lat", "lon").alias("h"), geo.haversine_m("lat", "lon", F.lit(-23.55), F.lit(-46.63)).alias("m"), geo.geodesic_m(F.col("lat"), F.col("lon"), F.lit(-23.55), F.lit(-46.63)).alias("g"), V.location_bucket(F.lit(-23.55005)).cast("string").alias("b")).first()
+    row = df.select(V.location_hash("lat", "lon").alias("h"), geo.haversine_m("lat", "lon", F.lit(-23.55), F.lit(-46.63)).alias("m"), geo.geodesic_m(F.col("lat"), F.col("lon"), F.lit(-23.55), F.lit(-46.63)).alias("g"), V.location_bucket("-23.55005").cast("string").alias("b")).first()
     assert row["h"] == "f4693e770c96dabb"
     assert abs(row["m"] - row["g"]) < 3 and 400 < row["m"] < 450
     assert row["b"] == "-23.5501"
@@ -63,3 +63,22 @@ def test_places(spark):
 def test_excel_cells(spark):
     df = spark.createDataFrame([(45292.5,)], "x double")
     assert tuple(df.select(V.excel_datetime_cell("x", "DATA"), V.excel_datetime_cell("x", "HORA"), V.excel_datetime_cell("x", "N")).first()) == ("2024-01-01", "12:00:00", "45292.5")
+
+
+def test_ellipsoid_in_the_jvm_equals_the_iterated_one(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    lat1, lon1 = dice.uniform(-25, -19, 200), dice.uniform(-54, -44, 200)
+    lat2, lon2 = lat1 + dice.uniform(-0.09, 0.09, 200), lon1 + dice.uniform(-0.09, 0.09, 200)
+    lat2[0], lon2[0] = lat1[0], lon1[0]
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(lat1, lon1, lat2, lon2, strict=True)], "a double, b double, c double, d double")
+    got = [r[0] for r in rows.select(geo.ellipsoid_m("a", "b", "c", "d")).collect()]
+    assert np.abs(np.array(got) - geo.vincenty_m(lat1, lon1, lat2, lon2)).max() < 0.03 and got[0] == 0
+
+
+def test_all_white_space_is_trimmed_and_record_numbers_are_loose(spark):
+    df = spark.createDataFrame([("S\t",), ("\u00a0+5\n",), (".5",), ("1e3",), ("5.",), ("",), (None,)], "v string")
+    got = df.select(V.parse_source_flag("v"), V.parse_source_number("v"), V.parse_record_number("v")).collect()
+    assert [r[0] for r in got] == [True, None, None, None, None, None, None]
+    assert [r[1] for r in got] == [None] * 7 and [r[2] for r in got] == [None, 5.0, 0.5, 1000.0, 5.0, None, None]

@@ -16,6 +16,39 @@ def test_csv_keeps_repeated_headers_and_drops_ragged_rows(spark, tmp_path):
     assert sorted(map(tuple, schema.drop_identical_duplicate_columns(df).collect())) == [("1", 'x;"y"'), ("3", "z")]
 
 
+def test_csv_cells_and_headers_hold_breaks_and_separators(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('A;B;C\n1;"x\ny";z\n2;b;c\n', encoding="utf-8")
+    assert sorted(map(tuple, io.read_source_csv(spark, str(tmp_path / "b.csv")).collect())) == [("1", "x\ny", "z"), ("2", "b", "c")]
+    (tmp_path / "c.csv").write_text('\ufeff"A;1";"B\n2"\nx;y\n', encoding="utf-8")
+    df = io.read_source_csv(spark, str(tmp_path / "c.csv"))
+    assert df.columns == ["A;1", "B\n2"] and list(map(tuple, df.collect())) == [("x", "y")]
+
+
+def test_stable_ids_follow_the_order(spark):
+    df = spark.createDataFrame([(k * 37 % 101, k % 3) for k in range(101)], "a int, b int")
+    got = sorted((r["id"], r["a"]) for r in io.with_stable_ids(df, ["a"]).collect())
+    assert got == [(k + 1, k) for k in range(101)] and io.with_stable_ids(df.limit(0), ["a"]).count() == 0
+
+
+def test_rows_reach_a_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(" a ", ""), ("b", None)], "X string, Y string")
+    how = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    io.load_to_jdbc(df, url, "T1", properties=how)
+    io.load_to_jdbc(df.limit(1), url, "T1", mode="append", properties=how)
+    assert spark.read.jdbc(url, "T1", properties=how).where("Y is null").count() == 3
+
+
+def test_scratch_folder_off_local_mode_must_be_named(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from occspark.sources import scratch
+
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.shared_dir(elsewhere)
+
+
 def test_duplicate_columns_that_differ_stay(spark):
     df = spark.createDataFrame([("1", "2", None), ("1", "1", " ")], "A string, b string, c string").toDF("N", "n", "C")
     assert schema.drop_identical_duplicate_columns(df).columns == ["N", "N_2", "C"]
