@@ -1,47 +1,5 @@
 """Shared scratch storage: tables that cut lineage and survive lost executors."""
 
-from __future__ import annotations
+from ..sources.scratch import new_path, remove, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: The scratch folder of sessions that name none, as in tests.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session that leaves it unset (tests on one machine) gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL[key]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["new_path", "remove", "shared_dir", "stored"]
