@@ -73,7 +73,7 @@ def test_filters(built):
     assert count(after="2026-01-15", before="2026-01-15") == 1 and count(after="2026-01-16") == 0
     assert count(categories=(" Furto ", "")) == 1 and count(periods=("  À   NOITE ",)) == 1 and count(hour_start=22, hour_end=3) == 1
     assert count(bounds=(-46.7, -23.6, -46.6, -23.5)) == 1
-    assert built.where(FI.radius_filter(-46.634, -23.551, 100, ellipsoid=True)).count() == 1
+    assert built.where(FI.radius_filter(-46.634, -23.551, 100, sphere=True)).count() == 1
     assert built.where(FI.tile_filter(after="x", hours=("3", None))).count() == 1
     for bad in ({"after": "2026-02-30"}, {"after": "2026-02-02", "before": "2026-01-01"}, {"hour_start": 1}, {"hour_start": 1, "hour_end": 24}, {"bounds": (1, 0, 0, 1)}):
         with pytest.raises(ValueError):
