@@ -21,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# What follows a tag's name: with quoted values, or, once a quote isn't closed, up to the next >.
+_ATTRIBUTES = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""")
+_UNQUOTED = re.compile(r"([^>]*)>")
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -31,12 +34,14 @@ _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _SKIP = frozenset("script style textarea title xmp iframe noembed noframes head noscript template svg canvas object audio video select button datalist".split())
+#: What may stand in a head; anything else ends it, as its tags may be left out.
+_HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
 # Words in class, id and role names.
-_AROUND = frozenset("nav navigation menu menubar navbar header masthead banner footer sidebar aside rail widget widgets ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription signup login register search form comment comments commentlist reply replies respond discussion disqus toolbar pagination pager tags legal copyright disclaimer complementary contentinfo".split())
+_AROUND = frozenset("nav navigation menu menubar navbar header masthead banner footer sidebar aside rail widget widgets ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription signup login register search form comment comments commentlist reply replies respond responses reactions opinions feedback guestbook discussion disqus toolbar pagination pager tags legal copyright disclaimer complementary contentinfo".split())
 _WITHIN = frozenset("article content post entry story main body text articlebody hentry prose".split())
 
 #: Labelled pages that the model is fitted on at most, those of least hash.
@@ -62,11 +67,49 @@ class Tree:
         return len(self.parent) - 1
 
 
+class _Stack:
+    """Open elements and their nodes; inline ones have that of their block. Counts by block make stray end tags cost nothing."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("html", 0)]
+        self.blocks: list[int] = [0]  # places of the open blocks
+        self.inline: list[dict[str, int]] = [{}]  # open inline elements within each of them
+        self.count: dict[str, int] = {"html": 1}  # open blocks by tag
+
+    def push(self, tag: str, node: int) -> None:
+        if tag in _BLOCK:
+            self.blocks.append(len(self.open))
+            self.inline.append({})
+            self.count[tag] = self.count.get(tag, 0) + 1
+        else:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        self.open.append((tag, node))
+
+    def cut(self, depth: int) -> list[str]:
+        """Closes all from a place on; gives their tags."""
+        gone = [t for t, _ in self.open[depth:]]
+        for tag in reversed(gone):
+            if tag in _BLOCK:
+                self.blocks.pop()
+                self.inline.pop()
+                self.count[tag] -= 1
+            else:
+                self.inline[-1][tag] -= 1
+        del self.open[depth:]
+        return gone
+
+    def depth(self, tag: str) -> int:
+        """The place that an end tag closes from, or 0."""
+        if tag in _BLOCK:
+            return next((k for k in reversed(self.blocks) if self.open[k][0] == tag), 0) if self.count.get(tag) else 0
+        return next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag) if self.inline[-1].get(tag) else 0
+
+
 def parse(html: str) -> Tree:
-    """The block tree of a page. Unclosed and stray tags are mended as browsers do for blocks."""
+    """The block tree of a page, in time linear in its length. Unclosed and stray tags are mended as browsers do for blocks."""
     tree = Tree()
     tree.add(-1, "html", "", False, None, 0)
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and their nodes; inline ones have that of their block
+    stack = _Stack()
     run: list[str] = []
     links = linked = 0
 
@@ -75,15 +118,14 @@ def parse(html: str) -> Tree:
         if run:
             text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
-                tree.add(stack[-1][1], "#", "", False, text, min(linked, len(text)))
+                tree.add(stack.open[-1][1], "#", "", False, text, min(linked, len(text)))
             run, linked = [], 0
 
     def pop_to(depth: int) -> None:
         nonlocal links
-        if any(t in _BLOCK for t, _ in stack[depth:]):
+        if stack.blocks[-1] >= depth:
             flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        links -= stack.cut(depth).count("a")
 
     def put(text: str) -> None:
         nonlocal linked
@@ -93,11 +135,14 @@ def parse(html: str) -> Tree:
             if links:
                 linked += len(text.strip())
 
-    at, skip_until, cut = 0, "", _CUT_OFF.search(html)
-    stop = cut.start() if cut else len(html)
+    cut = _CUT_OFF.search(html)
+    stop, last = cut.start() if cut else len(html), html.rfind(">")
+    lower = html.lower() if len(html.lower()) == len(html) else "".join(c.lower() if c < "\x80" else c for c in html)
+    closes: dict[str, int] = {}  # the last end tag of each skipped element
+    at, skip, inner, rest = 0, "", 0, _ATTRIBUTES
     while True:
-        m = _TOKEN.search(html, at)
-        if not skip_until:
+        m = _TOKEN.search(html, at) if at <= last else None
+        if not skip:
             put(html[at : m.start() if m else max(at, stop)])
         if m is None:
             break
@@ -105,28 +150,49 @@ def parse(html: str) -> Tree:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if skip_until:
-            if m[1] and tag == skip_until or skip_until == "head" and tag == "body":
-                skip_until = ""
-            if tag != "body":
+        told = rest.match(html, at)
+        if told is None and rest is _ATTRIBUTES:  # a quote that nothing closes: from here on quotes are letters
+            rest = _UNQUOTED
+            told = rest.match(html, at)
+        if told is None:
+            put(html[m.start() : at] if not skip else "")
+            continue
+        at, attributes = told.end(), told[1]
+        if skip == "head":
+            if m[1] and tag == "head":
+                skip = ""
                 continue
+            if m[1] or tag in _HEAD or tag == "head":
+                if not m[1] and tag in _RAW and not attributes.endswith("/"):
+                    close = lower.find(f"</{tag}", at)
+                    at = close if close >= 0 else len(html)
+                continue
+            skip = ""  # the head's end is left out
+        elif skip:
+            if tag == skip:
+                inner += -1 if m[1] else 1
+                if inner == 0:
+                    skip = ""
+            continue
         if m[1]:
             if tag == "br":
                 put(" ")
-                continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth and (tag in _BLOCK or not any(t in _BLOCK for t, _ in stack[depth + 1 :])):
+            elif depth := stack.depth(tag):
                 pop_to(depth)
             continue
-        attributes = m[3]
         if tag in _SKIP:
             if attributes.endswith("/") and tag not in _RAW:
                 continue
-            if tag in _RAW:
-                close = re.compile(f"</{tag}", re.I).search(html, at)
-                at = close.start() if close else len(html)
+            if tag == "head":
+                skip = "head"
                 continue
-            skip_until = tag
+            if tag not in closes:
+                closes[tag] = lower.rfind(f"</{tag}")
+            if tag in _RAW:
+                close = lower.find(f"</{tag}", at)
+                at = close if close >= 0 else len(html)
+            elif closes[tag] >= at:  # one that is never closed is empty
+                skip, inner = tag, 1
             continue
         if tag in _VOID:
             if tag == "br":
@@ -134,19 +200,17 @@ def parse(html: str) -> Tree:
             elif tag == "hr":
                 flush()
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and stack.count.get(tag):
             continue
-        if tag in _CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in _BLOCK), 0)
-            if depth and stack[depth][0] == "p":
-                pop_to(depth)
+        if tag in _CLOSES_P and stack.open[stack.blocks[-1]][0] == "p":
+            pop_to(stack.blocks[-1])
         if tag in _SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _SCOPE[tag]:
+            for k in reversed(stack.blocks[1:]):
+                if stack.open[k][0] in _SCOPE[tag]:
                     break
-                if stack[k][0] in _SIBLINGS[tag]:
+                if stack.open[k][0] in _SIBLINGS[tag]:
                     pop_to(k)
-        node = stack[-1][1]
+        node = stack.open[-1][1]
         if tag in _BLOCK:
             flush()
             names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(attributes)).lower() if attributes else ""
@@ -154,7 +218,7 @@ def parse(html: str) -> Tree:
         elif tag == "a":
             links += 1
         if not attributes.endswith("/") or tag in _BLOCK:
-            stack.append((tag, node))
+            stack.push(tag, node)
     flush()
     return tree
 
@@ -255,8 +319,12 @@ _INSERTS = ('<div class="comments"><h3>{a}</h3><p>{b}</p><p>{c}</p></div>', '<se
 _BEFORE = ('<header><p>{a}</p></header>', '<div class="cookie-notice"><p>{a}</p></div>', '<div id="menu"><ul><li><a href="/a">{a}</a></li><li><a href="/b">{b}</a></li></ul></div>', '<div class="sidebar"><h3>{a}</h3><p>{b}</p></div>', '<aside class="sidebar"><p>{a}</p><p>{c}</p></aside>')
 
 
+#: Share of the training pages whose names are hidden.
+NAMELESS = 0.35
+#: Elements that tell what they are for.
+_TELLING = frozenset("article main section nav aside header footer address".split())
 #: What an article's own element becomes: tag and names.
-_WRAPPERS = (*["article."] * 12, "main.", "div.", "section.", "div.content", "div.post", "div.article-body", "section.story")
+_WRAPPERS = (*["article."] * 8, "main.", *["div."] * 3, "section.", "div.content", "div.post", "div.article-body", "section.story")
 
 
 def labelled(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | None:
@@ -295,18 +363,43 @@ def labelled(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] |
             tree.tag[k] = "div"
         elif tag == "article":
             tree.tag[k], _, tree.names[k] = article.partition(".")
+    if dice.random() < NAMELESS:  # and of a part, all names and all elements that tell what they are for
+        tree.names = [""] * len(tree.tag)
+        if dice.random() < 0.7:
+            tree.tag = ["div" if t in _TELLING else t for t in tree.tag]
+    return tree, label
+
+
+def guessed(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | None:
+    """A page without a mark, and labels that its structure suggests: what has text in the smallest element that holds most of the page's text in paragraphs."""
+    tree = parse(html)
+    n = len(tree.parent)
+    whole, linked, plain = np.zeros(n), np.zeros(n), np.zeros(n)
+    for k in range(n - 1, 0, -1):
+        if tree.text[k] is not None:
+            whole[k], linked[k] = len(tree.text[k]), tree.linked[k]
+            plain[k] = (whole[k] - linked[k]) * (tree.tag[tree.parent[k]] in ("p", "blockquote", "pre") or whole[k] >= 80)
+        for x in (whole, linked, plain):
+            x[tree.parent[k]] += x[k]
+    if not plain[0]:
+        return None
+    best = max(k for k in range(n) if tree.text[k] is None and plain[k] >= 0.7 * plain[0])
+    label = np.zeros(n, np.int64)
+    label[best] = 1
+    for k in range(best + 1, n):
+        label[k] = label[tree.parent[k]] and linked[k] <= 0.5 * whole[k] and not (tree.tag[k] in _AROUND_TAGS or tree.names[k] and not _AROUND.isdisjoint(_WORD.findall(tree.names[k])))
+    if dice.random() < NAMELESS:
+        tree.names = [""] * n
     return tree, label
 
 
 def fit(pages: list[str], steps: int = 300, seed: int = 5) -> Model:
     """Weights of greatest conditional likelihood, by gradients from exact marginals, with a small ridge."""
     dice = np.random.default_rng(seed)
-    made = [x for page in pages for x in (labelled(page, dice), labelled(page, dice)) if x is not None]
+    made = [x for page in pages for x in (labelled(page, dice), labelled(page, dice)) if x is not None] or [x for page in pages for x in (guessed(page, dice), guessed(page, dice)) if x is not None]
     unary, pair = np.zeros(_FEATURES), np.zeros((2, 2, 2))
     pair[:, 0, 0] = pair[:, 1, 1] = 1.0
-    if not made:  # nothing to learn from: tags and names alone
-        unary[[3, 4, 6, 10, 11, 12]] = (4.0, -6.0, 1.5, -6.0, 2.0, -6.0)
-        pair[:, 0, 1], pair[:, 1, 0] = -1.0, -3.0
+    if not made:  # no page has any text: nothing to learn, nothing to find
         return Model(unary, pair)
     x, parent, level, leaf = features([t for t, _ in made])
     label = np.concatenate([y for _, y in made])
@@ -329,21 +422,29 @@ def fit(pages: list[str], steps: int = 300, seed: int = 5) -> Model:
 
 
 def train(pages: DataFrame) -> Model:
-    """Fits on at most TRAIN_PAGES pages of least hash that mark an article."""
-    marked = pages.select(F.col("html").cast("string").alias("html")).where(F.contains("html", F.lit("<article")) & (F.length("html") <= TRAIN_CHARS))
-    last = marked.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
-    if last is None:
-        return fit([])
-    return fit(sorted(r["html"] for r in marked.where(F.xxhash64("html") <= F.lit(last)).distinct().collect()))
+    """Fits on at most TRAIN_PAGES pages of least hash that mark an article, or on any pages if none does. Longer ones than TRAIN_CHARS aren't fitted on."""
+    short = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= TRAIN_CHARS)
+    for some in (short.where(F.contains("html", F.lit("<article"))), short):
+        last = some.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
+        if last is not None:
+            return fit(sorted(r["html"] for r in some.where(F.xxhash64("html") <= F.lit(last)).distinct().collect()))
+    return fit([])
 
 
 def main_text(tree: Tree, content: np.ndarray) -> str:
-    """The content runs, one line each."""
-    return "\n".join(t for t, p in zip(tree.text, content, strict=True) if t is not None and p > 0.5)
+    """The content runs that are shown, one line each. What stands in hidden elements, other than the whole page, isn't."""
+    hidden = [False] * len(tree.parent)
+    for k in range(1, len(hidden)):
+        hidden[k] = hidden[tree.parent[k]] or tree.hidden[k] and tree.tag[k] not in ("html", "body")
+    return "\n".join(t for t, p, h in zip(tree.text, content, hidden, strict=True) if t is not None and p > 0.5 and not h)
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row. A null, empty or textless page gives an empty text."""
+    """(page_id, url, text, n_chars) of every row, of whole pages however long.
+
+    A null, empty or textless page gives an empty text. Repeated rows give the same each, an
+    empty table no rows; other columns play no part.
+    """
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
