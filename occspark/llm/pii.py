@@ -26,17 +26,18 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 # Patterns fixed by the contract. Digits and dots are taken possessively: the same matches in linear time.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]++@?+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGIT_RUN = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _NODE = re.compile("[^\x20\x09-\x0d]+")
 _MARKED = re.compile("[0-9@]")
 _OUTER = ".,;:!?\"'<>[]{}"
 
-#: Documents that the field is fitted on at most, those of least hash with an @ or a +.
+#: What a document with a match of some kind holds, for the choice of those that the field is fitted on.
+_MAY_HOLD = "@[A-Za-z0-9-]|[+][0-9]|[0-9][.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]|[0-9]([ -]?[0-9]){15}"
+#: Documents that the field is fitted on at most, those of least hash.
 TRAIN_DOCS = 400
 #: Longer documents aren't fitted on.
 TRAIN_CHARS = 20_000
@@ -65,16 +66,12 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the pattern matches that hold, by kind as listed, then start."""
     found: list[tuple[str, int, int]] = []
-    at = text.find("@")
-    while at >= 0:  # a match lies within a run of address characters: look at the run around each @ alone
-        low = at
-        while low and text[low - 1] in _ADDRESS:
-            low -= 1
-        high = at
-        while high < len(text) and text[high] in _ADDRESS:
-            high += 1
-        found += [("email", low + m.start(), low + m.end()) for m in _EMAIL.finditer(text[low:high])]
-        at = text.find("@", high)
+    done = 0
+    for m in _LOCAL_PART.finditer(text) if "@" in text else ():  # whole runs of address characters, each once
+        start = max(done, m.start())
+        if text[m.end() - 1] == "@" and start < m.end() - 1 and (domain := _DOMAIN.match(text, m.end())):
+            done = domain.end()
+            found.append(("email", start, done))
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
             found.append(("ip", m.start(), m.end()))
@@ -293,8 +290,8 @@ def fit(texts: list[str], steps: int = 400, seed: int = 7) -> Field:
 
 
 def train(docs: DataFrame) -> Field:
-    """Fits on at most TRAIN_DOCS documents of least hash that hold an @ or a +."""
-    marked = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.contains("text", F.lit("@")) | F.contains("text", F.lit("+"))) & (F.length("text") <= TRAIN_CHARS))
+    """Fits on at most TRAIN_DOCS documents of least hash that may hold a match of any kind; longer ones than TRAIN_CHARS aren't fitted on."""
+    marked = docs.select(F.col("text").cast("string").alias("text")).where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike(_MAY_HOLD))
     chosen = marked.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
     if chosen is None:
         return fit([])
