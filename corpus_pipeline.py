@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage reads what the one before wrote. All but the last return the columns of documents.
+
+In every stage a null text is an empty one (quality rejects it), rows are judged each by
+itself however often an id occurs or whether it is null, whole texts are read, other columns
+pass unchanged, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

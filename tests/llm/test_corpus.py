@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -513,6 +514,68 @@ def test_main_text_of_marked_pages(spark):
     assert html.extract(df.limit(0), html.fit([])).count() == 0
 
 
+PARAGRAPH = "The river ran past the old house and nobody in the village spoke of it."
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    dice = random.Random(21)
+    made = []
+    for _ in range(60):
+        body = "".join(f"<p>{prose(dice, dice.randrange(8, 60))}.</p>" for _ in range(dice.randrange(2, 7)))
+        made.append(f'<html><head><title>t</title></head><body><nav><ul><li><a href="/">{prose(dice, 1)}</a></li><li><a href="/b">{prose(dice, 2)}</a></li></ul></nav><div class="cookie-banner">{prose(dice, 8)}</div><article><h1>{prose(dice, 4)}</h1>{body}</article>'
+                    f'<aside class="sidebar"><h3>{prose(dice, 2)}</h3><ul><li><a href="/c">{prose(dice, 4)}</a></li></ul></aside><footer>{prose(dice, 6)} <a href="/d">{prose(dice, 1)}</a></footer></body></html>')
+    return made, html.fit(made[:40])
+
+
+def text_of(page, model):
+    tree = html.parse(page)
+    return html.main_text(tree, html.marginals([tree], model)[0])
+
+
+def unmarked(page):
+    page = re.sub(r'\s(?:class|id|role)="[^"]*"', "", page)
+    return re.sub(r"<(/?)(?:article|main|section|nav|aside|header|footer)\b", r"<\1div", page)
+
+
+def test_pages_without_any_mark_keep_their_text(page_model):
+    made, model = page_model
+    right = kept = wanted = 0
+    for page in made[40:]:
+        want = "\n".join(t for t in html.parse(page[page.index("<article") : page.index("</article>")]).text if t is not None).split("\n")
+        got = text_of(unmarked(page), model).split("\n")
+        right, kept, wanted = right + len(set(got) & set(want)), kept + len(got), wanted + len(want)
+    assert right >= 0.95 * kept and right >= 0.9 * wanted
+    guess = html.fit([unmarked(p) for p in made[:40]])  # learnt without marks, by structure alone
+    assert sum(PARAGRAPH in text_of(unmarked(p.replace("</h1>", f"</h1><p>{PARAGRAPH * 3}</p>")), guess) for p in made[40:]) >= 18
+
+
+def test_odd_pages(page_model):
+    _, model = page_model
+    article = f"<h1>A title of it</h1><p>{PARAGRAPH * 2}</p><p>{PARAGRAPH * 3}</p>"
+    want = f"A title of it\n{PARAGRAPH * 2}\n{PARAGRAPH * 3}"
+    menu, foot = '<div id="menu"><a href="/">Home</a> <a href="/n">News</a></div>', '<div class="footer"><a href="/x">Imprint</a></div>'
+    assert text_of(f"<html><body>{menu}<div>{article}</div>{foot}</body></html>", model) == want
+    assert text_of(f"<html><head><title>T</title><article>{article}</article>", model) == want
+    assert text_of(f"<body><article>{article}<svg><p>{PARAGRAPH}</p></article>{foot}</body>", model) == f"{want}\n{PARAGRAPH}"  # nothing closes the svg: it is empty
+    assert text_of(f"<body><article>{article}<p hidden>not shown at all</p></article></body>", model) == want
+    assert text_of("", model) == "" and text_of("<p></p>", model) == "" and text_of("<a \"", model) == ""
+
+
+def test_pages_are_parsed_in_linear_time():
+    for page in ("<b>" * 30_000 + "</i>" * 30_000, '<a "' * 60_000, '<a "' * 60_000 + '>"x', "<!" * 200_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000):
+        began = time.perf_counter()
+        html.parse(page)
+        assert time.perf_counter() - began < 3
+
+
+def test_addresses_are_found_in_linear_time():
+    began = time.perf_counter()
+    assert pii.base_spans("a" * 1_000_000 + "@x " + "b" * 1_000_000 + "@y.z") == [("email", 1_000_003, 2_000_007)]
+    assert time.perf_counter() - began < 3
+    assert pii.base_spans("a@b.c@d.e a@b.c_d@e.f @x.y") == [("email", 0, 5), ("email", 10, 15), ("email", 15, 21)]
+
+
 def test_tree_messages_are_exact():
     rng = np.random.default_rng(2)
     unary, pair = rng.normal(size=(4, 2)), rng.normal(size=(4, 2, 2))
