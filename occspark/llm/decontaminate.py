@@ -32,9 +32,9 @@ from . import kernels
 EDIT_SHARE = 0.2
 #: Walks, repeats of the sampling (so many of each walk), sampled places of each, and steps from
 #: one place to the next. At EDIT_SHARE a repeat whose places are on different words finds about
-#: 0.45 of the alignments; all together miss under 0.002 (tests/llm measures the recall of the
+#: 0.45 of the alignments; all together miss about 0.002 (tests/llm measures the recall of the
 #: hits alone).
-WALKS, REPEATS, PLACES, GAP = 8, 40, 3, 2
+WALKS, REPEATS, PLACES, GAP = 6, 36, 3, 2
 #: An item is also looked for by places that share words if fewer repeats than this have none.
 LEAST_REPEATS = 4
 #: Items shorter than this are sampled at one place.
