@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import remove, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b, of one orderable type).
 
     root is the smallest node that can be reached. Each round hangs every node below the
-    smallest node of its neighbourhood, first over larger, then over smaller neighbours; the
-    edges end as one star per component. Tables between rounds are written to the shared
-    folder. Self-loops and repeated edges don't matter; no edges give no rows.
+    smallest node of its neighbourhood, first over larger, then over smaller neighbours,
+    until the edges are one star per component. Tables between rounds are written to the
+    shared folder and deleted when the next is whole. Self-loops and repeated edges don't
+    matter; no edges give no rows.
     """
     current = stored(_tidy(edges.select("a", "b")), "edges")
-    before = None
     for _ in range(max_rounds):
-        current = stored(_tidy(_star(_star(current, larger=True), larger=False)), "edges")
-        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _stars(current):
             break
-        before = now
+        # a table of its own, so that a node with very many neighbours can be split in the join
+        least = stored(_least(_both_ways(current)), "least")
+        larger = _tidy(_both_ways(current).join(least, "a").where("b > a").select(F.col("m").alias("a"), "b"))
+        spent, current = (current, least), stored(_small_star(larger), "edges")
+        for table in spent:
+            remove(table)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
@@ -35,12 +38,25 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """For each node u, joins its larger (or other smaller) neighbours to the least node around u."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
-    if larger:
-        return _tidy(joined.where("b > a").select(F.col("m").alias("a"), "b"))
-    ups = joined.where("b <> m").select(F.col("m").alias("a"), "b")
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _least(around: DataFrame) -> DataFrame:
+    """(a, m): the least of a node and its neighbours."""
+    return around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hangs each node and its smaller neighbours below the least of them; after a large star a node has few of those."""
+    up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    least = _least(up)
+    ups = up.join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b")
     return _tidy(ups.unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b"))))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether the distinct edges (a < b) are stars: every b has one a and is none itself."""
+    roles = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    roles = roles.unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()

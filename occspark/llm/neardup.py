@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected_components
-from .storage import stored
+from .storage import remove, stored
 
 #: Chance, for one linked pair, that its sketches look unlike. Sets T.
 MISS = 1e-9
@@ -79,7 +79,8 @@ def _lists(rows: DataFrame) -> DataFrame:
     holds from this one on. score is higher the more sets share a set's values.
     """
     each = rows.select("fp", "n", "need", F.explode("values").alias("v"))
-    often = each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a table of its own: a value that very many sets hold can then be split in the join
+    often = stored(each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
     shared = each.join(often, "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
     kept = shared.where("size(common) >= need").withColumn("s", F.size("common"))
     listed = F.transform(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("s") - F.col("need") + 1)), lambda x: x["v"])
@@ -97,7 +98,7 @@ def _need_of_sketch(k: int, threshold: Fraction) -> Column:
 
 def _with_hubs(lists: DataFrame) -> DataFrame:
     """(a, b): every member of a list with its hubs. Hubs: the member whose values most sets share, and a random one."""
-    hubs = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max_by("fp", F.struct("score", F.xxhash64("fp"))).alias("h0"), F.min_by("fp", F.xxhash64("fp")).alias("h1")).where("c > 1")
+    hubs = stored(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max_by("fp", F.struct("score", F.xxhash64("fp"))).alias("h0"), F.min_by("fp", F.xxhash64("fp")).alias("h1")).where("c > 1"), "hubs")
     return _distinct_pairs(lists.select("v", "fp").join(hubs, "v").select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array("h0", "h1"))).alias("b")))
 
 
@@ -106,7 +107,7 @@ def _unsettled(lists: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFram
     tagged = lists.join(placed, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     sizes = tagged.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("v").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("members")).where("roots > 1 and members > 2").select("v", "main")
-    return tagged, main
+    return tagged, stored(main, "main")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -141,11 +142,16 @@ def _linked(likely: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
 
 def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after some more links: those found so far are stars already."""
-    if links.isEmpty():
+    """The components after some more links, which join the components found so far as if those were nodes."""
+    of = lambda x: placed.select(F.col("node").alias(f"node{x}"), F.col("root").alias(f"root{x}"))
+    roots = links.join(of("a"), F.col("a") == F.col("nodea"), "left").join(of("b"), F.col("b") == F.col("nodeb"), "left")
+    between = stored(roots.select(F.coalesce("roota", "a").alias("a"), F.coalesce("rootb", "b").alias("b")).where("a <> b").distinct(), "between")
+    if between.isEmpty():
         return placed
-    stars = placed.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return stored(connected_components(stars.unionByName(links)), "placed")
+    moved = stored(connected_components(between), "moved").select(F.col("node").alias("moved"), F.col("root").alias("to"))
+    hung = placed.join(moved, F.col("root") == F.col("moved"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = moved.join(placed, F.col("moved") == F.col("node"), "left_anti").select(F.col("moved").alias("node"), F.col("to").alias("root"))
+    return stored(hung.unionByName(new), "placed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), k: int = 64) -> DataFrame:
@@ -164,10 +170,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     likely = _likely(_with_hubs(lists), reps, k, threshold)
     sets = _full_sets(likely.select(F.col("a").alias("fp")).union(likely.select("b")), reps, docs, words)
     placed = stored(connected_components(_linked(likely, sets, threshold)), "placed")
+    remove(likely)
+    remove(sets)
     # lists that still have several components: lists of the rarest values of their members' full sets, which are far fewer
     tagged, main = _unsettled(lists, placed)
     open_sets = _full_sets(tagged.join(main, "v", "left_semi").select("fp"), reps, docs, words)
     need = F.ceil(F.col("n").cast("long") * p / q - 1e-9).cast("int")
+    remove(lists)
+    remove(main)
     lists = stored(_lists(open_sets.withColumn("need", need)), "lists")
     placed = _joined(placed, _linked(_likely(_with_hubs(lists), reps, k, threshold), open_sets, threshold))
     # what is outside a list's main component meets all other components, as far as the parts that others share allow
@@ -180,8 +190,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     once = F.get(F.array_intersect("listeda", "listedb"), F.lit(0)) == F.col("v")
     rest = left.where("outa").join(right.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & may & once)
     roots = _joined(placed, _linked(_likely(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, k, threshold), open_sets, threshold))
-    named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = stored(roots.join(reps, F.col("node") == F.col("fp")).select("fp", "first_id", "root"), "named")
+    least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     # only sets whose component has a smaller id than their own first: few rows to join with all documents
     moved = stored(named.join(least, "root").where("not (component_id <=> first_id)").select(F.col("fp").alias("moved_fp"), "component_id"), "moved")
     owners = stored(reps.select(F.col("fp").alias("owned_fp"), "first_id").join(moved, F.col("owned_fp") == F.col("moved_fp"), "left").select("owned_fp", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
