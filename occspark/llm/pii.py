@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field around them.
 
 The nodes of a document's field are its words with a digit or an ``@``; other words can't be
-part of an entity and cut the chain. Neighbouring words share chain potentials; repeated
+part of an entity and cut the chain, but the two before and the one behind a node are its
+features, so cues such as "call" are learnt. Neighbouring words share chain potentials; repeated
 words, and words that end in the same digits or begin like the same address, share skip
 potentials however far apart they are, so a mention that the patterns miss takes the label
 of one that they find. Occurrences are linked as a binary tree, so a word that occurs a thousand
@@ -15,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field as dataclass_field
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,11 @@ TOLERANCE = 1e-4
 #: Rounds that any document may take; each node allows four more, so that evidence can cross the longest chain.
 LEAST_ROUNDS = 200
 _FEATURES = 19
+#: Classes that the words around nodes are hashed to, for each place. Class 0 of all is no evidence.
+CONTEXT_CLASSES = 256
+_CONTEXTS = 1 + 3 * CONTEXT_CLASSES
+#: Ridge of the weights of context words: a word speaks as far as many mentions have it.
+CONTEXT_RIDGE = 3e-3
 
 
 def luhn(digits: str) -> bool:
@@ -85,21 +92,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass(frozen=True)
 class Field:
-    """Log-linear weights: features x labels, chain labels x labels, (same, similar) x labels. Label 0 is none."""
+    """Log-linear weights: features x labels, chain labels x labels, (same, similar) x labels, context classes x labels. Label 0 is none."""
 
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    context: np.ndarray = dataclass_field(default_factory=lambda: np.zeros((_CONTEXTS, 1 + len(KINDS))))
 
 
 @dataclass
 class Graph:
-    """A document's nodes (start, end), features, fixed labels (-1: free) and edges (i, j, kind: 0 chain, 1 same, 2 similar)."""
+    """A document's nodes (start, end), features, fixed labels (-1: free), edges (i, j, kind: 0 chain, 1 same, 2 similar) and nodes x 3 context classes."""
 
     spans: list[tuple[int, int]]
     features: np.ndarray
     fixed: np.ndarray
     edges: np.ndarray
+    context: np.ndarray = dataclass_field(default_factory=lambda: np.zeros((0, 3), np.int64))
+
+
+def _context(word: str, place: int) -> int:
+    """The class of a word at one of the three places around a node; all nodes are one word there."""
+    own = "0" if _MARKED.search(word) else word.strip(_OUTER + "()").lower()
+    return 1 + place * CONTEXT_CLASSES + zlib.crc32(own.encode()) % CONTEXT_CLASSES
 
 
 def _features(token: str, before: bool, after: bool) -> np.ndarray:
@@ -115,8 +130,14 @@ def _features(token: str, before: bool, after: bool) -> np.ndarray:
 
 def build(text: str, spans: list[tuple[str, int, int]]) -> Graph:
     """The field of a text whose pattern matches are ``spans``."""
-    nodes, chain, last_end = [], [], None
+    nodes, chain, context, last_end = [], [], [], None
+    before, before_that, open_node = "", "", False
     for m in _NODE.finditer(text):
+        earlier = (before, before_that)
+        before, before_that = m[0], before
+        if open_node:
+            context[-1][2] = _context(m[0], 2)
+            open_node = False
         if not _MARKED.search(m[0]):
             continue
         own = m[0].strip(_OUTER)
@@ -126,6 +147,8 @@ def build(text: str, spans: list[tuple[str, int, int]]) -> Graph:
         if last_end is not None and not text[last_end : m.start()].strip("\x20\x09\x0a\x0b\x0c\x0d"):
             chain.append(len(nodes))
         nodes.append((start, start + len(own), own))
+        context.append([_context(w, k) if w else 0 for k, w in enumerate(earlier)] + [0])
+        open_node = True
         last_end = m.end()
     follows = set(chain)
     features = np.array([_features(t, k in follows, k + 1 in follows) for k, (_, _, t) in enumerate(nodes)]).reshape(len(nodes), _FEATURES)
@@ -146,13 +169,15 @@ def build(text: str, spans: list[tuple[str, int, int]]) -> Graph:
                 if members:
                     edges.append((members[(len(members) - 1) // 2], k, 1 + same))
                 members.append(k)
-    return Graph([(s, e) for s, e, _ in nodes], features, fixed, np.array(edges, np.int64).reshape(-1, 3))
+    return Graph([(s, e) for s, e, _ in nodes], features, fixed, np.array(edges, np.int64).reshape(-1, 3), np.array(context, np.int64).reshape(-1, 3))
 
 
 def marginals(graph: Graph, field: Field) -> np.ndarray:
     """(node, label) marginals by damped loopy sum-product, in logarithms; ``fixed`` labels are certain."""
     labels = field.chain.shape[0]
     unary = graph.features @ field.unary
+    if len(graph.context):
+        unary += field.context[graph.context].sum(1)
     known = np.flatnonzero(graph.fixed >= 0)
     unary[known] = -1e4
     unary[known, graph.fixed[known]] = 0
@@ -230,20 +255,28 @@ def _echo(kind: str, mention: str, dice: random.Random) -> str:
 
 
 def _instance(text: str, dice: random.Random) -> tuple[Graph, np.ndarray] | None:
-    """A graph and its labels: the text, half of its entities echoed behind, and numbers that are nothing."""
+    """A graph and its labels: the text, half of its entities echoed behind, and numbers that are nothing.
+
+    Half of the echoes stand between the words around their mention, other echoes and numbers between any words of the text.
+    """
     spans = base_spans(text)
     if not spans:
         return None
     lines, wanted, size = [text], [], len(text)
+    words = [w for w in _NODE.findall(text) if not _MARKED.search(w)] or ["x"]
     for kind, s, e in spans:
         if dice.random() < 0.5:
             echo = _echo(kind, text[s:e], dice)
-            lines.append(f"\nx {echo} x")
-            wanted.append((kind, size + 3, size + 3 + len(echo)))
+            around = [*_NODE.findall(text[max(0, s - 100) : s])[-2:], *_NODE.findall(text[e : e + 100])[:1]] if dice.random() < 0.5 else []
+            around = around if len(around) == 3 and not any(map(_MARKED.search, around)) else dice.choices(words, k=3)
+            head = f"\n{around[0]} {around[1]} "
+            lines.append(f"{head}{echo} {around[2]}")
+            wanted.append((kind, size + len(head), size + len(head) + len(echo)))
             size += len(lines[-1])
     for _ in range(2):
         noise = dice.choice([str(dice.randrange(1900, 2100)), f"{dice.randrange(100)}.{dice.randrange(10)}", str(dice.randrange(10**6, 10**9)), f"{dice.randrange(10**4)}-{dice.randrange(10**3)}", str(dice.randrange(10**15, 10**16 - 1) * 10 + 7), f"v{dice.randrange(9)}.{dice.randrange(99)}"])
-        lines.append(f"\nx {noise} x")
+        around = dice.choices(words, k=3)
+        lines.append(f"\n{around[0]} {around[1]} {noise} {around[2]}")
     graph = build("".join(lines), [])
     labels = build("".join(lines), spans + wanted).fixed
     return graph, np.maximum(labels, 0)
@@ -261,6 +294,7 @@ def fit(texts: list[str], steps: int = 400, seed: int = 7) -> Field:
     offset = np.cumsum([0] + [len(g.spans) for g, _ in made])
     x = np.concatenate([g.features for g, _ in made])
     y = np.concatenate([l for _, l in made])
+    context = np.concatenate([g.context for g, _ in made])
     edges = np.concatenate([g.edges + np.array([o, o, 0]) for (g, _), o in zip(made, offset, strict=False)])
     one = np.eye(labels)[y]
     i, j, kind = edges.T
@@ -276,15 +310,19 @@ def fit(texts: list[str], steps: int = 400, seed: int = 7) -> Field:
     hidden = (near.sum((0, 2)) > 0) & (np.random.default_rng(seed).random(len(y)) < 0.5)
     x = x.copy()
     x[hidden, 1:] = 0
-    momentum = [np.zeros_like(w) for w in (field.unary, field.chain, field.skip)]
+    context[hidden] = 0
+    weights, ridges = (field.unary, field.chain, field.skip, field.context), (1e-4, 1e-4, 1e-4, CONTEXT_RIDGE)
+    momentum = [np.zeros_like(w) for w in weights]
     for _ in range(steps):
-        score = x @ field.unary + left @ field.chain + right @ field.chain.T + near[0] * field.skip[0] + near[1] * field.skip[1]
+        score = x @ field.unary + left @ field.chain + right @ field.chain.T + near[0] * field.skip[0] + near[1] * field.skip[1] + field.context[context].sum(1)
         p = np.exp(score - score.max(1, keepdims=True))
         miss = one - p / p.sum(1, keepdims=True)
-        grads = (x.T @ miss, left.T @ miss + miss.T @ right, np.stack([(near[k] * miss).sum(0) for k in range(2)]))
-        for w, m, g in zip((field.unary, field.chain, field.skip), momentum, grads, strict=True):
+        around = np.stack([np.bincount(context.ravel(), np.repeat(miss[:, k], 3), _CONTEXTS) for k in range(labels)], axis=1)
+        around[0] = 0
+        grads = (x.T @ miss, left.T @ miss + miss.T @ right, np.stack([(near[k] * miss).sum(0) for k in range(2)]), around)
+        for w, m, g, ridge in zip(weights, momentum, grads, ridges, strict=True):
             m *= 0.9
-            m += g / len(y) - 1e-4 * w
+            m += g / len(y) - ridge * w
             w += 1.0 * m
     return field
 

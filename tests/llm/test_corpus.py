@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import dataclasses
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -367,6 +369,64 @@ def test_messages_give_exact_marginals_on_trees():
     assert np.allclose(got[0], weight.sum(1) / weight.sum(), atol=1e-3) and np.allclose(got[1], weight.sum(0) / weight.sum(), atol=1e-3)
 
 
+def _with_mentions(seed: int, echoed: bool) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Texts with one mention of each kind, and what stands for the same entities at their ends without the patterns' marks."""
+    dice, made = random.Random(seed), []
+    for _ in range(120):
+        mentions = [("email", f"{dice.choice(['ann', 'bob', 'eve', 'kim'])}.{dice.randrange(10**4)}@mail{dice.randrange(90)}.example.com"), ("phone", f"+1 ({dice.randrange(200, 999)}) 555-{dice.randrange(1000, 9999)}"), ("ip", f"{dice.randrange(1, 255)}.{dice.randrange(255)}.3.{dice.randrange(255)}")]
+        text, wanted = " ".join(f"{prose(dice, 12)} {dice.choice(['call', 'ask', 'see'])} {m} {prose(dice, 3)}" for _, m in mentions), []
+        for kind, mention in mentions if echoed else ():
+            echo = pii._echo(kind, mention, dice)
+            text += f" {prose(dice, 3)} "
+            wanted.append((kind, len(text), len(text) + len(echo)))
+            text += f"{echo} {prose(dice, 2)}"
+        made.append((f"{text} in {dice.randrange(1900, 2100)} of {dice.randrange(10**6, 10**9)} or so", wanted))
+    return made
+
+
+def test_skip_links_find_planted_mentions_that_patterns_miss():
+    field = pii.fit([t for t, _ in _with_mentions(21, False)])
+    recall = {}
+    for name, own in (("skip", field), ("none", dataclasses.replace(field, skip=np.zeros_like(field.skip)))):
+        planted = found = added = 0
+        for text, wanted in _with_mentions(22, True):
+            base = pii.base_spans(text)
+            wanted = [w for w in wanted if not any(s < w[2] and e > w[1] for _, s, e in base)]
+            new = pii.added_spans(text, base, own)
+            planted, added = planted + len(wanted), added + len(new)
+            found += sum(any(k == w[0] and s < w[2] and e > w[1] for k, s, e in new) for w in wanted)
+        recall[name] = found / planted
+        assert name == "none" or found / added >= 0.95
+    assert recall["skip"] >= 0.9 and recall["skip"] >= recall["none"] + 0.2, recall
+
+
+def test_words_around_a_node_are_evidence():
+    dice = random.Random(23)
+    texts = [f"{prose(dice, 9)} please dial +1 ({dice.randrange(200, 999)}) 555-{dice.randrange(1000, 9999)} {prose(dice, 4)} order number {dice.randrange(10**9, 10**10)} {prose(dice, 4)}" for _ in range(200)]
+    field = pii.fit(texts)
+    chance = lambda t: pii.marginals(pii.build(t, []), field)[0, 4]
+    assert chance("please dial 4155557788 today") > 2 * chance("order number 4155557788 today")
+    graph = pii.build("please (dial) 41 7 now", [])
+    assert graph.context.tolist() == [[pii._context("dial", 0), pii._context("please", 1), pii._context("7", 2)], [pii._context("0", 0), pii._context("dial", 1), pii._context("now", 2)]]
+    assert pii.build("7", []).context.tolist() == [[0, 0, 0]] and pii.build("", []).context.shape == (0, 3)
+
+
+def test_messages_equal_enumeration_on_random_trees():
+    rng = np.random.default_rng(24)
+    for size in (1, 2, 4, 5):
+        field = pii.Field(rng.normal(size=(pii._FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(2, 5)), rng.normal(size=(pii._CONTEXTS, 5)))
+        edges = np.array([(rng.integers(k), k, rng.integers(3)) for k in range(1, size)], np.int64).reshape(-1, 3)
+        graph = pii.Graph([(0, 1)] * size, rng.normal(size=(size, pii._FEATURES)), np.full(size, -1), edges, rng.integers(0, pii._CONTEXTS, (size, 3)))
+        graph.fixed[0] = 2
+        want = np.zeros((size, 5))
+        for labels in itertools.product(range(5), repeat=size):
+            if labels[0] == 2:
+                score = sum(graph.features[k] @ field.unary[:, v] + field.context[graph.context[k], v].sum() for k, v in enumerate(labels))
+                score += sum(field.chain[labels[a], labels[b]] if kind == 0 else field.skip[kind - 1, labels[a]] * (labels[a] == labels[b]) for a, b, kind in edges)
+                want[np.arange(size), labels] += math.exp(score)
+        assert np.allclose(pii.marginals(graph, field), want / want.sum(1, keepdims=True), atol=2e-3)
+
+
 def test_decontamination_finds_edited_items(spark, docs):
     dice = random.Random(9)
     items = [(k, prose(dice, dice.randrange(15, 60))) for k in range(30)]
