@@ -6,11 +6,14 @@ from .decontaminate import op10_decontaminate
 from .html import op5_html
 from .katz import op9_katz
 from .langid import op4_langid
+from .neighbours import op11_quality_votes
 from .neardup import op3_neardup
 from .packing import op8_packing
 from .pii import op2_pii
 from .quality import op7_quality
 from .sharding import op6_sharding
+from .spelling import op13_spelling
+from .trie import TRIE_SQL, op12_trie
 from .warc import op1_warc
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_katz": op9_katz,
     "op10_decontaminate": op10_decontaminate,
+    "op11_quality_votes": op11_quality_votes,
+    "op12_trie": op12_trie,
+    "op13_spelling": op13_spelling,
 }
 #: DuckDB twins; queries without one are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_trie": TRIE_SQL}
