@@ -129,11 +129,6 @@ def build_tile_points(features: DataFrame) -> DataFrame:
     return features.select(*KEY, "category", "rubrica_for_styling", "search_categories", "data_ocorrencia", "periodo_normalized", "hora_ocorrencia", "total_records", "x_3857", "y_3857", F.year("data_ocorrencia").alias("year"))
 
 
-def write_tile_points(features: DataFrame, path: str) -> None:
-    """Tile points as Parquet, partitioned by year and sorted by place within files."""
-    build_tile_points(features).repartition("year").sortWithinPartitions("x_3857", "y_3857").write.mode("overwrite").partitionBy("year").parquet(path)
-
-
 def date_range(features: DataFrame, date: str = "data_ocorrencia") -> DataFrame:
     """O-6.17: (min_date, max_date, default_after): three months before the last date, not before the first."""
     known = features.where(F.col(date) >= F.lit("2013-01-01").cast("date")).agg(F.min(date).alias("min_date"), F.max(date).alias("max_date"))

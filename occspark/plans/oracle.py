@@ -268,3 +268,12 @@ SELECT category, year, (reason IN ('missing', 'empty', 'changed'))::int AS impor
     "o11_6_coroner_month_targets": """WITH have AS (SELECT DISTINCT year(ts) AS year, month(ts) AS month FROM events UNION SELECT DISTINCT year(o_orderdate) + 20, month(o_orderdate) FROM orders), m AS (SELECT unnest(generate_series(timestamp '2013-01-01', timestamp '2024-02-01', interval 1 month)) AS day0)
 SELECT year(day0)::int AS year, month(day0)::int AS month, CASE WHEN have.year IS NULL THEN 'no data' WHEN month(day0) = 5 THEN 'no file' ELSE 'recent' END AS reason FROM m LEFT JOIN have ON year(day0) = have.year AND month(day0) = have.month WHERE have.year IS NULL OR month(day0) = 5 OR day0 > timestamp '2023-11-01'""",
 }
+#: Queries that read a store have the answers of those that read the features themselves.
+ORACLE_SQL |= {"o6_14_stored_refresh": ORACLE_SQL["o6_14_refresh_known_tables"], "o9_3_stored_reports": ORACLE_SQL["o9_3_by_report"], "o9_5_stored_detail": ORACLE_SQL["o9_5_feature_detail"]}
+_SIDE = f"({_W} / 16384)"
+ORACLE_SQL |= {
+    "o10_1_stored_tile_points": f"""{_ALL} SELECT num_bo, delegacia, location_hash, category, n::int AS total_records, round(x, 2) AS x, round(y, 2) AS y FROM s
+WHERE x BETWEEN 6080 * {_SIDE} - {_W} / 2 AND 6120 * {_SIDE} - {_W} / 2 AND y BETWEEN {_W} / 2 - 9310 * {_SIDE} AND {_W} / 2 - 9270 * {_SIDE} AND year(d) = 2024""",
+    "o10_5_capped_points": f"""{_ALL}, q AS (SELECT *, floor((floor(x / 5000) * 5000 + {_W} / 2) / ({_W} / 65536))::bigint AS tile_x, floor(({_W} / 2 - floor(y / 5000) * 5000) / ({_W} / 65536))::bigint AS tile_y FROM s)
+SELECT num_bo, location_hash, delegacia, tile_x, tile_y FROM q QUALIFY row_number() OVER (PARTITION BY tile_x, tile_y ORDER BY num_bo, ano_bo, nullif(delegacia, '') NULLS FIRST, location_hash) <= 2""",
+}

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import feature_store as FS
 from ..operators import features as FE
 from ..operators import filters as FI
 from ..operators import imports as IM
 from ..operators import lookups as LO
 from ..operators import records as R
 from ..operators import stats as ST
+from ..operators import tile_store as TS
 from ..operators import tiles as TI
 from ..sources import io, profile, schema, scratch
 from . import fixtures as FX
@@ -255,7 +257,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "orders")
     orders = FX.load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     io.replace_table([orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")], path)
-    return io.with_stable_ids(spark.read.parquet(path), ["o_orderdate", "o_orderkey"]).select("id", "o_orderkey")
+    return io.with_stable_ids(io.read_table(spark, path), ["o_orderdate", "o_orderkey"]).select("id", "o_orderkey")
 
 def replace_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-1.11: orders by month; then the months from July on anew, with fewer rows."""
@@ -263,7 +265,7 @@ def replace_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = FX.load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("ANO_REFERENCIA"), F.date_format("o_orderdate", "MM").alias("MES_REFERENCIA"))
     io.replace_month(orders, path)
     io.replace_month(orders.where("MES_REFERENCIA >= '07' and o_orderkey % 2 = 0"), path)
-    months = spark.read.schema("o_orderkey long, ANO_REFERENCIA string, MES_REFERENCIA string").parquet(path)
+    months = io.read_table(spark, path)
     return months.groupBy(F.col("ANO_REFERENCIA").alias("year"), F.col("MES_REFERENCIA").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
 
 def coroner_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +325,48 @@ def upsert_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = {t: raw[t].where("cast(substring(NUM_BO, 3, 6) AS int) % 2 = 0") for t in ("celulares_2024", "dados_criminais_2024", "veiculos_2024")}
     return flat(FE.incremental_refresh(FE.build_features(raw), fresh, [*fresh, "unknown_2024"]))
 
+def _store(spark: SparkSession, features: DataFrame) -> str:
+    path = scratch.new_path(spark, "features")
+    FS.write_features(features, path)
+    return path
+
+def stored_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-6.14 on a store of all features: three tables come anew, each with the rows of every other report alone."""
+    raw = FX.raw_tables(spark, sf_dir)
+    path = _store(spark, FE.build_features(raw))
+    fresh = {t: raw[t].where("cast(substring(NUM_BO, 3, 6) AS int) % 2 = 0") for t in ("celulares_2024", "dados_criminais_2024", "veiculos_2024")}
+    FS.refresh_store(spark, path, fresh, [*fresh, "unknown_2024"])
+    return flat(FS.read_features(spark, path))
+
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-9.3 from a store: the reports that a table of keys names."""
+    path = _store(spark, FX.search_features(spark, sf_dir))
+    keys = FX.load(spark, sf_dir, "customer").select(F.concat(F.lit("DU"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("num_bo"), F.when(F.col("c_custkey") % 2 == 0, 2024).alias("ano_bo"))
+    return FS.stored_features_by_reports(spark, path, keys).select("num_bo", "ano_bo", "location_hash", "category", _text_date(F.col("data_ocorrencia")).alias("data_ocorrencia"), "total_records")
+
+def stored_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-9.5 from stores of features and coroner records."""
+    path, coroner = _store(spark, FX.search_features(spark, sf_dir)), scratch.new_path(spark, "coroner")
+    FS.write_coroner(FX.coroner(spark, sf_dir), coroner)
+    d = FS.stored_feature_detail(spark, path, coroner, REPORT, 2024)
+    return d.select("num_bo", "delegacia", "location_hash", "total_records", F.coalesce(F.array_join(F.transform("coroner", lambda c: c["id"].cast("string")), ","), F.lit("")).alias("coroner_ids"))
+
+#: A block of 40 by 40 tiles of zoom 14.
+TILES = (14, 6080, 9270, 6119, 9309)
+
+def stored_tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-6.16, O-10.1: tile points written in key order, and those of an envelope read."""
+    path = scratch.new_path(spark, "points")
+    TS.write_tile_points(FX.search_features(spark, sf_dir), path)
+    p = TS.read_tile_points(spark, path, TS.envelope_of(*TILES), (2024,))
+    return p.select("num_bo", F.coalesce("delegacia", F.lit("")).alias("delegacia"), "location_hash", "category", "total_records", F.round("x_3857", 2).alias("x"), F.round("y_3857", 2).alias("y"))
+
+def capped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-10.5 with a cap that binds: two points to a tile, over the points of five tables at coarse places."""
+    points = FE.build_tile_points(FX.search_features(spark, sf_dir))
+    coarse = points.withColumns({c: F.floor(F.col(c) / 5000) * 5000 for c in ("x_3857", "y_3857")})
+    return TI.raw_points(coarse, 16, most=2).select("num_bo", "location_hash", F.coalesce("delegacia", F.lit("")).alias("delegacia"), "tile_x", "tile_y")
+
 def merge_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-8.21: rubrics and tables of a feature as one set."""
     f = FX.search_features(spark, sf_dir)
@@ -414,6 +458,11 @@ QUERIES = {
     "o5_3_float_grammar": profile_floats,
     "o6_6_other_records": other_records,
     "o6_14_refresh_known_tables": upsert_known,
+    "o6_14_stored_refresh": stored_refresh,
+    "o9_3_stored_reports": stored_reports,
+    "o9_5_stored_detail": stored_detail,
+    "o10_1_stored_tile_points": stored_tile_points,
+    "o10_5_capped_points": capped_points,
     "o8_6_count_features": lambda spark, sf_dir: ST.count_features(FX.search_features(spark, sf_dir), WHERE),
     "o8_18_weapon_chart": weapon_chart,
     "o8_21_merge_arrays": merge_rubrics,

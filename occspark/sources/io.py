@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_column_name, normalize_lookup_key, source_text
+from . import versions
+from .schema import map_columns
 from .scratch import stored
 
 # The columns of a coroner export, and of its table.
@@ -27,15 +36,26 @@ def read_source_csv(spark: SparkSession, path: str, strict: bool = False) -> Dat
     Cells and headers may hold separators, quotes and line breaks within quotes, so a file is
     read by one task (files are at most 1.5 GB). The header is applied by position, as Spark
     renames repeated ones; repeats keep their names and are for drop_identical_duplicate_columns.
+    Of a path with several files each must have the first one's header, else it is an error.
     """
-    header = spark.read.options(**_CSV).csv(path, header=False).first()
-    names = [] if header is None else [(x or "").lstrip("\ufeff").strip() for x in header]
+    files = spark.read.text(path).inputFiles()
+    headers = {_header(spark, f) for f in files} if len(files) > 1 else {_header(spark, path)}
+    if len(headers) > 1:
+        raise ValueError(f"headers differ: {sorted(map(list, headers))}")
+    names = list(next(iter(headers), ()))
     schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(names))])
     # with column pruning, ragged rows would still count
     rows = spark.read.options(**_CSV).csv(path, header=True, schema=schema, mode="FAILFAST" if strict else "DROPMALFORMED", enforceSchema=True)
     return rows.toDF(*names) if names else rows
 
 
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The names in a file's first row, from its first line on; an empty file has none."""
+    # one row is asked for, so the reader stops after it
+    header = spark.read.options(**_CSV).csv(file, header=False).limit(1).collect()
+    return tuple((x or "").lstrip("\ufeff").strip() for x in header[0]) if header else ()
+
+
 def write_source_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     """O-1.2: ``;`` and a header; all cells quoted, or those that need it. Blanks around a cell stay."""
     df.write.mode("overwrite").csv(path, sep=";", header=True, quote='"', escape='"', quoteAll=quote_all, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
@@ -130,16 +150,33 @@ def with_stable_ids(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def replace_table(tables: list[DataFrame], path: str) -> int:
-    """O-1.10: the union of all files instead of what was there; gives the number of rows."""
+    """O-1.10: the union of all files instead of what was there; gives the number of rows.
+
+    The new rows are written beside the old ones and counted; one rename makes them current,
+    then the old ones go. If anything fails before, the table is as it was.
+    """
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    whole.write.mode("overwrite").parquet(path)
-    return whole.sparkSession.read.parquet(path).count()
+    rows = versions.replace_all(whole, path)
+    versions.remove_unlisted(whole.sparkSession, path)
+    return rows
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that replace_table or replace_month keeps."""
+    return versions.read_parts(spark, path, versions.listed(spark, path))
+
+
+_MONTH = ["ANO_REFERENCIA", "MES_REFERENCIA"]
 
 
 def replace_month(df: DataFrame, path: str) -> None:
-    """O-1.11: rows of the months in ``df`` instead of those months' rows; other months stay."""
-    (df.repartition("ANO_REFERENCIA", "MES_REFERENCIA").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("ANO_REFERENCIA", "MES_REFERENCIA").parquet(path))
+    """O-1.11: rows of the months in ``df`` instead of those months' rows; other months stay.
+
+    All months change together, as in replace_table. Rows are rebalanced by month, so a large
+    month is written by several tasks and small ones share one.
+    """
+    versions.replace_parts(df.hint("rebalance", *_MONTH), path, _MONTH)
+    versions.remove_unlisted(df.sparkSession, path)
 
 
 def coroner_rows(raw: DataFrame, year: int, month: int) -> DataFrame:
@@ -161,14 +198,99 @@ def read_coroner_export(spark: SparkSession, path: str, year: int, month: int) -
     return rows
 
 
-def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """O-1.13: (path, sha256, size)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+#: Files up to so many bytes are hashed as one value; longer ones are streamed.
+WHOLE_FILE = 256 << 20
+_BLOCK = 8 << 20
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told = []
+        for path in batch.column(0).to_pylist():
+            system, name = pa.fs.FileSystem.from_uri(quote(path, safe="/:"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as file:
+                while block := file.read(_BLOCK):
+                    digest.update(block)
+            told.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string()), batch.column(1)], names=["path", "sha256", "size"])
+
+
+def hash_files(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """O-1.13: (path, sha256, size). Spark lists no file without bytes, so such a file has no row.
+
+    Files of more than ``whole`` bytes are opened by the tasks and read block by block, so
+    their size doesn't matter; that needs a file system that Arrow knows (file, hdfs, s3, gs).
+    """
+    files = spark.read.format("binaryFile").load(path)
+    short = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    # one file a task, about: no row says how long its work is but its size
+    long = files.where(F.col("length") > whole).select("path", F.col("length").alias("size"))
+    if long.isEmpty():
+        return short
+    spread = long.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return short.unionByName(spread.mapInArrow(_streamed_digests, "path string, sha256 string, size long"))
+
+
+def load_to_jdbc(tables: DataFrame | list[DataFrame], url: str, table: str, mode: str = "overwrite", properties: dict[str, str] | None = None) -> int:
+    """O-1.14: the text columns of one or several files, '' as NULL, into a database table; gives the number of rows.
+
+    Each file's columns are mapped to the table's by name (map_columns) and take their types;
+    what the table doesn't have is left out, what a file doesn't have takes the table's
+    default. Tasks write each file to a table of its own; then one transaction empties the
+    table (``overwrite``) and takes the rows over, so that it has all files or none. A table
+    that doesn't exist is made like the first file; one that does keeps its definition.
+    """
+    files = [tables] if isinstance(tables, DataFrame) else list(tables)
+    spark, how = files[0].sparkSession, properties or {}
+    texts = [text_columns(df) for df in files]
+    with _connection(spark, url, how) as connection:
+        about = connection.getMetaData()
+        mark = (about.getIdentifierQuoteString() or "").strip()
+        quoted = lambda name: f"{mark}{name}{mark}"
+        if not about.getTables(None, None, table, None).next():
+            texts[0].limit(0).write.jdbc(url, table, mode="append", properties=how)
+    kinds = {f.name: f.dataType for f in spark.read.jdbc(url, table, properties=how).schema}
+    staged, rows = [], 0
+    try:
+        for k, df in enumerate(texts):
+            mapped = map_columns(df.columns, list(kinds))
+            name = f"{table}_IN_{k}_{uuid.uuid4().hex[:8]}".upper()
+            staged.append((name, list(mapped.values())))
+            df.select(*[F.col(f"`{c}`").cast(kinds[to]).alias(to) for c, to in mapped.items()]).write.jdbc(url, name, mode="append", properties=how)
+        with _connection(spark, url, how) as connection:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            try:
+                if mode == "overwrite":
+                    statement.executeUpdate(f"DELETE FROM {table}")
+                for name, columns in staged:
+                    listed = ", ".join(map(quoted, columns))
+                    rows += statement.executeUpdate(f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {name}")
+                connection.commit()
+            except Exception:
+                connection.rollback()
+                raise
+    finally:
+        with _connection(spark, url, how) as connection:
+            for name, _ in staged:
+                if connection.getMetaData().getTables(None, None, name, None).next():
+                    connection.createStatement().executeUpdate(f"DROP TABLE {name}")
+    return rows
 
 
-def load_to_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", properties: dict[str, str] | None = None) -> None:
-    """O-1.14: the text columns of ``df``, '' as NULL; a table that is overwritten keeps its definition."""
-    text_columns(df).write.option("truncate", True).jdbc(url, table, mode=mode, properties=properties or {})
+@contextmanager
+def _connection(spark: SparkSession, url: str, properties: dict[str, str]) -> Iterator:
+    if "driver" in properties:
+        spark._jvm.java.lang.Class.forName(properties["driver"])
+    own = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        own.setProperty(k, v)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, own)
+    try:
+        yield connection
+    finally:
+        connection.close()
 
 
 def escape_formula(c: Column) -> Column:
