@@ -37,8 +37,12 @@ EDIT_SHARE = 0.2
 WALKS, REPEATS, PLACES, GAP = 6, 36, 3, 2
 #: An item is also looked for by places that share words if fewer repeats than this have none.
 LEAST_REPEATS = 4
-#: Items shorter than this are sampled at one place.
+#: Items shorter than this are sampled at two places, and at one if they are single words.
 SHORT = 8
+#: Shorter items have few places, so each of their repeats draws a walk of its own.
+OWN_WALKS = 12
+#: Items up to this length have the places of just their length.
+OWN_LENGTH = 18
 #: Longer items are looked for by pieces of so many words.
 PIECE = 64
 #: Lengths within this factor share their places.
@@ -52,13 +56,17 @@ _BEYOND = 2 * PIECE + 2 * _STRIDE
 _SLOTS = 16
 #: Cells of hits x words looked at together.
 _CELLS = 1 << 20
+#: Hits that are held before those found twice are dropped.
+_HELD = 1 << 22
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray]:
-    """(odd multipliers by walk and 64 steps, where in its walk each repeat samples, 0 to 1). Repeats r, r + WALKS, ... share a walk."""
+    """(odd multipliers by walk and 64 steps, where in its walk each repeat samples, 0 to 1). Repeats r, r + WALKS, ... share a walk; walks from WALKS on are of one repeat each."""
     random = np.random.default_rng(10)
     odd = random.integers(0, 1 << 63, (WALKS, 1 + _BEYOND // 64), np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd, (np.arange(REPEATS) + random.random(REPEATS)) / REPEATS
+    where = (np.arange(REPEATS) + random.random(REPEATS)) / REPEATS
+    more = random.integers(0, 1 << 63, (REPEATS, odd.shape[1]), np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.concatenate([odd, more]), where
 
 
 _ODD, _WHERE = _draws()
@@ -66,9 +74,9 @@ _ODD, _WHERE = _draws()
 
 def length_class(words: int) -> int:
     """The shortest length whose places are used for windows of ``words`` words."""
-    if words < SHORT:
+    if words < OWN_LENGTH:
         return words
-    length = SHORT
+    length = OWN_LENGTH
     while (longer := ceil(length * LENGTH_STEP)) <= words:
         length = longer
     return length
@@ -76,7 +84,7 @@ def length_class(words: int) -> int:
 
 def first_place(length: int, repeat: int) -> int:
     """The step of the first place that a repeat samples; later ones follow at GAP."""
-    span = 2 * length - isqrt(length) - (0 if length < SHORT else PLACES * GAP)
+    span = 2 * length - isqrt(length) - (GAP if length < SHORT else PLACES * GAP)
     return 0 if length < 1 / EDIT_SHARE else int(_WHERE[repeat] * max(0, span)) // _STRIDE * _STRIDE
 
 
@@ -103,11 +111,14 @@ def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None
     padded = np.concatenate([words, np.full(_BEYOND + 2, _PAD)])
     mixed = [kernels.mix(padded + np.uint64(k + 1)) * np.uint64(2 * k + 3) for k in range(PLACES)]
     begin = np.arange(len(words)) if starts is None else np.asarray(starts, np.int64)
-    for walk in range(WALKS):
+    for walk in range(WALKS + REPEATS):
         wanted: dict[int, list[tuple[int, int]]] = {}
-        for repeat in range(walk, REPEATS, WALKS):
+        for repeat in range(walk, REPEATS, WALKS) if walk < WALKS else [walk - WALKS]:
             for length in lengths:
-                wanted.setdefault(first_place(length, repeat), []).append((repeat, length))
+                if (length < OWN_WALKS) == (walk >= WALKS):
+                    wanted.setdefault(first_place(length, repeat), []).append((repeat, length))
+        if not wanted:
+            continue
         at, begun = begin, None
         for step in range(0, max(wanted, default=-1) + 2 * _STRIDE, _STRIDE):
             if begun:  # the third place is the one after four steps
@@ -121,16 +132,17 @@ def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None
                 planes = np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 8).T)
             two, four = _moves(planes, step)
             if step in wanted:
-                first = mixed[0].take(at)
-                asked = []
+                first, half = mixed[0].take(at), at + two.take(at)
+                both, asked = first + mixed[1].take(half), []
                 for repeat, length in wanted[step]:
-                    if length < SHORT:
+                    if length == 1:
                         yield repeat, length, first, (at,)
+                    elif length < SHORT:
+                        yield repeat, length, both, (at, half)
                     else:
                         asked.append((repeat, length))
                 if asked:
-                    half = at + two.take(at)
-                    begun = asked, first + mixed[1].take(half), (at, half)
+                    begun = asked, both, (at, half)
             at = at + four.take(at)
 
 
@@ -193,6 +205,7 @@ def prepare(rows: list[tuple[object, str | None]], share: float = EDIT_SHARE) ->
 def hits(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(item, where it would start) of every window that agrees with an item in some repeat's places, each once."""
     found = [np.empty((0, 2), np.int64)]
+    held = 0
     for repeat, length, signature, _ in signatures(words, sorted({c for _, c in items.tables})):
         taken, known, piece = items.tables[repeat, length]
         near = np.flatnonzero(taken.take((signature >> np.uint64(64 - _SLOTS)).view(np.int64)))
@@ -200,6 +213,10 @@ def hits(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
         count = high - low
         which = piece[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
         found.append(np.stack([items.item[which], np.repeat(near, count) - items.offset[which]], 1))
+        held += len(which)
+        if held > _HELD:  # repeats find the same hits again
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = len(found[0]) // 2
     both = np.unique(np.concatenate(found), axis=0)
     return both[:, 0], both[:, 1]
 

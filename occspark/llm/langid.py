@@ -39,21 +39,33 @@ class LanguageModel:
     log_prob: np.ndarray
 
 
-def _buckets(text: str) -> np.ndarray:
-    """Buckets of all n-grams of the lower-cased text; anything but letters is one blank."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = _is_letter(codes)
-    codes = np.where(letter, codes, np.uint32(32))
-    codes = codes[np.concatenate([[True], letter[1:] | letter[:-1]])]  # one blank for a run of them
-    found, hashed = [], np.zeros(len(codes), np.uint32)
-    for n in ORDERS:
-        if len(codes) < n:
-            break
-        hashed = hashed[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] * _ODD[n - 1]
-        x = hashed ^ (hashed >> np.uint32(15))
-        x = x * np.uint32(0x2C1B3C6D) + np.uint32(n)
-        found.append((x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1))
-    return np.concatenate(found)
+def bucket_counts(text: str) -> np.ndarray:
+    """Counts by bucket of all n-grams of the lower-cased text; anything but letters is one blank.
+
+    Blocks of characters are hashed one after another; each takes the last characters before
+    it along, so no n-gram is lost at a cut.
+    """
+    counts = np.zeros(BUCKETS, np.int64)
+    lower = text.lower()
+    tail, after_letter = np.empty(0, np.uint32), True
+    for at in range(0, len(lower), BLOCK_CHARS):
+        codes = np.frombuffer(lower[at : at + BLOCK_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _is_letter(codes)
+        codes = np.where(letter, codes, np.uint32(32))
+        codes = codes[letter | np.concatenate([[after_letter], letter[:-1]])]  # one blank for a run of them
+        after_letter = bool(letter[-1])
+        codes = np.concatenate([tail, codes])
+        hashed = np.zeros(len(codes), np.uint32)
+        for n in ORDERS:
+            if len(codes) < n:
+                break
+            hashed = hashed[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] * _ODD[n - 1]
+            x = hashed[max(0, len(tail) - n + 1) :]
+            x = x ^ (x >> np.uint32(15))
+            x = x * np.uint32(0x2C1B3C6D) + np.uint32(n)
+            counts += np.bincount((x ^ (x >> np.uint32(13))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        tail = codes[max(0, len(codes) - max(ORDERS) + 1) :]
+    return counts
 
 
 _LETTERS: list[np.ndarray] = []
@@ -61,8 +73,8 @@ _LETTERS: list[np.ndarray] = []
 
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x30000)]))
-    return _LETTERS[0][np.minimum(codes, 0x2FFFF)] & (codes < 0x30000)
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _LETTERS[0][codes]
 
 
 def has_letter(text: str | None) -> bool:
@@ -70,21 +82,15 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _parts(text: str) -> Iterator[str]:
-    for at in range(0, len(text), BLOCK_CHARS):
-        yield text[at : at + BLOCK_CHARS]
-
-
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             rows[lang] = rows.get(lang, 0) + 1
-            for part in _parts(text.as_py() or ""):
-                if lang not in sums:
-                    sums[lang] = np.zeros(BUCKETS, np.int64)
-                sums[lang] += np.bincount(_buckets(part), minlength=BUCKETS)
+            if lang not in sums:
+                sums[lang] = np.zeros(BUCKETS, np.int64)
+            sums[lang] += bucket_counts(text.as_py() or "")
     for lang, n in rows.items():
         own = sums.get(lang, np.zeros(BUCKETS, np.int64))
         at = np.flatnonzero(own)
@@ -118,16 +124,21 @@ def score(text: str | None, model: LanguageModel) -> tuple[str, float]:
     """(most probable language, its posterior); ties go to the first in order. ``und`` and 0 without letters."""
     if not model.languages or not has_letter(text):
         return UNKNOWN, 0.0
-    logs = model.prior.copy()
-    for part in _parts(text):
-        bucket, count = np.unique(_buckets(part), return_counts=True)
-        logs += count @ model.log_prob[bucket].astype(np.float64)
+    counts = bucket_counts(text)
+    bucket = np.flatnonzero(counts)
+    logs = model.prior + counts[bucket] @ model.log_prob[bucket].astype(np.float64)
     best = int(np.argmax(logs))
     return model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+    """(doc_id, lang_pred, score) of every row, each judged by its whole text.
+
+    Null and empty texts and those without a letter are ``und`` with score 0; ties go to the
+    first language in order. Repeated rows are judged alike, a null doc_id stays null, very
+    long texts are hashed block by block, an empty table gives no rows, and other columns,
+    whatever their names, aren't read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

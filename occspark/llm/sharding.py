@@ -6,7 +6,7 @@ on any of them opens few files: :func:`shard_ranges` gives the bounds to prune b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranked
@@ -14,6 +14,8 @@ from .storage import stored
 
 #: Accuracy of the quantile cuts: errors of at most one in so many rows.
 ACCURACY = 2_000
+#: Distinct values of a column that may be broadcast with their cells.
+BROADCAST_VALUES = 100_000
 
 
 def hilbert_steps(n: int) -> list[int]:
@@ -63,30 +65,48 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), start, step, lambda s: s["at"])
 
 
-def _ordered(text: Column) -> Column:
-    """A number in the order of the string's first seven bytes; null first."""
-    head = F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 14), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def value_cells(rows: DataFrame, column: str, cells: int) -> DataFrame:
+    """(value, cell) of each distinct value of a text column: where the middle of its rows lies among all, in ``cells`` equal parts; null first.
+
+    Distinct values are dealt by ranges of their order and summed in each; what lies before a
+    range is a sum over ranges, so no task sees all values.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = stored(counted.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each range
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = parts.select(F.col("part").alias("_part"), (F.sum("n").over(along) - F.col("n")).alias("_start"), F.sum("n").over(Window.partitionBy()).alias("_all"))
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    middle = F.col("_start") + F.col("own") - F.col("n") / 2
+    placed = dealt.withColumn("own", own).join(F.broadcast(starts), F.col("part") == F.col("_part"))
+    return placed.select("value", F.least(F.lit(cells - 1), F.floor(middle * cells / F.col("_all"))).cast("int").alias("cell"))
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = 3) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``.
 
-    Dimensions: lang, source, size (UTF-8 bytes plus 16) and doc_id, each cut at quantiles
-    into 2**bits cells, so that a hot source or many copies spread along the others. Rows are
+    Dimensions: lang, source (whole values in their order), size (UTF-8 bytes plus 16) and
+    doc_id, each cut at quantiles into 2**bits cells, so that a hot source or many copies
+    spread along the others. Rows are
     ranked along the curve and cut into ``n_shards`` runs by the law ``rows``: counts differ
     by one at most. slot counts from 0 within a shard. Nulls: an empty text (crc32 0), or the
     first cell of the dimension. An empty table gives no rows; repeated rows each get a slot.
     """
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
     crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long")
-    dims = {"_lang": _ordered(F.col("lang")), "_source": _ordered(F.col("source")), "_size": size.cast("double"), "_id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0))}
-    thin = docs.select("doc_id", "lang", "source", F.col("text").cast("string").alias("text"))
-    thin = stored(thin.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *[c.alias(k) for k, c in dims.items()]), "metadata")
+    texts, numbers = ["lang", "source"], {"_size": size.cast("double"), "_id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0))}
+    thin = docs.select("doc_id", *[F.col(c).cast("string").alias(c) for c in texts], F.col("text").cast("string").alias("text"))
+    thin = stored(thin.select(F.col("doc_id").cast("long").alias("doc_id"), *texts, size.alias("size"), crc.alias("text_crc32"), *[c.alias(k) for k, c in numbers.items()]), "metadata")
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = thin.agg(F.count(F.lit(1)).alias("_rows"), *[F.percentile_approx(k, shares, ACCURACY).alias(f"{k}_cuts") for k in dims])
+    cuts = thin.agg(F.count(F.lit(1)).alias("_rows"), *[F.percentile_approx(k, shares, ACCURACY).alias(f"{k}_cuts") for k in numbers])
     placed = thin.join(F.broadcast(cuts))  # one row
-    coded = placed.select("doc_id", "size", "text_crc32", "_rows", *[F.expr(f"size(filter({k}_cuts, c -> c < {k}))").alias(k) for k in dims])
+    for c in texts:
+        cells = stored(value_cells(thin, c, 1 << bits), "cells").select(F.col("value").alias(f"_{c}_value"), F.col("cell").alias(f"_{c}"))
+        few = F.broadcast(cells) if cells.count() <= BROADCAST_VALUES else cells
+        placed = placed.join(few, F.col(c).eqNullSafe(F.col(f"_{c}_value")))
+    dims = [f"_{c}" for c in texts] + list(numbers)
+    coded = placed.select("doc_id", "size", "text_crc32", "_rows", *[f"_{c}" for c in texts], *[F.expr(f"size(filter({k}_cuts, c -> c < {k}))").alias(k) for k in numbers])
     curve = coded.withColumn("_cell", hilbert_index([F.col(k) for k in dims], bits)).drop(*dims)
     run = ranked(curve, "_cell", ["doc_id", "text_crc32", "size"], across=True)
     shard = F.expr(f"(rank * {n_shards}L) div _rows")
