@@ -269,7 +269,8 @@ SELECT category, year, (reason IN ('missing', 'empty', 'changed'))::int AS impor
 SELECT year(day0)::int AS year, month(day0)::int AS month, CASE WHEN have.year IS NULL THEN 'no data' WHEN month(day0) = 5 THEN 'no file' ELSE 'recent' END AS reason FROM m LEFT JOIN have ON year(day0) = have.year AND month(day0) = have.month WHERE have.year IS NULL OR month(day0) = 5 OR day0 > timestamp '2023-11-01'""",
 }
 #: Queries that read a store have the answers of those that read the features themselves.
-ORACLE_SQL |= {"o6_14_stored_refresh": ORACLE_SQL["o6_14_refresh_known_tables"], "o9_3_stored_reports": ORACLE_SQL["o9_3_by_report"], "o9_5_stored_detail": ORACLE_SQL["o9_5_feature_detail"]}
+ORACLE_SQL |= {"o6_14_stored_refresh": ORACLE_SQL["o6_14_refresh_known_tables"], "o9_3_stored_reports": ORACLE_SQL["o9_3_by_report"], "o9_5_stored_detail": ORACLE_SQL["o9_5_feature_detail"],
+               "o5_1_merged_profile": ORACLE_SQL["o5_1_profile_columns"], "o7_2_indexed_categories": ORACLE_SQL["o7_2_categories"]}
 _SIDE = f"({_W} / 16384)"
 ORACLE_SQL |= {
     "o10_1_stored_tile_points": f"""{_ALL} SELECT num_bo, delegacia, location_hash, category, n::int AS total_records, round(x, 2) AS x, round(y, 2) AS y FROM s

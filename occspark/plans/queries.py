@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import category_index as CI
 from ..operators import feature_store as FS
 from ..operators import features as FE
 from ..operators import filters as FI
@@ -157,7 +158,7 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("num_bo", "location_hash", F.coalesce("delegacia", F.lit("")).alias("delegacia"), "category", "tile_x", "tile_y", "pixel_x", "pixel_y")
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-5.1 to O-5.4 over customer and noisy values."""
+    """O-5.1 to O-5.4 over four of customer's columns."""
     customer = FX.load(spark, sf_dir, "customer").select(*[F.col(c).cast("string").alias(c) for c in ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")])
     got = profile.infer_type(profile.profile_columns(customer))
     return got.select("column", "null_count", "total_count", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), "numeric_min", "numeric_max", F.col("all_integer").cast("int").alias("all_integer"), "inferred_type")
@@ -361,6 +362,23 @@ def stored_tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = TS.read_tile_points(spark, path, TS.envelope_of(*TILES), (2024,))
     return p.select("num_bo", F.coalesce("delegacia", F.lit("")).alias("delegacia"), "location_hash", "category", "total_records", F.round("x_3857", 2).alias("x"), F.round("y_3857", 2).alias("y"))
 
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-5.1, O-5.4 by states: customers of each nation as a file, of which some changed and one is gone, added up."""
+    customer = FX.load(spark, sf_dir, "customer").select(*[F.col(c).cast("string").alias(c) for c in ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")])
+    before = customer.withColumn("c_acctbal", F.when(F.col("c_nationkey").cast("int") % 5 == 0, "x").otherwise(F.col("c_acctbal")))
+    gone = before.withColumn("c_nationkey", F.lit("gone"))
+    states = scratch.stored(profile.profile_states(before.unionByName(gone), F.col("c_nationkey")), "states")
+    fresh = profile.profile_states(customer.where("cast(c_nationkey AS int) % 5 = 0"), F.col("c_nationkey"))
+    away = states.where("file = 'gone'").select("file").distinct()
+    got = profile.infer_type(profile.merge_states(profile.refresh_states(states, away, fresh)))
+    return got.select("column", "null_count", "total_count", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), "numeric_min", "numeric_max", F.col("all_integer").cast("int").alias("all_integer"), "inferred_type")
+
+def indexed_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-7.2 from an index by category."""
+    path = scratch.new_path(spark, "categories")
+    CI.write_category_index(FX.search_features(spark, sf_dir), path)
+    return CI.indexed_features(spark, path, (" Furto - click ", "Furto - view", "")).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
+
 def capped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-10.5 with a cap that binds: two points to a tile, over the points of five tables at coarse places."""
     points = FE.build_tile_points(FX.search_features(spark, sf_dir))
@@ -463,6 +481,8 @@ QUERIES = {
     "o9_5_stored_detail": stored_detail,
     "o10_1_stored_tile_points": stored_tile_points,
     "o10_5_capped_points": capped_points,
+    "o5_1_merged_profile": merged_profile,
+    "o7_2_indexed_categories": indexed_categories,
     "o8_6_count_features": lambda spark, sf_dir: ST.count_features(FX.search_features(spark, sf_dir), WHERE),
     "o8_18_weapon_chart": weapon_chart,
     "o8_21_merge_arrays": merge_rubrics,

@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from occspark.functions import geo
+from occspark.operators import category_index as CI
 from occspark.operators import feature_store as FS
 from occspark.operators import features as FE
+from occspark.operators import filters as FI
 from occspark.operators import lookups as LO
 from occspark.operators import tile_store as TS
 from occspark.operators import tiles as TI
-from occspark.sources import io
+from occspark.sources import io, profile
 from occspark.sources import versions as VS
 
 RAW = "id bigint, NUM_BO string, ANO_BO string, LATITUDE string, LONGITUDE string, DATA_OCORRENCIA_BO string, NOME_DELEGACIA string, RUBRICA string, DESCR_PERIODO string, HORA_OCORRENCIA string, MARCA_OBJETO string, QUANTIDADE_OBJETO string, CIDADE string"
@@ -238,3 +240,40 @@ def test_long_files_are_streamed(spark, tmp_path):
         (tmp_path / f"{name} 1.bin").write_bytes(body)
     got = {r["sha256"]: r["size"] for r in io.hash_files(spark, str(tmp_path), whole=1_000).collect()}
     assert got == {hashlib.sha256(b).hexdigest(): len(b) for b in (b"abc", b"x" * 30_000_000)}
+
+
+def test_an_index_reads_the_categories_asked_for(spark, tables, tmp_path):
+    features = FE.derive_search_columns(FE.build_features(tables)).withColumn("category", F.when(F.col("category") == "v", "a/b: 100% [é]").otherwise(F.col("category")))
+    features = features.withColumn("search_categories", F.array_append("all_rubricas", F.col("category"))).cache()
+    path = str(tmp_path / "i")
+    CI.write_category_index(features, path)
+    for wanted in (("r0", " r1 "), ("a/b: 100% [é]",), ("o", "r2", "none"), ("none",)):
+        got = CI.indexed_features(spark, path, wanted)
+        want = features.where(FI.category_filter(wanted)).select(*CI.COLUMNS, TI.matched_category(tuple(w.strip() for w in wanted)).alias("matched_category"))
+        assert told(got) == told(want)
+        assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) <= len(wanted)
+    counts = CI.indexed_counts(spark, path)
+    assert counts == {r["c"]: r["count"] for r in features.select(F.explode(F.array_distinct("search_categories")).alias("c")).groupBy("c").count().collect()}
+
+
+def test_profiles_add_up(spark, tmp_path):
+    rows = [(str(k % 7000), f"{k}.5" if k % 3 else "", "2024-01-01", None) for k in range(9_000)]
+    whole = spark.createDataFrame(rows, "a string, b string, d string, n string")
+    for k in range(3):
+        whole.limit(9_000).where(F.col("a").cast("int") % 3 == k).write.parquet(f"{tmp_path}/f/part{k}")
+    files = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/f")
+    states = profile.profile_states(files, F.regexp_extract("_metadata.file_path", "part[0-9]", 0))
+    merged, full = ({r["column"]: r.asDict() for r in df.collect()} for df in (profile.merge_states(states), profile.profile_columns(whole)))
+    assert states.count() == 12 and merged == full  # counts of distinct values are past the cap, or few
+    assert profile.merge_states(states).columns == profile.profile_columns(whole).columns
+    found = states.groupBy("column").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n")).collect()
+    exact = {c: whole.where(f"{c} <> ''").select(c).distinct().count() for c in whole.columns}
+    assert all(abs(r["n"] - exact[r["column"]]) <= 0.02 * exact[r["column"]] for r in found)
+    other = spark.createDataFrame([("x", "1", "2024-01-01", "q")], whole.schema)
+    changed = profile.refresh_states(states, spark.createDataFrame([("part1",)], "file string"), profile.profile_states(other, F.lit("part2")))
+    left = whole.where("cast(a AS int) % 3 = 0").unionByName(other)
+    got, want = ({r["column"]: r.asDict() for r in df.collect()} for df in (profile.merge_states(changed), profile.profile_columns(left)))
+    for column, own in want.items():
+        n = left.where(f"{column} <> ''").select(column).distinct().count()
+        assert abs(got[column].pop("unique_count") - min(n, profile.MOST_UNIQUE)) <= 0.02 * n and own.pop("unique_count") is not None
+        assert got[column] == own
