@@ -102,30 +102,29 @@ def _moves(planes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return two, two + ((next_two & ~(one | both)) | (_ahead(next_two, 1) & one) | (_ahead(next_two, 2) & both))
 
 
-def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, ...]]]:
-    """(repeat, length, signature, places) of the windows from each start, by default from every word.
+def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None = None) -> Iterator[tuple[tuple[int, int, int], np.ndarray, tuple[np.ndarray, ...]]]:
+    """((walk, step, number of places), signature, places) of the windows from each start, by default from every word.
 
-    ``lengths`` are length classes. places: the words that the walk is on at the sampled
-    places. Behind the words everything is padding.
+    ``lengths`` are length classes; repeats and classes that sample a walk at one step share
+    what they sample. places: the words that the walk is on at the sampled places. Behind the
+    words everything is padding.
     """
     padded = np.concatenate([words, np.full(_BEYOND + 2, _PAD)])
     mixed = [kernels.mix(padded + np.uint64(k + 1)) * np.uint64(2 * k + 3) for k in range(PLACES)]
     begin = np.arange(len(words)) if starts is None else np.asarray(starts, np.int64)
     for walk in range(WALKS + REPEATS):
-        wanted: dict[int, list[tuple[int, int]]] = {}
+        wanted: dict[int, set[int]] = {}
         for repeat in range(walk, REPEATS, WALKS) if walk < WALKS else [walk - WALKS]:
             for length in lengths:
                 if (length < OWN_WALKS) == (walk >= WALKS):
-                    wanted.setdefault(first_place(length, repeat), []).append((repeat, length))
+                    wanted.setdefault(first_place(length, repeat), set()).add(1 if length == 1 else 2 if length < SHORT else PLACES)
         if not wanted:
             continue
         at, begun = begin, None
         for step in range(0, max(wanted, default=-1) + 2 * _STRIDE, _STRIDE):
             if begun:  # the third place is the one after four steps
-                asked, signature, places = begun
-                signature = signature + mixed[2].take(at)
-                for repeat, length in asked:
-                    yield repeat, length, signature, (*places, at)
+                key, signature, places = begun
+                yield key, signature + mixed[2].take(at), (*places, at)
                 begun = None
             if step % 64 == 0:
                 bits = kernels.mix(padded * _ODD[walk, step // 64])
@@ -133,16 +132,13 @@ def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None
             two, four = _moves(planes, step)
             if step in wanted:
                 first, half = mixed[0].take(at), at + two.take(at)
-                both, asked = first + mixed[1].take(half), []
-                for repeat, length in wanted[step]:
-                    if length == 1:
-                        yield repeat, length, first, (at,)
-                    elif length < SHORT:
-                        yield repeat, length, both, (at, half)
-                    else:
-                        asked.append((repeat, length))
-                if asked:
-                    begun = asked, both, (at, half)
+                both = first + mixed[1].take(half)
+                if 1 in wanted[step]:
+                    yield (walk, step, 1), first, (at,)
+                if 2 in wanted[step]:
+                    yield (walk, step, 2), both, (at, half)
+                if PLACES in wanted[step]:
+                    begun = (walk, step, PLACES), both, (at, half)
             at = at + four.take(at)
 
 
@@ -151,7 +147,8 @@ class Items:
     """Benchmark items of one block: words, allowed edits, and the signature tables of their pieces.
 
     runs, grams: the length of the word runs that survivors are counted by, and each item's.
-    tables: (repeat, length class) -> (which slots are taken, sorted signatures, their pieces).
+    lengths: the length classes of the pieces. tables: (walk, step, places) -> (which slots are
+    taken, sorted signatures, their pieces).
     """
 
     ids: list
@@ -161,7 +158,8 @@ class Items:
     grams: list[np.ndarray]
     item: np.ndarray
     offset: np.ndarray
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    lengths: list[int]
+    tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _runs(words: np.ndarray, q: int) -> np.ndarray:
@@ -182,32 +180,37 @@ def prepare(rows: list[tuple[object, str | None]], share: float = EDIT_SHARE) ->
     pieces = [(i, o, min(PIECE, len(w))) for i, w in enumerate(words) for o in sorted({*range(0, max(1, len(w) - PIECE + 1), PIECE), max(0, len(w) - PIECE)})]
     item, offset, size = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
     own = np.array([length_class(int(n)) for n in size], np.int64)
-    tables = {}
+    lengths = sorted(set(own.tolist()))
+    sampled: dict[tuple[int, int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     gap = np.full(_BEYOND, _PAD)
-    for length in sorted(set(own.tolist())):
+    for length in lengths:
         of = np.flatnonzero(own == length)
         parts = [np.concatenate([words[item[p]][offset[p] : offset[p] + size[p]], gap]) for p in of]
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
         drawn = list(signatures(np.concatenate(parts), [length], starts))
         # a walk that runs out of its piece says nothing, and one that stays on a word little
-        inside = [places[-1] < starts + size[of] for _, _, _, places in drawn]
-        apart = [np.logical_and.reduce([a < b for a, b in zip(places, places[1:], strict=False)] or [np.ones(len(of), bool)]) & x for x, (_, _, _, places) in zip(inside, drawn, strict=True)]
+        inside = [places[-1] < starts + size[of] for _, _, places in drawn]
+        apart = [np.logical_and.reduce([a < b for a, b in zip(places, places[1:], strict=False)] or [np.ones(len(of), bool)]) & x for x, (_, _, places) in zip(inside, drawn, strict=True)]
         few = np.sum(apart, 0) < LEAST_REPEATS
-        for (repeat, _, signature, _), x, y in zip(drawn, inside, apart, strict=True):
+        for (key, signature, _), x, y in zip(drawn, inside, apart, strict=True):
             told = np.flatnonzero(np.where(few, x, y))
-            order = told[np.argsort(signature[told], kind="stable")]
-            taken = np.zeros(1 << _SLOTS, bool)
-            taken[signature[order] >> np.uint64(64 - _SLOTS)] = True
-            tables[repeat, length] = (taken, signature[order], of[order])
-    return Items(ids, words, edits, runs, [np.unique(_runs(w, int(q))) for w, q in zip(words, runs, strict=True)], item, offset, tables)
+            sampled.setdefault(key, []).append((signature[told], of[told]))
+    tables = {}
+    for key, parts in sampled.items():
+        signature, piece = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(signature, kind="stable")
+        taken = np.zeros(1 << _SLOTS, bool)
+        taken[signature >> np.uint64(64 - _SLOTS)] = True
+        tables[key] = (taken, signature[order], piece[order])
+    return Items(ids, words, edits, runs, [np.unique(_runs(w, int(q))) for w, q in zip(words, runs, strict=True)], item, offset, lengths, tables)
 
 
 def hits(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(item, where it would start) of every window that agrees with an item in some repeat's places, each once."""
     found = [np.empty((0, 2), np.int64)]
     held = 0
-    for repeat, length, signature, _ in signatures(words, sorted({c for _, c in items.tables})):
-        taken, known, piece = items.tables[repeat, length]
+    for key, signature, _ in signatures(words, items.lengths):
+        taken, known, piece = items.tables[key]
         near = np.flatnonzero(taken.take((signature >> np.uint64(64 - _SLOTS)).view(np.int64)))
         low, high = np.searchsorted(known, signature[near], "left"), np.searchsorted(known, signature[near], "right")
         count = high - low
