@@ -28,7 +28,7 @@ from .tokens import vocabulary_path
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _SYMBOLS = "#*$%&|<>"
 #: Words whose tokens a Python worker remembers; then it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: A measure is out of its band this many spreads below or above the median. Spread: the
 #: distance between the quartiles, which a tenth of junk hardly moves, with a floor for each.
 REACH = {"chars_per_token": (5.0, 5.0), "byte_share": (8.0, 8.0), "token_entropy": (4.0, 7.0)}
