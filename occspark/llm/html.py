@@ -6,7 +6,8 @@ to its parent. Sum-product messages go up the tree and down again and give exact
 for all trees of a batch at once, level by level. The weights maximise the likelihood of
 labelled pages: pages that mark their article, with the marks partly hidden and with
 comments, notices, forms and sidebars put around and into the article, so that the model
-does not rest on one tag.
+does not rest on one tag, and unmarked pages labelled by their structure. Both kinds are
+fitted on together, so no single page switches the fit.
 """
 
 from __future__ import annotations
@@ -43,11 +44,17 @@ _SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 # Words in class, id and role names.
 _AROUND = frozenset("nav navigation menu menubar navbar header masthead banner footer sidebar aside rail widget widgets ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription signup login register search form comment comments commentlist reply replies respond responses reactions opinions feedback guestbook discussion disqus toolbar pagination pager tags legal copyright disclaimer complementary contentinfo".split())
 _WITHIN = frozenset("article content post entry story main body text articlebody hentry prose".split())
+#: Words that say where or in which wrapper something stands, not what it is.
+_NEUTRAL = frozenset("area bar block body bottom box btn button buttons col column container content global group head heading holder icon icons id inner item items js left link links list main outer page panel pane primary right row secondary section site slot sub title top unit wrap wrapper".split())
 
-#: Labelled pages that the model is fitted on at most, those of least hash.
+#: Pages that mark their article that the model is fitted on at most, those of least hash.
 TRAIN_PAGES = 200
+#: Pages that mark none that it is fitted on at most, likewise.
+TRAIN_UNMARKED = 100
 #: Longer pages aren't fitted on.
 TRAIN_CHARS = 30_000
+#: Random changes of a page that are fitted on.
+DRAWS = 3
 
 
 @dataclass
@@ -223,9 +230,24 @@ def parse(html: str) -> Tree:
     return tree
 
 
+def _named(names: str) -> tuple[bool, bool]:
+    """(some name is wholly one of boilerplate, some name only has a word of one): `share-box` and `share-price`."""
+    whole = part = False
+    for name in names.split():
+        words = set(_WORD.findall(name))
+        if not _AROUND.isdisjoint(words):
+            if all(len(w) == 1 or w in _AROUND or w in _NEUTRAL for w in words):
+                whole = True
+            else:
+                part = True
+    return whole, part
+
+
 #: Features of a node; the kinds of elements share weights so that rare ones profit from common ones.
 _AROUND_TAGS = frozenset("nav aside footer form menu dialog search address fieldset".split())
-_FEATURES = 29
+_FEATURES = 32
+#: A run of text of so many characters outside a paragraph is taken for one.
+_LONG = 80
 
 
 def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -234,37 +256,43 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for tree in trees:
         base, n = len(parents), len(tree.parent)
         chars, linked, leaves = np.zeros(n), np.zeros(n), np.zeros(n)
-        level = [0] * n
+        level, inner, nested = [0] * n, [False] * n, [False] * n
         for k in range(n):
+            up = tree.parent[k]
             if k:
-                level[k] = level[tree.parent[k]] + 1
+                level[k] = level[up] + 1
+            inner[k] = tree.tag[k] in ("article", "main") or k > 0 and inner[up]
+            nested[k] = k > 0 and (nested[up] or tree.tag[k] == "article" and inner[up])
             if tree.text[k] is not None:
                 chars[k], linked[k], leaves[k] = len(tree.text[k]), tree.linked[k], 1
         for k in range(n - 1, 0, -1):
             for x in (chars, linked, leaves):
                 x[tree.parent[k]] += x[k]
         whole = max(chars[0], 1.0)
-        inner = [False] * n
+        named = [_named(x) if x else (False, False) for x in tree.names]
         paragraphs, around = np.zeros(n), np.zeros(n)  # text in paragraphs and headings, and in elements named as boilerplate, below each node
         for k in range(n - 1, 0, -1):
-            if tree.tag[k] in _AROUND_TAGS or tree.names[k] and not _AROUND.isdisjoint(_WORD.findall(tree.names[k])):
+            if tree.tag[k] in _AROUND_TAGS or named[k][0] or nested[k]:
                 around[k] = chars[k]
+            elif tree.text[k] is not None:
+                up = tree.tag[tree.parent[k]]
+                paragraphs[k] = (chars[k] - linked[k]) * (chars[k] >= _LONG and up not in ("p", "blockquote", "pre") and not (len(up) == 2 and up[0] == "h"))
             elif tree.tag[k] in ("p", "blockquote", "pre") or len(tree.tag[k]) == 2 and tree.tag[k][0] == "h":
-                paragraphs[k] = chars[k] - linked[k]
+                paragraphs[k] = max(paragraphs[k], chars[k] - linked[k])
             around[tree.parent[k]] += around[k]
             paragraphs[tree.parent[k]] += paragraphs[k] * (around[k] < chars[k])
         for k in range(n):
             tag, up = tree.tag[k], tree.parent[k]
-            inner[k] = tag in ("article", "main") or up >= 0 and inner[up]
             is_leaf = tree.text[k] is not None
             words = set(_WORD.findall(tree.names[k])) if tree.names[k] else ()
             density = linked[k] / max(chars[k], 1.0)
             size = np.log1p(chars[k])
             text = tree.text[k] or ""
-            rows.append((1.0, is_leaf, not is_leaf, tag in ("article", "main"), tag in _AROUND_TAGS or tag == "header" and not inner[k], tag in ("div", "section", "body", "html"), tag in ("p", "blockquote", "pre"), len(tag) == 2 and tag[0] == "h", tag in ("li", "ul", "ol", "dl", "dt", "dd"),
-                         tag in ("td", "th", "tr", "table", "tbody"), bool(words and not _AROUND.isdisjoint(words)), bool(words and not _WITHIN.isdisjoint(words)), tree.hidden[k],
+            rows.append((1.0, is_leaf, not is_leaf, tag in ("article", "main") and not nested[k], tag in _AROUND_TAGS or tag == "header" and not inner[k], tag in ("div", "section", "body", "html"), tag in ("p", "blockquote", "pre"), len(tag) == 2 and tag[0] == "h", tag in ("li", "ul", "ol", "dl", "dt", "dd"),
+                         tag in ("td", "th", "tr", "table", "tbody"), named[k][0], bool(words and not _WITHIN.isdisjoint(words)), tree.hidden[k],
                          is_leaf * size, (not is_leaf) * size, is_leaf * density, (not is_leaf) * density, is_leaf and density > 0.9, chars[k] / whole, is_leaf and text[-1:] in ".!?…:»\"”", is_leaf and up >= 0 and tree.tag[up] == "p", is_leaf and up >= 0 and tree.tag[up][:1] == "h" and len(tree.tag[up]) == 2, is_leaf and up >= 0 and tree.tag[up] == "li", is_leaf and ("©" in text or "·" in text), size * (tag in ("div", "section")),
-                         not is_leaf and paragraphs[k] / max(chars[k], 1.0), not is_leaf and around[k] / max(chars[k], 1.0), tag in ("div", "section") and paragraphs[k] / max(paragraphs[0], 1.0), up >= 0 and not _WITHIN.isdisjoint(_WORD.findall(tree.names[up])) if up >= 0 and tree.names[up] else False))
+                         not is_leaf and paragraphs[k] / max(chars[k], 1.0), not is_leaf and around[k] / max(chars[k], 1.0), (tag in ("div", "section") or is_leaf) and paragraphs[k] / max(paragraphs[0], 1.0), up >= 0 and not _WITHIN.isdisjoint(_WORD.findall(tree.names[up])) if up >= 0 and tree.names[up] else False,
+                         named[k][1], nested[k], is_leaf and chars[k] >= _LONG and (up >= 0 and tree.tag[up] in ("div", "section", "td", "article", "main", "body", "center"))))
         parents += [p + base if p >= 0 else -1 for p in tree.parent]
         levels += level
         leaf += [t is not None for t in tree.text]
@@ -313,10 +341,18 @@ def marginals(trees: list[Tree], model: Model) -> list[np.ndarray]:
     return np.split(node[:, 1], np.cumsum([len(t.parent) for t in trees])[:-1])
 
 
-_PARAGRAPH = re.compile(r"<p>[^<]{20,}</p>")
+#: Comments and raw elements, which may name an article but open none, and an article's tags.
+_ARTICLE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1|\Z)|<(/?)article(?![\w-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
+_PARAGRAPH = re.compile(r"<p(?:\s[^>]*)?>([^<]{20,})</p>", re.I)
+_P_TAG = re.compile(r"(</?)p(?:\s[^>]*)?>", re.I)
 _INSERTS = ('<div class="comments"><h3>{a}</h3><p>{b}</p><p>{c}</p></div>', '<section id="comments"><div class="comment"><p>{a}</p></div><div class="comment"><p>{b}</p></div></section>', '<aside><p>{a}</p></aside>', '<div class="ad">{a}</div>',
-            '<form action="/s"><p>{a}</p><label>{b}</label></form>', '<div class="share"><a href="/x">{a}</a> <a href="/y">{b}</a></div>', '<div class="newsletter"><p>{a}</p></div>', '<ul class="related"><li><a href="/r">{a}</a></li><li><a href="/s">{b}</a></li></ul>')
-_BEFORE = ('<header><p>{a}</p></header>', '<div class="cookie-notice"><p>{a}</p></div>', '<div id="menu"><ul><li><a href="/a">{a}</a></li><li><a href="/b">{b}</a></li></ul></div>', '<div class="sidebar"><h3>{a}</h3><p>{b}</p></div>', '<aside class="sidebar"><p>{a}</p><p>{c}</p></aside>')
+            '<form action="/s"><p>{a}</p><label>{b}</label></form>', '<div class="share"><a href="/x">{a}</a> <a href="/y">{b}</a></div>', '<div class="newsletter"><p>{a}</p></div>', '<ul class="related"><li><a href="/r">{a}</a></li><li><a href="/s">{b}</a></li></ul>',
+            '<article><p>{a}</p></article>', '<section><h3>{a}</h3><article><p>{b}</p></article><article><p>{c}</p></article></section>')
+_BEFORE = ('<header><p>{a}</p></header>', '<div class="cookie-notice"><p>{a}</p></div>', '<div id="menu"><ul><li><a href="/a">{a}</a></li><li><a href="/b">{b}</a></li></ul></div>', '<div class="sidebar"><h3>{a}</h3><p>{b}</p></div>', '<aside class="sidebar"><p>{a}</p><p>{c}</p></aside>', '<div id="menu"><a href="/a">{a}</a><a href="/b">{b}</a><a href="/c">{c}</a></div>')
+#: Names that hold a word of boilerplate and are none; blocks of an article get them, and some of what is put around it.
+_MIXED = ("share-price", "social-policy", "ad-hoc", "form-factor", "comment-of-the-day", "rail-travel", "reply-brief", "notice-period")
+#: What may stand around a page's parts: nothing, wrappers, or a table that lays out a menu and the article.
+_LAYOUTS = (*[("", "", "")] * 5, *[('<div class="page"><div id="wrap">', "", "</div></div>")] * 4, ("<table><tr><td>", "</td><td>", "</td></tr></table>"))
 
 
 #: Share of the training pages whose names are hidden.
@@ -327,41 +363,76 @@ _TELLING = frozenset("article main section nav aside header footer address".spli
 _WRAPPERS = (*["article."] * 8, "main.", *["div."] * 3, "section.", "div.content", "div.post", "div.article-body", "section.story")
 
 
+def articles(html: str) -> list[tuple[int, int, int, int]]:
+    """The outermost article elements that a page closes: where each and its inside start and end. Names in comments and scripts open none."""
+    found, depth, start = [], 0, (0, 0)
+    for m in _ARTICLE.finditer(html):
+        if m[2] is None:
+            continue
+        if not m[2]:
+            start = (m.start(), m.end()) if depth == 0 else start
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                found.append((start[0], start[1], m.start(), m.end()))
+    return found
+
+
 def labelled(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | None:
-    """A page whose article is marked, changed at random, and its labels: inside the article and not inside what was put there."""
-    start, end = html.find("<article"), html.rfind("</article>")
-    if start < 0 or end < start:
+    """A page whose article is marked, changed at random, and its labels: inside the article, not in what was put there, nor in articles within it, which are comments.
+
+    Of several outermost articles the longest is meant if it holds three fifths of all their text, else the page marks none.
+    """
+    found = articles(html)
+    sizes = [b - a for _, a, b, _ in found]
+    if not found or max(sizes) < 0.6 * sum(sizes):
         return None
-    texts = [m[0][3:-4] for m in _PARAGRAPH.finditer(html, start, end)] or ["text"]
+    start, first, last, end = found[sizes.index(max(sizes))]
+    inside = html[first:last]
+    texts = _PARAGRAPH.findall(inside) or ["text"]
     fill = lambda form: form.format(**{k: texts[dice.integers(len(texts))][: int(dice.integers(10, 200))] for k in "abc"})
-    inside = html[html.find(">", start) + 1 : end]
-    cuts = [m.end() for m in re.finditer("</p>", inside)]
+    cuts = [m.end() for m in re.finditer("</p>", inside, re.I)]
     if cuts and dice.random() < 0.5:  # a short article
         inside = inside[: cuts[min(len(cuts) - 1, dice.integers(0, 6))]]
         cuts = [c for c in cuts if c <= len(inside)]
     if dice.random() < 0.2:  # one of a few words
         inside = re.sub(r">([^<]{0,16})[^<]*", r">\1", inside[: cuts[0]] if cuts else inside)
-        cuts = [m.end() for m in re.finditer("</p>", inside)]
-    if dice.random() < 0.3:  # and one in other blocks than paragraphs
-        kind = ("div", "li", "blockquote", "td")[dice.integers(4)]
-        inside = re.sub(r"(</?)p>", rf"\1{kind}>", inside)
-        cuts = [m.end() for m in re.finditer(f"</{kind}>", inside)]
+        cuts = [m.end() for m in re.finditer("</p>", inside, re.I)]
+    if dice.random() < 0.35:  # one without headings
+        inside = re.sub(r"<(h[1-6])\b.*?</\1>", "", inside, flags=re.I | re.S)
+        cuts = [m.end() for m in re.finditer("</p>", inside, re.I)]
+    if dice.random() < 0.4:  # and one in other blocks than paragraphs, or in none
+        kind = ("div", "li", "blockquote", "td", "br", "br", "br")[dice.integers(7)]
+        bare = kind == "br"
+        inside = re.sub("</p>", "<br><br>", re.sub(r"<p(?:\s[^>]*)?>", "", inside, flags=re.I), flags=re.I) if bare else _P_TAG.sub(rf"\1{kind}>", inside)
+        cuts = [m.end() for m in re.finditer("<br><br>" if bare else f"</{kind}>", inside)]
+    elif cuts and dice.random() < 0.3:  # a paragraph in a block of a misleading name
+        name = _MIXED[dice.integers(len(_MIXED))]
+        inside = re.sub(r"<p(?:\s[^>]*)?>.*?</p>", lambda m: f'<div class="{name}">{m[0]}</div>', inside, count=int(dice.integers(1, 4)), flags=re.I | re.S)
+        cuts = [m.end() for m in re.finditer("</p>(?!</div>)|</p></div>", inside, re.I)]
     for _ in range(dice.integers(0, 3) if cuts else 0):
         at = cuts[dice.integers(len(cuts))]
         inside = inside[:at] + "<menu>" + fill(_INSERTS[dice.integers(len(_INSERTS))]) + "</menu>" + inside[at:]
         cuts = [m.end() for m in re.finditer("</menu>", inside)] + [c for c in cuts if c < at]
+    if dice.random() < 0.25:  # replies at the article's end, as articles in it
+        replies = "".join(fill("<article><p>{a}</p></article>") for _ in range(dice.integers(1, 6)))
+        inside += f"<menu>{fill('<h3>{a}</h3>') if dice.random() < 0.6 else ''}{replies}</menu>"
     before = "".join(fill(_BEFORE[dice.integers(len(_BEFORE))]) for _ in range(dice.integers(0, 3)))
     after = "".join(fill((_BEFORE + _INSERTS)[dice.integers(len(_BEFORE + _INSERTS))]) for _ in range(dice.integers(0, 3)))
-    around = ("", "") if dice.random() < 0.5 else ('<div class="page"><div id="wrap">', "</div></div>")
-    tree = parse(html[:start] + around[0] + before + "<article>" + inside + "</article>" + after + around[1] + html[end + len("</article>") :])
+    if dice.random() < 0.2:
+        after += f'<div class="{_MIXED[dice.integers(len(_MIXED))]}">{fill("<p>{a}</p>" if dice.random() < 0.5 else _INSERTS[5])}</div>'
+    opened, between, closed = _LAYOUTS[dice.integers(len(_LAYOUTS))]
+    before = before if before or not between else fill(_BEFORE[-1])
+    tree = parse(html[:start] + opened + before + between + '<article class="::own">' + inside + "</article>" + after + closed + html[end:])
     label = np.zeros(len(tree.parent), np.int64)
     for k in range(1, len(label)):
-        label[k] = tree.tag[k] == "article" or label[tree.parent[k]] and tree.tag[k] != "menu"
+        label[k] = tree.names[k] == "::own" or label[tree.parent[k]] and tree.tag[k] not in ("menu", "article")
     article = _WRAPPERS[dice.integers(len(_WRAPPERS))]
     for k, tag in enumerate(tree.tag):  # the marks of the labels themselves are hidden: inserts lose theirs, half of the articles too
         if tag == "menu":
-            tree.tag[k] = "div"
-        elif tag == "article":
+            tree.tag[k] = "section" if dice.random() < 0.2 else "div"
+        elif tree.names[k] == "::own":
             tree.tag[k], _, tree.names[k] = article.partition(".")
     if dice.random() < NAMELESS:  # and of a part, all names and all elements that tell what they are for
         tree.names = [""] * len(tree.tag)
@@ -378,7 +449,7 @@ def guessed(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | N
     for k in range(n - 1, 0, -1):
         if tree.text[k] is not None:
             whole[k], linked[k] = len(tree.text[k]), tree.linked[k]
-            plain[k] = (whole[k] - linked[k]) * (tree.tag[tree.parent[k]] in ("p", "blockquote", "pre") or whole[k] >= 80)
+            plain[k] = (whole[k] - linked[k]) * (tree.tag[tree.parent[k]] in ("p", "blockquote", "pre") or whole[k] >= _LONG)
         for x in (whole, linked, plain):
             x[tree.parent[k]] += x[k]
     if not plain[0]:
@@ -387,7 +458,7 @@ def guessed(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | N
     label = np.zeros(n, np.int64)
     label[best] = 1
     for k in range(best + 1, n):
-        label[k] = label[tree.parent[k]] and linked[k] <= 0.5 * whole[k] and not (tree.tag[k] in _AROUND_TAGS or tree.names[k] and not _AROUND.isdisjoint(_WORD.findall(tree.names[k])))
+        label[k] = label[tree.parent[k]] and linked[k] <= 0.5 * whole[k] and not (tree.tag[k] in _AROUND_TAGS or tree.names[k] and _named(tree.names[k])[0])
     if dice.random() < NAMELESS:
         tree.names = [""] * n
     return tree, label
@@ -396,7 +467,7 @@ def guessed(html: str, dice: np.random.Generator) -> tuple[Tree, np.ndarray] | N
 def fit(pages: list[str], steps: int = 300, seed: int = 5) -> Model:
     """Weights of greatest conditional likelihood, by gradients from exact marginals, with a small ridge."""
     dice = np.random.default_rng(seed)
-    made = [x for page in pages for x in (labelled(page, dice), labelled(page, dice)) if x is not None] or [x for page in pages for x in (guessed(page, dice), guessed(page, dice)) if x is not None]
+    made = [x for page in pages for x in (labelled(page, dice) or guessed(page, dice) for _ in range(DRAWS)) if x is not None]
     unary, pair = np.zeros(_FEATURES), np.zeros((2, 2, 2))
     pair[:, 0, 0] = pair[:, 1, 1] = 1.0
     if not made:  # no page has any text: nothing to learn, nothing to find
@@ -422,13 +493,15 @@ def fit(pages: list[str], steps: int = 300, seed: int = 5) -> Model:
 
 
 def train(pages: DataFrame) -> Model:
-    """Fits on at most TRAIN_PAGES pages of least hash that mark an article, or on any pages if none does. Longer ones than TRAIN_CHARS aren't fitted on."""
+    """Fits on at most TRAIN_PAGES pages that name an article element and TRAIN_UNMARKED others, of least hash. Longer ones than TRAIN_CHARS aren't fitted on."""
     short = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= TRAIN_CHARS)
-    for some in (short.where(F.contains("html", F.lit("<article"))), short):
-        last = some.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
+    marks = F.contains(F.lower("html"), F.lit("<article"))
+    taken: list[str] = []
+    for some, most in ((short.where(marks), TRAIN_PAGES), (short.where(~marks), TRAIN_UNMARKED)):
+        last = some.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
         if last is not None:
-            return fit(sorted(r["html"] for r in some.where(F.xxhash64("html") <= F.lit(last)).distinct().collect()))
-    return fit([])
+            taken += sorted(r["html"] for r in some.where(F.xxhash64("html") <= F.lit(last)).distinct().collect())
+    return fit(taken)
 
 
 def main_text(tree: Tree, content: np.ndarray) -> str:

@@ -622,10 +622,48 @@ def test_odd_pages(page_model):
     assert text_of("", model) == "" and text_of("<p></p>", model) == "" and text_of("<a \"", model) == ""
 
 
+def test_pages_of_other_builds(page_model):
+    _, model = page_model
+    menu = '<div id="menu"><a href="/">Home</a><a href="/n">News</a></div>'
+    two = f"<h1>A title of it</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH * 2}</p>"
+    want = f"A title of it\n{PARAGRAPH}\n{PARAGRAPH * 2}"
+    assert text_of(f"<body>{menu}<div>{PARAGRAPH}<br><br>{PARAGRAPH} {PARAGRAPH}</div></body>", model) == f"{PARAGRAPH} {PARAGRAPH} {PARAGRAPH}"
+    assert text_of(f'<body>{menu}<article>{two}<div class="share-price"><p>{PARAGRAPH} Up.</p></div></article></body>', model) == f"{want}\n{PARAGRAPH} Up."
+    assert text_of(f'<body>{menu}<article><div class="social-policy"><p>{PARAGRAPH}</p></div></article></body>', model) == PARAGRAPH
+    assert text_of(f'<body>{menu}<article>{two}<div class="share-box"><a href="/x">Send</a> <a href="/y">Mail</a></div></article></body>', model) == want
+    assert text_of(f'<body><article>{two}<section><h3>2 replies</h3><article><p>Nice one this is.</p></article><article><p>I do not think so at all, friend.</p></article></section></article></body>', model) == want
+    assert text_of(f'<table><tr><td><a href="/">Home</a><a href="/n">News</a></td><td>{two}</td></tr></table>', model) == want
+
+
+def test_names_of_boilerplate_are_whole_names():
+    assert html._named("share-box") == html._named("main ad-x7") == html._named("comments-area") == (True, False)
+    assert html._named("share-price") == html._named("social-policy story") == (False, True)
+    assert html._named("story") == html._named("") == (False, False)
+
+
+def test_outermost_articles_are_found():
+    page = "<script>'<article>'</script><!-- <article> --><ARTICLE class='a>b'>one<article>two</article></Article><articles>no</articles></article><article>never closed"
+    assert [page[a:b] for _, a, b, _ in html.articles(page)] == ["one<article>two</article>"]
+    dice = np.random.default_rng(1)
+    assert html.labelled("<article>aaaa</article><article>bbbb</article>", dice) is None
+    for _ in range(20):
+        tree, label = html.labelled(f"<ARTICLE><p>{PARAGRAPH}</p><article><p>a reply to it</p></article></ARTICLE>", dice)
+        below = [k for k, t in enumerate(tree.text) if t is not None and "reply to it" in t]
+        assert not label[below].any()
+
+
+def test_one_odd_page_does_not_switch_the_fit(page_model):
+    made, _ = page_model
+    stray = f'<body><script>x = "<article>";</script><p>{PARAGRAPH}</p></body>'
+    model = html.fit([stray, f"<article>{PARAGRAPH}</article>"] + [unmarked(p) for p in made[:40]])
+    assert sum(PARAGRAPH in text_of(unmarked(p.replace("</h1>", f"</h1><p>{PARAGRAPH * 3}</p>")), model) for p in made[40:]) >= 18
+
+
 def test_pages_are_parsed_in_linear_time():
     for page in ("<b>" * 30_000 + "</i>" * 30_000, '<a "' * 60_000, '<a "' * 60_000 + '>"x', "<!" * 200_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000):
         began = time.perf_counter()
         html.parse(page)
+        html.articles(page)
         assert time.perf_counter() - began < 3
 
 
