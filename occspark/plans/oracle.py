@@ -168,6 +168,7 @@ def _floats(name: str, every: int, absent: str, low: str, high: str, numeric: in
 
 ORACLE_SQL = {
     "o1_1_csv_round_trip": f"{_NOISY} SELECT id::varchar AS id, v || CASE WHEN id % 3 = 0 THEN ';\"x\"' || chr(10) || 'y' ELSE '' END AS v FROM noisy",
+    "o1_1_csv_in_splits": f"{_NOISY} SELECT id::varchar AS id, v || CASE WHEN id % 3 = 0 THEN ';\"x\"' || chr(10) || 'y' ELSE '' END AS v FROM noisy",
     "o1_3_parquet_text": f"{_NOISY} SELECT id::varchar AS id, {_T} AS v FROM noisy",
     "o1_5_merge": "SELECT o_orderstatus, count(*) + count(*) FILTER (o_orderstatus = 'F') AS rows FROM orders GROUP BY o_orderstatus",
     "o1_6_sample_rows": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5",

@@ -218,12 +218,16 @@ def month_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = events.agg(F.lit("2024-02-10").cast("date").alias("now"))
     return IM.coroner_month_targets(calendar, have, have.where("month <> 5"))
 
-def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csv_round_trip(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
     """O-1.1, O-1.2: noisy cells with separators, quotes and line breaks, written and read again under a header that needs quotes."""
     n = FX.noisy(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.concat("v", F.when(F.col("id") % 3 == 0, F.lit(';"x"\ny')).otherwise("")).alias("a;b"))
     path = scratch.new_path(spark, "csv")
     io.write_source_csv(n, path)
-    return io.read_source_csv(spark, path).select(F.col("id"), F.coalesce(F.col("`a;b`"), F.lit("")).alias("v"))
+    return io.read_source_csv(spark, path, split=split).select(F.col("id"), F.coalesce(F.col("`a;b`"), F.lit("")).alias("v"))
+
+def csv_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1.1: the same files, each read by the tasks of its splits."""
+    return csv_round_trip(spark, sf_dir, split=True)
 
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-1.3, O-1.4: a table's text form, written and read again."""
@@ -452,6 +456,7 @@ def flagged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "o1_1_csv_round_trip": csv_round_trip,
+    "o1_1_csv_in_splits": csv_in_splits,
     "o1_3_parquet_text": parquet_round_trip,
     "o1_5_merge": merge_tables,
     "o1_6_sample_rows": sample_rows,

@@ -19,6 +19,7 @@ from ..functions.text import normalize_column_name, normalize_lookup_key, source
 from . import versions
 from .schema import map_columns
 from .scratch import stored
+from .split_csv import split_rows
 
 # The columns of a coroner export, and of its table.
 CORONER_INPUT = ("DataEntradaIML", "AnoBO", "NumeroBO", "NomeDelegaciaOrigem", "NumeroLaudo", "AnoLaudo", "IdadeVitima", "TipoIdade", "Conclusao", "DeclaracaoObito", "CausaMortis")
@@ -30,11 +31,12 @@ DOCUMENT_SHEETS = ("METODOLOGIA", "DICIONARIO", "CAMPOS", "TABELA")
 _CSV = {"sep": ";", "quote": '"', "escape": '"', "multiLine": True, "columnPruning": False}
 
 
-def read_source_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_source_csv(spark: SparkSession, path: str, strict: bool = False, split: bool = False) -> DataFrame:
     """O-1.1: ``;`` and a header, all text. Ragged rows are dropped, or fail if ``strict``.
 
     Cells and headers may hold separators, quotes and line breaks within quotes, so a file is
-    read by one task (files are at most 1.5 GB). The header is applied by position, as Spark
+    read by one task (files are at most 1.5 GB), or if ``split`` by one for each of its splits,
+    for the price of a shuffle; then lines must end with \\n or \\r\\n. The header is applied by position, as Spark
     renames repeated ones; repeats keep their names and are for drop_identical_duplicate_columns.
     Of a path with several files each must have the first one's header, else it is an error.
     """
@@ -43,6 +45,8 @@ def read_source_csv(spark: SparkSession, path: str, strict: bool = False) -> Dat
     if len(headers) > 1:
         raise ValueError(f"headers differ: {sorted(map(list, headers))}")
     names = list(next(iter(headers), ()))
+    if split and names:
+        return split_rows(spark, path, names, _CSV, strict).toDF(*names)
     schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(names))])
     # with column pruning, ragged rows would still count
     rows = spark.read.options(**_CSV).csv(path, header=True, schema=schema, mode="FAILFAST" if strict else "DROPMALFORMED", enforceSchema=True)

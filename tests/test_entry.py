@@ -40,7 +40,7 @@ def test_library_works_without_what_the_corpus_operators_need(tmp_path):
 
 
 @pytest.mark.skipif(not SAMPLE.exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["o1_1_csv_round_trip", "o4_8_clean_date", "o6_14_refresh_known_tables", "o8_20_all_charts", "o11_4_import_decisions"])
+@pytest.mark.parametrize("name", ["o1_1_csv_round_trip", "o1_1_csv_in_splits", "o4_8_clean_date", "o6_14_refresh_known_tables", "o8_20_all_charts", "o11_4_import_decisions"])
 def test_twins_agree(spark, name):
     sys.path.insert(0, str(REPO))
     import __spark_entry__ as entry

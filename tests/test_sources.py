@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,28 @@ def test_months_ids_and_hashes(spark, tmp_path):
     (tmp_path / "f" / "a.bin").write_bytes(b"abc")
     assert io.hash_files(spark, str(tmp_path / "f")).first()["sha256"].startswith("ba7816bf")
     assert io.replace_table([rows, rows], str(tmp_path / "t")) == 4
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_csv_is_read_by_many_tasks(spark, tmp_path, end):
+    dice = random.Random(3)
+    cells = ["", "a", "b c", '"q"', '""', '"x;y"', f'"l1{end}l2"', f'"{end}"', '"say ""hi"" now"', f'"""{end};""{end}"', 'in"side', '"ab"cd', " ", f'"{"w" * 90}{end}{"v" * 50}"']
+    lines = ["K;L;M"] + [";".join([str(k), *dice.choices(cells, k=2 if dice.random() < 0.95 else dice.choice((1, 3)))]) for k in range(1500)]
+    lines.insert(700, "")
+    lines.insert(900, f'900000;"{end.join("line " + str(k) for k in range(900))}";over several splits')
+    (tmp_path / "a.csv").write_bytes(end.join(["", *lines, ""]).encode())
+    (tmp_path / "b.csv").write_bytes(end.join(["K;L;M", f'x;"y{end}{end}z";1', '"open;;']).encode())
+    key = lambda r: tuple((x is not None, x or "") for x in r)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for path in (tmp_path / "a.csv", tmp_path):
+        want = sorted(map(key, io.read_source_csv(spark, str(path)).collect()))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+        try:
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+            got = io.read_source_csv(spark, str(path), split=True)
+            assert got.columns == ["K", "L", "M"] and sorted(map(key, got.collect())) == want
+            assert len(want) > 1300 and any(r[0][1] == "900000" for r in want)
+            with pytest.raises(Exception, match="(?i)malformed"):
+                io.read_source_csv(spark, str(path), strict=True, split=True).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
