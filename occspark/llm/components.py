@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import remove, stored
+from .storage import remove, small, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (columns a, b, of one orderable type).
+    """(node, root) for every node of ``edges`` (columns a, b, of one orderable type), from a table in the shared folder.
 
     root is the smallest node that can be reached. Each round hangs every node below the
     smallest node of its neighbourhood, first over larger, then over smaller neighbours,
-    until the edges are one star per component. Tables between rounds are written to the
+    until the edges are one star per component. Tables between steps are written to the
     shared folder and deleted when the next is whole. Self-loops and repeated edges don't
     matter; no edges give no rows.
     """
     current = stored(_tidy(edges.select("a", "b")), "edges")
     for _ in range(max_rounds):
-        if _stars(current):
-            break
-        # a table of its own, so that a node with very many neighbours can be split in the join
+        # tables of least neighbours are stored, so that a node with very many neighbours can be split in the join
         least = stored(_least(_both_ways(current)), "least")
-        larger = _tidy(_both_ways(current).join(least, "a").where("b > a").select(F.col("m").alias("a"), "b"))
-        spent, current = (current, least), stored(_small_star(larger), "edges")
-        for table in spent:
-            remove(table)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = current.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return current.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
+        # stars: a node that isn't the least of its neighbourhood has no neighbour but that
+        if least.where("m < a and n > 1").isEmpty():
+            remove(current)
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        larger = stored(_both_ways(current).join(small(least.select("a", "m")), "a").where("b > a").select(F.col("m").alias("a"), "b"), "larger")
+        remove(current)
+        remove(least)
+        # after a large star a node has few smaller neighbours; it and they go below the least of them
+        up = larger.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = stored(_least(up).select("a", "m"), "least")
+        hung = up.join(small(least), "a").where("b <> m").select(F.col("m").alias("a"), "b")
+        current = stored(_tidy(hung.unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))), "edges")
+        remove(larger)
+        remove(least)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -43,20 +48,5 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _least(around: DataFrame) -> DataFrame:
-    """(a, m): the least of a node and its neighbours."""
-    return around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hangs each node and its smaller neighbours below the least of them; after a large star a node has few of those."""
-    up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = _least(up)
-    ups = up.join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b")
-    return _tidy(ups.unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b"))))
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether the distinct edges (a < b) are stars: every b has one a and is none itself."""
-    roles = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
-    roles = roles.unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
-    return roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()
+    """(a, m, n): the least of a node and its neighbours, and how many neighbours there are."""
+    return around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))

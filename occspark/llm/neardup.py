@@ -28,12 +28,10 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected_components
-from .storage import remove, stored
+from .storage import remove, small, stored
 
 #: Chance, for one linked pair, that its sketches look unlike. Sets T.
 MISS = 1e-9
-#: Rows of a table that may be broadcast (16 to 40 bytes each).
-BROADCAST_ROWS = 200_000
 
 
 def least_overlap(k: int, threshold: Fraction) -> int:
@@ -81,7 +79,7 @@ def _lists(rows: DataFrame) -> DataFrame:
     each = rows.select("fp", "n", "need", F.explode("values").alias("v"))
     # a table of its own: a value that very many sets hold can then be split in the join
     often = stored(each.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
-    shared = each.join(often, "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
+    shared = each.join(small(often), "v").groupBy("fp", "n", "need").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("common"), F.sum("c").alias("score"))
     kept = shared.where("size(common) >= need").withColumn("s", F.size("common"))
     listed = F.transform(F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("s") - F.col("need") + 1)), lambda x: x["v"])
     each = kept.select("fp", "n", "s", "score", listed.alias("listed")).select("fp", "n", "s", "score", "listed", F.posexplode("listed").alias("at", "v"))
@@ -99,12 +97,12 @@ def _need_of_sketch(k: int, threshold: Fraction) -> Column:
 def _with_hubs(lists: DataFrame) -> DataFrame:
     """(a, b): every member of a list with its hubs. Hubs: the member whose values most sets share, and a random one."""
     hubs = stored(lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max_by("fp", F.struct("score", F.xxhash64("fp"))).alias("h0"), F.min_by("fp", F.xxhash64("fp")).alias("h1")).where("c > 1"), "hubs")
-    return _distinct_pairs(lists.select("v", "fp").join(hubs, "v").select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array("h0", "h1"))).alias("b")))
+    return _distinct_pairs(lists.select("v", "fp").join(small(hubs.select("v", "h0", "h1")), "v").select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array("h0", "h1"))).alias("b")))
 
 
 def _unsettled(lists: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members, with their components, of the lists that more than one component has members in; and those lists' main components."""
-    tagged = lists.join(placed, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    tagged = lists.join(small(placed), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     sizes = tagged.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("v").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("members")).where("roots > 1 and members > 2").select("v", "main")
     return tagged, stored(main, "main")
@@ -125,12 +123,11 @@ def _likely(pairs: DataFrame, reps: DataFrame, k: int, threshold: Fraction) -> D
 def _full_sets(fps: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(fp, n, values): the whole sets of some prints (column fp), hashed anew from one document of each."""
     wanted = stored(fps.distinct().join(reps.select("fp", "first_id"), "fp"), "wanted")
-    ids = wanted.select(F.col("first_id").alias("_id")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    known = small(wanted)
+    ids = known.select(F.col("first_id").alias("_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = sketches(own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), words, 0, full=True)
-    return stored(sets.select("fp", "n", "values").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    return stored(sets.select("fp", "n", "values").join(known.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
 def _linked(likely: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -143,58 +140,89 @@ def _linked(likely: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
 def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
     """The components after some more links, which join the components found so far as if those were nodes."""
-    of = lambda x: placed.select(F.col("node").alias(f"node{x}"), F.col("root").alias(f"root{x}"))
+    if links.isEmpty():
+        return placed
+    known = small(placed)
+    of = lambda x: known.select(F.col("node").alias(f"node{x}"), F.col("root").alias(f"root{x}"))
     roots = links.join(of("a"), F.col("a") == F.col("nodea"), "left").join(of("b"), F.col("b") == F.col("nodeb"), "left")
-    between = stored(roots.select(F.coalesce("roota", "a").alias("a"), F.coalesce("rootb", "b").alias("b")).where("a <> b").distinct(), "between")
+    between = stored(roots.select(F.coalesce("roota", "a").alias("a"), F.coalesce("rootb", "b").alias("b")).where("a <> b"), "between")
     if between.isEmpty():
         return placed
-    moved = stored(connected_components(between), "moved").select(F.col("node").alias("moved"), F.col("root").alias("to"))
-    hung = placed.join(moved, F.col("root") == F.col("moved"), "left").select("node", F.coalesce("to", "root").alias("root"))
-    new = moved.join(placed, F.col("moved") == F.col("node"), "left_anti").select(F.col("moved").alias("node"), F.col("to").alias("root"))
+    moved = connected_components(between).select(F.col("node").alias("moved"), F.col("root").alias("to"))
+    remove(between)
+    hung = placed.join(small(moved), F.col("root") == F.col("moved"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = moved.join(known, F.col("moved") == F.col("node"), "left_anti").select(F.col("moved").alias("node"), F.col("to").alias("root"))
     return stored(hung.unionByName(new), "placed")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), k: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """The pairs that are linked, of sets that ``sets`` has in full."""
+    likely = _likely(pairs, reps, k, threshold)
+    links = _linked(likely, sets, threshold)
+    remove(likely)
+    return links
 
-    Two documents are linked if the Jaccard similarity of their sets of ``words``-word
-    shingles is at least ``threshold``; component_id is the least doc_id that links reach.
-    Null or blank texts have no shingles, are linked with nothing and stand for themselves.
-    Equal sets count as one node, so repeated rows and large groups of copies cost one
-    sketch. Rows with a null doc_id keep it and never name a component that has another id.
+
+def _components(reps: DataFrame, docs: DataFrame, words: int, threshold: Fraction, k: int) -> DataFrame:
+    """(node, root) of all prints in ``reps`` that a link reaches, and maybe of others.
+
+    What comes after the links to hubs is left out where no list holds two components.
     """
     p, q = threshold.numerator, threshold.denominator
-    prints = stored(sketches(docs, words, k), "prints")
-    reps = stored(prints.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("values").alias("values")), "reps")
     lists = stored(_lists(reps.withColumn("need", _need_of_sketch(k, threshold))).drop("listed"), "lists")
     likely = _likely(_with_hubs(lists), reps, k, threshold)
     sets = _full_sets(likely.select(F.col("a").alias("fp")).union(likely.select("b")), reps, docs, words)
-    placed = stored(connected_components(_linked(likely, sets, threshold)), "placed")
+    placed = connected_components(_linked(likely, sets, threshold))
     remove(likely)
     remove(sets)
     # lists that still have several components: lists of the rarest values of their members' full sets, which are far fewer
     tagged, main = _unsettled(lists, placed)
-    open_sets = _full_sets(tagged.join(main, "v", "left_semi").select("fp"), reps, docs, words)
+    if main.isEmpty():
+        return placed
+    open_sets = _full_sets(tagged.join(small(main.select("v")), "v", "left_semi").select("fp"), reps, docs, words)
     need = F.ceil(F.col("n").cast("long") * p / q - 1e-9).cast("int")
     remove(lists)
     remove(main)
     lists = stored(_lists(open_sets.withColumn("need", need)), "lists")
-    placed = _joined(placed, _linked(_likely(_with_hubs(lists), reps, k, threshold), open_sets, threshold))
+    placed = _joined(placed, _confirmed(_with_hubs(lists), reps, open_sets, k, threshold))
     # what is outside a list's main component meets all other components, as far as the parts that others share allow
     tagged, main = _unsettled(lists, placed)
-    tagged = stored(tagged.join(main, "v").select("v", "fp", "n", "rest", "listed", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
+    if main.isEmpty():
+        return placed
+    tagged = stored(tagged.join(small(main), "v").select("v", "fp", "n", "rest", "listed", "root", (F.col("root") != F.col("main")).alias("out")), "tagged")
     left, right = (tagged.select("v", *[F.col(c).alias(f"{c}{x}") for c in ("fp", "n", "rest", "root", "out", "listed")]) for x in "ab")
     # a pair counts in the first list that both are in; all that they share comes from there on
     most = F.least("resta", "restb")
     may = (F.col("roota") != F.col("rootb")) & (~F.col("outb") | (F.col("fpa") < F.col("fpb"))) & (most * F.lit(q) >= (F.col("na") + F.col("nb") - most) * F.lit(p))
     once = F.get(F.array_intersect("listeda", "listedb"), F.lit(0)) == F.col("v")
     rest = left.where("outa").join(right.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & may & once)
-    roots = _joined(placed, _linked(_likely(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, k, threshold), open_sets, threshold))
-    named = stored(roots.join(reps, F.col("node") == F.col("fp")).select("fp", "first_id", "root"), "named")
+    placed = _joined(placed, _confirmed(_distinct_pairs(rest.select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))), reps, open_sets, k, threshold))
+    for table in (lists, main, tagged, open_sets):
+        remove(table)
+    return placed
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), k: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    Two documents are linked if the Jaccard similarity of their sets of ``words``-word
+    shingles is at least ``threshold``; component_id is the least doc_id that links reach.
+    Null or blank texts have no shingles, are linked with nothing and stand for themselves.
+    Equal sets count as one node, so repeated rows and large groups of copies cost one
+    sketch. Rows with a null doc_id keep it and never name a component that has another id.
+    Very long texts are hashed whole, other columns play no part, and no rows give none.
+    """
+    prints = stored(sketches(docs, words, k), "prints")
+    reps = stored(prints.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("values").alias("values")), "reps")
+    roots = _components(reps, docs, words, threshold, k)
+    firsts = reps.select("fp", "first_id")
+    named = stored(firsts.join(small(roots), F.col("fp") == F.col("node")).select("fp", "first_id", "root"), "named")
     least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     # only sets whose component has a smaller id than their own first: few rows to join with all documents
-    moved = stored(named.join(least, "root").where("not (component_id <=> first_id)").select(F.col("fp").alias("moved_fp"), "component_id"), "moved")
-    owners = stored(reps.select(F.col("fp").alias("owned_fp"), "first_id").join(moved, F.col("owned_fp") == F.col("moved_fp"), "left").select("owned_fp", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
+    moved = stored(named.join(small(least), "root").where("not (component_id <=> first_id)").select(F.col("fp").alias("moved_fp"), "component_id"), "moved")
+    owners = stored(firsts.join(small(moved), F.col("fp") == F.col("moved_fp"), "left").select(F.col("fp").alias("owned_fp"), F.coalesce("component_id", "first_id").alias("component_id")), "owners")
+    for table in (reps, roots, named, least, moved):
+        remove(table)
     told = prints.select("doc_id", "n", "fp").join(owners, F.col("fp") == F.col("owned_fp"), "left")
     return told.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
