@@ -18,7 +18,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from occspark.llm import components, decontaminate, html, katz, langid, neardup, packing, pii, quality, sharding, tokens, warc
+from occspark.llm import components, decontaminate, html, katz, langid, neardup, packing, pii, quality, sharding, storage, tokens, warc
 from occspark.llm.storage import new_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -127,6 +127,13 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 41)} | {50: 50, 51: 50, 60: 50}
 
 
+def test_components_of_tables_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "SMALL_ROWS", 0)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 10)] + [(20, 5), (30, 31)], "a long, b long")
+    assert {r["node"]: r["root"] for r in components.connected_components(edges).collect()} == {k: 1 for k in [*range(1, 11), 20]} | {30: 30, 31: 30}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
 def test_shards_follow_the_law(docs, texts):
     got = sharding.hilbert_shards(docs, n_shards=7).collect()
     assert len(got) == docs.count() and {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
