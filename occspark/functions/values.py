@@ -51,8 +51,8 @@ def is_timestamp_format(c: ColumnLike) -> Column:
 
 
 def iso(d: Column) -> Column:
-    """``yyyy-MM-dd``."""
-    return F.date_format(d, "yyyy-MM-dd")
+    """``yyyy-MM-dd``; years past 9999 have more digits, without the sign that Spark puts before them."""
+    return F.ltrim(F.date_format(d, "yyyy-MM-dd"), F.lit("+"))
 
 
 def normalize_date_iso(c: ColumnLike) -> Column:

@@ -96,7 +96,7 @@ def _location_sql(among: dict[str, str]) -> str:
 
 
 def _occurrence_sql(among: dict[str, str]) -> str:
-    iso = lambda x: f"date_format({V.date_sql(x)}, 'yyyy-MM-dd')"
+    iso = lambda x: f"trim(LEADING '+' FROM date_format({V.date_sql(x)}, 'yyyy-MM-dd'))"
     convert = {"flagrante": V.flag_sql, "data_registro": iso, "data_comunicacao": iso}
     return _struct_sql({f: convert.get(f, str)(_first_sql(tuple(c), among)) for f, c in OCCURRENCE.items()})
 

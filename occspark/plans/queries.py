@@ -39,7 +39,7 @@ def _flag(c: Column, name: str) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int").alias(name)
 
 def _text_date(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd")
+    return V.iso(c)
 
 def flat(features: DataFrame) -> DataFrame:
     """Features as rows of plain values."""

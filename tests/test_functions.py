@@ -82,3 +82,8 @@ def test_all_white_space_is_trimmed_and_record_numbers_are_loose(spark):
     got = df.select(V.parse_source_flag("v"), V.parse_source_number("v"), V.parse_record_number("v")).collect()
     assert [r[0] for r in got] == [True, None, None, None, None, None, None]
     assert [r[1] for r in got] == [None] * 7 and [r[2] for r in got] == [None, 5.0, 0.5, 1000.0, 5.0, None, None]
+
+
+def test_years_past_9999_have_no_sign(spark):
+    df = spark.createDataFrame([(45292,), (2958465,), (2958466,), (6000000,)], "n int")
+    assert [r[0] for r in df.select(V.iso(V.excel_serial_to_date("n"))).collect()] == ["2024-01-01", "9999-12-31", "10000-01-01", "18327-06-10"]
