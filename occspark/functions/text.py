@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once a row: Spark copies an expression to each place that reads it, and the JVM doesn't compile methods that grow so long."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once_sql(x: str, name: str, use: str) -> str:
+    """The same as SQL; ``use`` reads the value by ``name``."""
+    return f"get(transform(array({x}), {name} -> {use}), 0)"
+
+
 def trimmed(c: ColumnLike) -> Column:
     """Without white space at both ends."""
     return F.btrim(col(c), F.lit(WHITE))

@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import WHITE, ColumnLike, col, trimmed
+from .text import WHITE, ColumnLike, col, once, once_sql, trimmed
 
 #: Dates before this year are taken for errors.
 FIRST_YEAR = 2013
 #: Spreadsheet serials of 2013-01-01 to 2099-12-31.
 SERIALS = (41275, 73050)
 NOT_INFORMED = "Não informado"
+# What texts of all date forms look like, so that others need one test.
+_LIKE_DATE = "^[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}$"
 _DATE_FORMS = (("^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})$", "y-M-d"), ("^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$", "d/M/y"), ("^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$", "d-M-y"), ("^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$", "M/d/y"), ("^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$", "M-d-y"))
 # Period names, their labels and their order.
 PERIODS = (("de madrugada", "De madrugada"), ("pela manha", "Pela manhã"), ("a tarde", "À tarde"), ("a noite", "À noite"), ("em hora incerta", "Em hora incerta"))
@@ -32,7 +34,7 @@ def _date(c: Column, pattern: str, form: str) -> Column:
 
 def parse_date_flexible(c: ColumnLike) -> Column:
     """O-4.1: the first of five forms that gives a real date; the day comes first where both can."""
-    return F.coalesce(*[_date(trimmed(c), p, f) for p, f in _DATE_FORMS])
+    return once(trimmed(c), lambda t: F.when(t.rlike(_LIKE_DATE), F.coalesce(*[_date(t, p, f) for p, f in _DATE_FORMS])))
 
 
 def is_date_format(c: ColumnLike) -> Column:
@@ -57,8 +59,7 @@ def iso(d: Column) -> Column:
 
 def normalize_date_iso(c: ColumnLike) -> Column:
     """O-4.2: ISO text of a date from 2013 on, else NULL."""
-    d = parse_date_flexible(c)
-    return F.when(F.year(d) >= FIRST_YEAR, iso(d))
+    return once(parse_date_flexible(c), lambda d: F.when(F.year(d) >= FIRST_YEAR, iso(d)))
 
 
 def excel_serial_to_date(n: ColumnLike) -> Column:
@@ -81,9 +82,9 @@ def convert_excel_serial_if_needed(c: ColumnLike) -> Column:
 
 def excel_serial_legacy(c: ColumnLike) -> Column:
     """O-4.5: the older rule: leading digits in 30000..73050 count from 1899-12-30; dates pass unchanged."""
-    lead = F.regexp_extract(trimmed(c), "^([0-9]{1,9})", 1)
-    n = F.when(lead != "", lead.cast("int"))
-    return F.when(is_date_format(c), trimmed(c)).when(n.between(30000, 73050), iso(F.date_add(F.lit("1899-12-30").cast("date"), n))).otherwise(col(c))
+    days = lambda t: _found(t, "^([0-9]{1,9})", 1).try_cast("int")
+    serial = lambda n: F.when((n >= 30000) & (n <= 73050), iso(F.date_add(F.lit("1899-12-30").cast("date"), n)))
+    return once(trimmed(c), lambda t: F.when(is_date_format(t), t).otherwise(F.coalesce(once(days(t), serial), col(c))))
 
 
 def _clock(seconds: Column) -> Column:
@@ -101,7 +102,10 @@ def excel_datetime_cell(serial: ColumnLike, header: str) -> Column:
 
 def parse_time_flexible(c: ColumnLike) -> Column:
     """O-4.7: ``H:M:S``, ``H:M``, ``23h30``, a day's fraction, ``23.30``, ``hmm``, in this order; else NULL."""
-    t = trimmed(c)
+    return once(trimmed(c), _parse_time)
+
+
+def _parse_time(t: Column) -> Column:
     part = lambda p, k: _found(t, p, k).try_cast("int")
     real = lambda p, seconds: F.when(t.rlike(p), (part(p, 1) <= 23) & (part(p, 2) <= 59) & ((part(p, 3) <= 59) if seconds else F.lit(True)))
     full, short, h, dot = "^([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$", "^([0-9]{1,2}):([0-9]{1,2})$", "^([0-9]{1,2})[hH]([0-9]{1,2})$", r"^([0-9]{1,2})\.([0-9]{1,2})$"
@@ -113,48 +117,51 @@ def parse_time_flexible(c: ColumnLike) -> Column:
     return F.coalesce(F.when(real(full, True), F.format_string("%02d:%02d:%02d", part(full, 1), part(full, 2), part(full, 3))), hm(short), hm(h), F.when(seconds < 86400, _clock(seconds)), F.when(seconds.isNull(), hm(dot)), F.when(seconds.isNull(), hmm))
 
 
-def _void(c: ColumnLike) -> Column:
-    t = trimmed(c)
-    return col(c).isNull() | (t == "") | P.is_not_informed(t) | P.is_excel_overflow(t)
+def _void(t: Column) -> Column:
+    """Of a trimmed text: nothing, or a placeholder."""
+    return t.isNull() | (t == "") | P.is_not_informed(t) | P.is_excel_overflow(t)
 
 
 def clean_date(c: ColumnLike) -> Column:
     """O-4.8: ISO text or ''. A timestamp gives its date part, whatever the year."""
-    t = trimmed(c)
-    stamp = F.when(is_timestamp_format(t), iso(_date(t, "^([0-9-]+)", "y-M-d")))
-    return F.when(_void(c) | P.is_null_pattern(t), "").otherwise(F.coalesce(normalize_date_iso(t), stamp, iso(_serial_date(t)), F.lit("")))
+    stamp = lambda t: F.when(is_timestamp_format(t), iso(_date(t, "^([0-9-]+)", "y-M-d")))
+    return once(trimmed(c), lambda t: F.when(_void(t) | P.is_null_pattern(t), "").otherwise(F.coalesce(normalize_date_iso(t), stamp(t), iso(_serial_date(t)), F.lit(""))))
 
 
 def clean_time(c: ColumnLike) -> Column:
     """O-4.9: a time as it is written, or in the form of O-4.7, or ''."""
-    t = trimmed(c)
-    return F.when(_void(c) | P.is_null_pattern(t), "").when(P.matches_time_pattern(t), t).otherwise(F.coalesce(parse_time_flexible(t), F.lit("")))
+    return once(trimmed(c), lambda t: F.when(_void(t) | P.is_null_pattern(t), "").when(P.matches_time_pattern(t), t).otherwise(F.coalesce(_parse_time(t), F.lit(""))))
 
 
 def clean_numeric(c: ColumnLike) -> Column:
     """O-4.10: seven rewrites of separators, then the value or its first number, or ''. ``1.234,56`` gives ``1.234``."""
+    return once(trimmed(c), lambda t: F.when(_void(t), "").otherwise(once(_separated(t), _first_number)))
+
+
+def _separated(t: Column) -> Column:
     # The rewrites, in order.
-    t = trimmed(c)
     for pattern, by in ((r"(-?[0-9]+),([0-9]+)", "$1.$2"), (r"(-?[0-9]+)\.([0-9]*),([0-9]+)", "$1.$2$3"), (r"\.{2,}", "."), (",{2,}", "."), ("[,.][,.]", "."), ("[,.]$", ""), ("^(-)[,.]", "$1")):
         t = F.regexp_replace(t, pattern, by)
+    return t
+
+
+def _first_number(t: Column) -> Column:
     number = r"(-?[0-9]+)([,.][0-9]+)?"
     first = F.concat(F.regexp_extract(t, number, 1), F.translate(F.regexp_extract(t, number, 2), ",", "."))
-    return F.when(_void(c), "").when(P.is_valid_numeric(t), t).otherwise(first)
+    return F.when(P.is_valid_numeric(t), t).otherwise(first)
 
 
 def clean_integer(c: ColumnLike) -> Column:
     """O-4.11: digits and a leading minus, or ''. Postal codes and dashed ids are kept. ``12.5`` gives ``125``."""
-    t = trimmed(c)
-    digits = F.regexp_replace(t, "[^0-9]", "")
-    kept = F.regexp_replace(t, "[^0-9-]", "")
-    mended = F.when(kept.rlike("^-[0-9]*$"), kept).when(F.startswith(col(c), F.lit("-")) & F.contains(kept, F.lit("-")), F.concat(F.lit("-"), digits)).otherwise(digits)
-    return F.when(_void(c), "").when(P.is_zip_code(t) | P.is_dash_identifier(t), col(c)).when(mended == "-", "").otherwise(mended)
+    digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
+    mended = lambda kept: F.when(kept.rlike("^-[0-9]*$"), kept).when(F.startswith(col(c), F.lit("-")) & F.contains(kept, F.lit("-")), F.concat(F.lit("-"), digits(kept))).otherwise(digits(kept))
+    number = lambda t: once(once(F.regexp_replace(t, "[^0-9-]", ""), mended), lambda m: F.when(m == "-", "").otherwise(m))
+    return once(trimmed(c), lambda t: F.when(_void(t), "").when(P.is_zip_code(t) | P.is_dash_identifier(t), col(c)).otherwise(number(t)))
 
 
 def clean_general(c: ColumnLike) -> Column:
     """O-4.12: trimmed; placeholders become ''."""
-    t = trimmed(c)
-    return F.when(col(c).isNull() | P.is_not_informed(t) | P.is_null_pattern(t), "").otherwise(t)
+    return once(trimmed(c), lambda t: F.when(t.isNull() | P.is_not_informed(t) | P.is_null_pattern(t), "").otherwise(t))
 
 
 def clean_by_type(c: ColumnLike, kind: str, header: str) -> Column:
@@ -175,29 +182,28 @@ RECORD_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 def separators_sql(x: str) -> str:
     """A number's text with a point for its decimals: of two kinds of separators the last one, else a comma."""
-    bare = f"translate({x}, '{WHITE}', '')"
-    no_points = f"regexp_replace({bare}, '[.](?=[^,]*,[^.]*$)', '')"  # points before a last comma
-    return f"translate(regexp_replace({no_points}, ',(?=[^.]*[.][^,]*$)', ''), ',', '.')"
+    no_points = "regexp_replace(_bare, '[.](?=[^,]*,[^.]*$)', '')"  # points before a last comma
+    both = f"CASE WHEN contains(_bare, ',') AND contains(_bare, '.') THEN regexp_replace({no_points}, ',(?=[^.]*[.][^,]*$)', '') ELSE _bare END"
+    return f"translate({once_sql(f"translate({x}, '{WHITE}', '')", '_bare', both)}, ',', '.')"
 
 
 def number_sql(x: str, grammar: str = P.PLAIN_NUMBER) -> str:
     """O-4.14 as SQL. The grammar of plain numbers is for coordinates and years, RECORD_NUMBER for fields of records."""
-    return f"try_cast(nullif(regexp_extract({separators_sql(x)}, '{grammar}', 0), '') AS double)"
+    return once_sql(f"regexp_extract({separators_sql(x)}, '{grammar}', 0)", "_digits", "CASE WHEN _digits <> '' THEN try_cast(_digits AS double) END")
 
 
 def flag_sql(x: str) -> str:
     """O-4.16 as SQL."""
-    t = f"upper(btrim({x}, '{WHITE}'))"
-    return f"CASE WHEN {t} IN ('S', 'SIM', 'TRUE', '1') THEN true WHEN {t} IN ('N', 'NAO', 'NÃO', 'FALSE', '0') THEN false END"
+    return once_sql(f"upper(btrim({x}, '{WHITE}'))", "_flag", "CASE WHEN _flag IN ('S', 'SIM', 'TRUE', '1') THEN true WHEN _flag IN ('N', 'NAO', 'NÃO', 'FALSE', '0') THEN false END")
 
 
 def date_sql(x: str) -> str:
     """O-4.17 as SQL."""
-    t = f"btrim({x}, '{WHITE}')"
-    found = lambda pattern, form: f"try_to_date(nullif(regexp_extract({t}, '{pattern}', 1), ''), '{form}')"
-    days = f"cast(floor(try_cast(nullif(regexp_extract({t}, '^[0-9]{{1,9}}([.][0-9]+)?$', 0), '') AS double)) AS int)"
-    serial = f"CASE WHEN {days} BETWEEN {SERIALS[0]} AND {SERIALS[1]} THEN date_add(DATE'1899-12-30', {days}) END"
-    return f"coalesce({found('^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:$|[ T])', 'y-M-d')}, {found('^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 'd/M/y')}, {found('^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$', 'd-M-y')}, {serial})"
+    found = lambda pattern, form: once_sql(f"regexp_extract(_when, '{pattern}', 1)", "_part", f"CASE WHEN _part <> '' THEN try_to_date(_part, '{form}') END")
+    days = once_sql("regexp_extract(_when, '^[0-9]{1,9}([.][0-9]+)?$', 0)", "_part", "CASE WHEN _part <> '' THEN cast(floor(try_cast(_part AS double)) AS int) END")
+    serial = once_sql(days, "_days", f"CASE WHEN _days >= {SERIALS[0]} AND _days <= {SERIALS[1]} THEN date_add(DATE'1899-12-30', _days) END")
+    forms = f"coalesce({found('^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:$|[ T])', 'y-M-d')}, {found('^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 'd/M/y')}, {found('^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$', 'd-M-y')}, {serial})"
+    return once_sql(f"btrim({x}, '{WHITE}')", "_when", forms)
 
 
 def parse_source_number(c: str) -> Column:
@@ -298,7 +304,10 @@ def weekday_sort(d: ColumnLike) -> Column:
 
 def value_type_of(c: ColumnLike) -> Column:
     """O-4.28: the type that one value looks like; quotes around it don't count."""
-    t = F.regexp_replace(trimmed(c), "^[\"']|[\"']$", "")
+    return once(F.regexp_replace(trimmed(c), "^[\"']|[\"']$", ""), _value_type)
+
+
+def _value_type(t: Column) -> Column:
     n = F.when(t.rlike("^-?[0-9]{1,18}$"), t.cast("bigint"))
     integer = F.when(n.between(0, 9999), "SMALLINT").when(n.between(-(2**31), 2**31 - 1), "INT").when(n.isNotNull(), "BIGINT")
     return F.when(is_date_format(t), "DATE").when(is_time_format(t), "TIME").when(is_timestamp_format(t), "TIMESTAMP").when(integer.isNotNull(), integer).when(t.rlike(r"^-?[0-9]+[.,][0-9]+$"), "FLOAT").otherwise("TEXT")

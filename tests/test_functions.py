@@ -87,3 +87,9 @@ def test_all_white_space_is_trimmed_and_record_numbers_are_loose(spark):
 def test_years_past_9999_have_no_sign(spark):
     df = spark.createDataFrame([(45292,), (2958465,), (2958466,), (6000000,)], "n int")
     assert [r[0] for r in df.select(V.iso(V.excel_serial_to_date("n"))).collect()] == ["2024-01-01", "9999-12-31", "10000-01-01", "18327-06-10"]
+
+
+@pytest.mark.parametrize("function", [V.value_type_of, V.clean_time, V.clean_numeric, V.clean_date, P.is_descriptive_text])
+def test_a_value_is_trimmed_once(spark, function):
+    plan = spark.createDataFrame([("1",)], "v string").select(function("v").alias("got"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(v") == 1 and len(plan) < 20_000

@@ -134,3 +134,12 @@ def test_import_bookkeeping(spark):
     month = spark.createDataFrame([(2026, 5)], "year int, month int")
     got = lambda rows, h: IM.coroner_month_decision(month, month.withColumn("file_hash", F.lit("x")), month.withColumns({"file_hash": F.lit(h), "rows": F.lit(rows), "present": F.lit(True)})).first()["action"]
     assert (got(0, "x"), got(5, "x"), got(5, "z")) == ("error", "unchanged", "replace")
+
+
+def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
+    from occspark.plans import fixtures as FX
+
+    spark.range(100_000).selectExpr("id AS event_id", "'view' AS event_type", "timestamp'2024-01-05 10:00:00' AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with_plan = FX.noisy(spark, str(tmp_path))
+    assert "Exchange hashpartitioning(event_id" in with_plan._jdf.queryExecution().executedPlan().toString()
+    assert with_plan.count() == 100_000
