@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ColumnLike, col, normalize_text, trimmed
+from .text import ColumnLike, col, normalize_text, once, trimmed
 
 # Words that mark a description instead of a time.
 DESCRIPTIVE_WORDS = ("madrugada", "manha", "tarde", "noite", "durante", "periodo", "descr", "hora_incerta", "policia", "militar", "registrado", "nao_informado", "informado")
@@ -57,10 +57,8 @@ def matches_time_pattern(c: ColumnLike) -> Column:
 
 def is_descriptive_text(c: ColumnLike) -> Column:
     """O-3.10: holds one of the words, or has no ``:`` and letters and blanks make over half of its bytes."""
-    text = normalize_text(F.trim(col(c)))
-    worded = text.rlike("|".join(DESCRIPTIVE_WORDS))
     letters = F.length(F.regexp_replace(col(c), r"[^\p{L}\s]", ""))
-    return worded | (~F.contains(text, F.lit(":")) & (letters > F.floor(F.octet_length(col(c)) / 2)))
+    return once(normalize_text(F.trim(col(c))), lambda text: text.rlike("|".join(DESCRIPTIVE_WORDS)) | (~F.contains(text, F.lit(":")) & (letters > F.floor(F.octet_length(col(c)) / 2))))
 
 
 def is_in_state_bbox(lat: ColumnLike, lon: ColumnLike) -> Column:
