@@ -113,13 +113,16 @@ def prepare_table(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, Obse
     """O-5.6: every cell cleaned by its type; the observation tells ``changed`` cells once the rows are read."""
     unique = drop_identical_duplicate_columns(df)
     by_name = {normalize_column_name(k): v for k, v in types.items()}
-    cells, changed = [], F.lit(0)
-    for c in unique.columns:
+    raws, cells, changed = [], [], F.lit(0)
+    for k, c in enumerate(unique.columns):
         raw, kind = F.coalesce(F.col(c).cast("string"), F.lit("")), by_name.get(c, "TEXT")
         clean = V.clean_by_type(raw, kind, c)
         if kind.upper() == "TIME":
             clean = F.when(correct_type(c, kind, raw) == "TIME", clean).otherwise(V.clean_general(raw))
-        cells.append(clean.alias(c))
-        changed = changed + (clean != raw).cast("int")
+        raws.append(raw.alias(f"_raw_{k}"))
+        cells.append(clean.alias(f"_cell_{k}"))
+        changed = changed + (F.col(f"_cell_{k}") != F.col(f"_raw_{k}")).cast("int")
     seen = Observation()
-    return unique.withColumn("_changed", changed).observe(seen, F.sum("_changed").alias("changed"), F.count(F.lit(1)).alias("rows")).select(*cells), seen
+    both = unique.select(*raws, *cells).withColumn("_changed", changed)  # cleaned once, then compared
+    told = both.observe(seen, F.sum("_changed").alias("changed"), F.count(F.lit(1)).alias("rows"))
+    return told.select(*[F.col(f"_cell_{k}").alias(c) for k, c in enumerate(unique.columns)]), seen

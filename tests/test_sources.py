@@ -146,3 +146,11 @@ def test_one_csv_is_read_by_many_tasks(spark, tmp_path, end):
                 io.read_source_csv(spark, str(path), strict=True, split=True).collect()
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_cells_are_cleaned_once(spark):
+    from occspark.sources import profile
+
+    out, _ = profile.prepare_table(spark.createDataFrame([("1,5",)], "Q string"), {"Q": "NUMERIC"})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[,.][,.]") == 1
+    assert [tuple(r) for r in out.collect()] == [("1.5",)]
