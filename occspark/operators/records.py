@@ -68,7 +68,7 @@ def select_needed(df: DataFrame, config: SourceConfig) -> DataFrame:
 
 def filter_processable(df: DataFrame) -> DataFrame:
     """O-6.3: rows with a number, a year and coordinates inside the state."""
-    inside = " AND ".join(f"{V.number_sql(c)} BETWEEN {low} AND {high}" for c, (low, high) in (("LATITUDE", P.BOX["lat"]), ("LONGITUDE", P.BOX["lon"])))
+    inside = " AND ".join(X.once_sql(V.number_sql(c), "_number", f"_number >= {low} AND _number <= {high}") for c, (low, high) in (("LATITUDE", P.BOX["lat"]), ("LONGITUDE", P.BOX["lon"])))
     return df.where(f"{X.text_sql('NUM_BO')} IS NOT NULL AND {V.number_sql('ANO_BO')} IS NOT NULL AND {inside}")
 
 
