@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.text import normalize_lookup_key, source_text
+from ..sources.scratch import stored
 from . import stats
 from .features import date_range
 from .filters import FeatureFilter
 from .records import KEY
 
+# The columns that filters and counts read.
+_COUNTED = ("category", "all_rubricas", "search_categories", "data_ocorrencia", "periodo_normalized", "hora_ocorrencia", "latitude", "longitude")
+
 
 def entry_time(c: Column) -> Column:
     """A coroner's entry date and time: day first with time, day first, or ISO."""
@@ -81,6 +85,7 @@ def grouped_occurrences(features: DataFrame) -> DataFrame:
 def tile_metadata(features: DataFrame, where: FeatureFilter | None = None) -> DataFrame:
     """O-9.7: one row: date range, number of features, categories and periods, each small."""
     where = where or FeatureFilter()
+    features = stored(features.select(*[c for c in features.columns if c in _COUNTED]), "metadata")  # three aggregations read them
     both = stats.category_period_stats(features, where)
     listed = both.groupBy().agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "count")))).alias(f"{k}_counts") for k in ("category", "period")])
     return date_range(features).join(stats.count_features(features, where)).join(listed)

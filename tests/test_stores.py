@@ -277,3 +277,19 @@ def test_profiles_add_up(spark, tmp_path):
         n = left.where(f"{column} <> ''").select(column).distinct().count()
         assert abs(got[column].pop("unique_count") - min(n, profile.MOST_UNIQUE)) <= 0.02 * n and own.pop("unique_count") is not None
         assert got[column] == own
+
+
+def test_features_are_made_once_for_tile_points_and_for_metadata(spark, tmp_path):
+    from occspark.operators import lookups, tile_store
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(category):
+        made.add(1)
+        return category
+
+    rows = "'Furto' AS category, 'x' AS rubrica_for_styling, array('Furto') AS all_rubricas, array('Furto') AS search_categories, date'2024-01-05' AS data_ocorrencia, 'a tarde' AS periodo_normalized, 3 AS hora_ocorrencia, 1 AS total_records"
+    features = spark.sql(f"SELECT concat('DU', id) AS num_bo, 2024 AS ano_bo, 'DP' AS delegacia, 'h' AS location_hash, -23.5D AS latitude, -46.5D AS longitude, id * 10.0D AS x_3857, id * 10.0D AS y_3857, {rows} FROM range(50)").withColumn("category", F.udf(seen, "string")("category"))
+    assert tile_store.write_tile_points(features, str(tmp_path / "points")) == 50 and made.value == 50
+    row = lookups.tile_metadata(features).first()
+    assert row["count"] == 50 and made.value == 100
