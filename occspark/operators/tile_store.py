@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import versions as VS
+from ..sources.scratch import remove, stored
 from . import features as FE
 from .tiles import ZOOMS
 
@@ -87,7 +88,8 @@ def cover(envelope: tuple[float, float, float, float], most: int = MOST_RANGES)
 
 def write_tile_points(features: DataFrame, path: str, file_rows: int = FILE_ROWS, row_group: int = ROW_GROUP) -> int:
     """O-6.16: the tile points of features (derive_search_columns) instead of what the store held; gives their number."""
-    points = FE.build_tile_points(features).where("x_3857 is not null and y_3857 is not null")
+    # stored, as the count, the sample for the ranges and the write would each make all features anew
+    points = stored(FE.build_tile_points(features).where("x_3857 is not null and y_3857 is not null"), "points")
     key = quadkey("x_3857", "y_3857")
     keyed = points.withColumn("quadkey", key).withColumn("folder", F.shiftright("quadkey", 2 * (KEY_ZOOM - FOLDER_ZOOM)).cast("int"))
     files = max(1, -(-points.count() // file_rows))
@@ -96,6 +98,7 @@ def write_tile_points(features: DataFrame, path: str, file_rows: int = FILE_ROWS
     before = VS.listed(spark, path)
     parts = VS.write_parts(laid, path, _BY, options={"parquet.block.size": str(row_group)})
     VS.publish(spark, path, before, laid.schema, parts, {})
+    remove(points)
     return sum(p.rows for p in parts)
 
 
