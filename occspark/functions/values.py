@@ -180,6 +180,10 @@ def clean_by_type(c: ColumnLike, kind: str, header: str) -> Column:
 RECORD_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+# Texts as most cells have them, for SQL; \z is the very end ($ would pass a line break).
+_PLAIN, _ISO_DAY, _LOCAL_DAY, _SERIAL_DAY = r"^-?[0-9]+([.,][0-9]+)?\\z", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T]|\\z)", r"^([0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}\\z)", r"^[0-9]{5}([.][0-9]{1,6})?\\z"
+
+
 def separators_sql(x: str) -> str:
     """A number's text with a point for its decimals: of two kinds of separators the last one, else a comma."""
     no_points = "regexp_replace(_bare, '[.](?=[^,]*,[^.]*$)', '')"  # points before a last comma
@@ -188,22 +192,31 @@ def separators_sql(x: str) -> str:
 
 
 def number_sql(x: str, grammar: str = P.PLAIN_NUMBER) -> str:
-    """O-4.14 as SQL. The grammar of plain numbers is for coordinates and years, RECORD_NUMBER for fields of records."""
-    return once_sql(f"regexp_extract({separators_sql(x)}, '{grammar}', 0)", "_digits", "CASE WHEN _digits <> '' THEN try_cast(_digits AS double) END")
+    """O-4.14 as SQL. The grammar of plain numbers is for coordinates and years, RECORD_NUMBER for fields of records.
+
+    Digits with one separator at most are cast at once: higher-order functions aren't compiled, so only other texts are left to them.
+    """
+    rest = once_sql(f"regexp_extract({separators_sql(x)}, '{grammar}', 0)", "_digits", "CASE WHEN _digits <> '' THEN try_cast(_digits AS double) END")
+    return f"CASE WHEN {x} RLIKE '{_PLAIN}' THEN try_cast(replace({x}, ',', '.') AS double) WHEN {x} <> '' THEN {rest} END"
 
 
 def flag_sql(x: str) -> str:
     """O-4.16 as SQL."""
-    return once_sql(f"upper(btrim({x}, '{WHITE}'))", "_flag", "CASE WHEN _flag IN ('S', 'SIM', 'TRUE', '1') THEN true WHEN _flag IN ('N', 'NAO', 'NÃO', 'FALSE', '0') THEN false END")
+    rest = once_sql(f"upper(btrim({x}, '{WHITE}'))", "_flag", "CASE WHEN _flag IN ('S', 'SIM', 'TRUE', '1') THEN true WHEN _flag IN ('N', 'NAO', 'NÃO', 'FALSE', '0') THEN false END")
+    return f"CASE WHEN {x} = 'S' THEN true WHEN {x} = 'N' THEN false WHEN {x} <> '' THEN {rest} END"
 
 
 def date_sql(x: str) -> str:
-    """O-4.17 as SQL."""
+    """O-4.17 as SQL. Whole days in the three usual forms are read at once, other texts form by form."""
     found = lambda pattern, form: once_sql(f"regexp_extract(_when, '{pattern}', 1)", "_part", f"CASE WHEN _part <> '' THEN try_to_date(_part, '{form}') END")
     days = once_sql("regexp_extract(_when, '^[0-9]{1,9}([.][0-9]+)?$', 0)", "_part", "CASE WHEN _part <> '' THEN cast(floor(try_cast(_part AS double)) AS int) END")
     serial = once_sql(days, "_days", f"CASE WHEN _days >= {SERIALS[0]} AND _days <= {SERIALS[1]} THEN date_add(DATE'1899-12-30', _days) END")
     forms = f"coalesce({found('^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:$|[ T])', 'y-M-d')}, {found('^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 'd/M/y')}, {found('^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$', 'd-M-y')}, {serial})"
-    return once_sql(f"btrim({x}, '{WHITE}')", "_when", forms)
+    rest = once_sql(f"btrim({x}, '{WHITE}')", "_when", forms)
+    local = f"try_cast(concat(substring({x}, 7, 4), '-', substring({x}, 4, 2), '-', substring({x}, 1, 2)) AS date)"
+    day = f"cast(substring({x}, 1, 5) AS int)"
+    whole = f"CASE WHEN {day} >= {SERIALS[0]} AND {day} <= {SERIALS[1]} THEN date_add(DATE'1899-12-30', {day}) END"
+    return f"CASE WHEN {x} RLIKE '{_ISO_DAY}' THEN try_cast(substring({x}, 1, 10) AS date) WHEN {x} RLIKE '{_LOCAL_DAY}' THEN {local} WHEN {x} RLIKE '{_SERIAL_DAY}' THEN {whole} WHEN {x} <> '' THEN {rest} END"
 
 
 def parse_source_number(c: str) -> Column:

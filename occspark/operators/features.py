@@ -59,10 +59,34 @@ def merge_features(parts: DataFrame) -> DataFrame:
     return whole.withColumn("summary", summarize_records(F.col("records")))
 
 
+def features_of_rows(rows: DataFrame) -> DataFrame:
+    """O-6.9 and O-6.11 at once: what merge_features makes of group_features.
+
+    A key's rows are collected once, in the order of table, location and id. A key has few
+    rows, and most have one table each, so two aggregations would sort and copy nearly every
+    row again. The rules of both read the first row of each table.
+    """
+    kinds = {c: rows.schema[c].dataType for c in ("data_ocorrencia", "location", "occurrence")}
+    order = ("source_table", "lat_bucket", "lon_bucket", "id")
+    taken = ("latitude", "longitude", "category", "rubrica_for_styling", *kinds, "record")
+    met = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(*order, *taken))).alias("_rows"))
+    met = met.withColumn("_firsts", F.filter("_rows", lambda r, k: (k == 0) | (F.get("_rows", k - 1)["source_table"] != r["source_table"])))
+    later = lambda known, r, struct, names: F.struct(*[F.coalesce(r[struct][f], known[struct][f]).alias(f) for f in names]).alias(struct)
+    known = F.aggregate("_firsts", F.struct(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]), lambda known, r: F.struct(
+        F.coalesce(r["data_ocorrencia"], known["data_ocorrencia"]).alias("data_ocorrencia"), later(known, r, "location", LOCATION), later(known, r, "occurrence", OCCURRENCE)))
+    first, last = F.get("_firsts", F.lit(0)), F.try_element_at("_firsts", F.lit(-1))
+    records = F.sort_array(F.transform("_rows", lambda r: F.struct(r["source_table"], r["id"], r["record"].alias("record"))))
+    whole = met.withColumn("_known", known).select(
+        *KEY, first["latitude"].alias("latitude"), first["longitude"].alias("longitude"), last["category"].alias("category"), last["rubrica_for_styling"].alias("rubrica_for_styling"), "_known.data_ocorrencia",
+        F.transform("_firsts", lambda r: r["source_table"]).alias("source_tables"), "_known.location", "_known.occurrence",
+        F.array_sort(F.array_distinct(F.filter(F.transform("_rows", lambda r: r["record"]["rubrica"]), lambda x: x.isNotNull()))).alias("all_rubricas"), F.transform(records, lambda x: x["record"]).alias("records"))
+    return whole.withColumn("summary", summarize_records(F.col("records")))
+
+
 def build_features(tables: dict[str, DataFrame]) -> DataFrame:
-    """Features of all raw tables: one shuffle on the key serves the grouping and the merge."""
+    """Features of all raw tables by one shuffle on the key."""
     rows = reduce(DataFrame.unionByName, [source_rows(df, name) for name, df in sorted(tables.items())])
-    return merge_features(group_features(rows.repartition(*KEY)))
+    return features_of_rows(rows.repartition(*KEY))
 
 
 def remove_source_table(features: DataFrame, table: str) -> DataFrame:
@@ -89,7 +113,7 @@ def refresh_features(features: DataFrame, rows: DataFrame, tables: list[str]) ->
     rubrics = F.array_distinct(F.filter(F.transform(rest, lambda r: r["rubrica"]), lambda x: x.isNotNull()))
     old = features.withColumns({"all_rubricas": F.when(touched, rubrics).otherwise(F.col("all_rubricas")), "records": F.when(touched, rest).otherwise(F.col("records")),
                                 "_was": F.array_max("source_tables"), "source_tables": F.array_except("source_tables", names)})
-    new = merge_features(group_features(rows.repartition(*KEY))).withColumn("_was", F.lit(None).cast("string"))
+    new = features_of_rows(rows.repartition(*KEY)).withColumn("_was", F.lit(None).cast("string"))
     columns = [c for c in new.columns if c not in (*KEY, "summary")]
     side = lambda df, name, other: df.select(*KEY, F.struct(*columns).alias(name), F.lit(None).alias(other))
     both = side(old, "o", "n").unionByName(side(new, "n", "o"))

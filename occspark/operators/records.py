@@ -68,7 +68,8 @@ def select_needed(df: DataFrame, config: SourceConfig) -> DataFrame:
 
 def filter_processable(df: DataFrame) -> DataFrame:
     """O-6.3: rows with a number, a year and coordinates inside the state."""
-    inside = " AND ".join(X.once_sql(V.number_sql(c), "_number", f"_number >= {low} AND _number <= {high}") for c, (low, high) in (("LATITUDE", P.BOX["lat"]), ("LONGITUDE", P.BOX["lon"])))
+    # a distance from the middle (exact for these bounds) names the number once: it is neither read twice nor, as BETWEEN would have it, before the other conditions
+    inside = " AND ".join(f"abs({V.number_sql(c)} - ({(low + high) / 2})) <= {(high - low) / 2}" for c, (low, high) in (("LATITUDE", P.BOX["lat"]), ("LONGITUDE", P.BOX["lon"])))
     return df.where(f"{X.text_sql('NUM_BO')} IS NOT NULL AND {V.number_sql('ANO_BO')} IS NOT NULL AND {inside}")
 
 
@@ -149,16 +150,16 @@ def derive_date(c: str) -> Column:
 def source_rows(df: DataFrame, table: str) -> DataFrame:
     """Processable rows in the shape that grouping takes: key, place, category, date and record.
 
-    Each step reads what the one before made: texts are trimmed once, then coordinates and
-    the date read once, and the wide struct is made of rows that are kept.
+    Texts are trimmed and coordinates and the date read once, in one step that isn't fused with
+    others (a fused method that long isn't compiled); the next makes the wide struct of them.
     """
     config = source_config(table)
     if config is None:
         raise ValueError(f"no configuration for {table}")
     rows = filter_processable(select_needed(df, config))
     among = {c: f"`{c}`" for c in rows.columns}
-    trimmed = rows.selectExpr("id", *[f"{sql} AS `{c}`" for c, sql in _texts(rows).items() if c != "id"])
-    read = trimmed.selectExpr("*", f"{V.number_sql('LATITUDE')} AS _lat", f"{V.number_sql('LONGITUDE')} AS _lon", f"{V.date_sql('DATA_OCORRENCIA_BO')} AS _date")
+    told = {"_lat": V.number_sql("LATITUDE"), "_lon": V.number_sql("LONGITUDE"), "_date": V.date_sql("DATA_OCORRENCIA_BO")}
+    read = rows.selectExpr("id", *[f"{sql} AS `{c}`" for c, sql in _texts(rows).items() if c != "id"], *[f"{sql} AS {c}" for c, sql in told.items()])
     category, styling = _category_sql(config, among)
     return read.selectExpr(
         "NUM_BO AS num_bo", f"cast({V.number_sql('ANO_BO')} AS int) AS ano_bo", "NOME_DELEGACIA AS delegacia", f"{V.hash_sql('_lat', '_lon')} AS location_hash", "_lat AS latitude", "_lon AS longitude",

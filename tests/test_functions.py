@@ -93,3 +93,15 @@ def test_years_past_9999_have_no_sign(spark):
 def test_a_value_is_trimmed_once(spark, function):
     plan = spark.createDataFrame([("1",)], "v string").select(function("v").alias("got"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("trim(v") == 1 and len(plan) < 20_000
+
+
+def test_usual_cells_are_read_as_any_others(spark):
+    """Cells that are read at once, and those just beside them, which are left to the general rules."""
+    numbers = {"12": 12.0, "-1,5": -1.5, "1.": None, "12\n": 12.0, "12\u0085": 12.0, " 12": 12.0, "1,2,3": None, "": None, None: None}
+    days = {"2024-02-29": "2024-02-29", "2023-02-29": None, "2024-01-05 x": "2024-01-05", "2024-01-05x": None, "05-01-2024": "2024-01-05", "05-01-2024 ": "2024-01-05", "05-01-2024 x": None, "5/1/2024": "2024-01-05",
+            "05/01/2024x": "2024-01-05", "31/12/0000": "0000-12-31", "41274": None, "73050.999999": "2099-12-31", "45291.99999999999999999": "2024-01-01", "": None, None: None}
+    texts = {"á": "á", " x": "x", "x\n": "x", "x\ny": "x\ny", "　": None, "": None, "º x º": "º x º", "x\u0085": "x\u0085", None: None}
+    for of, pairs in ((V.parse_source_number, numbers), (_date(V.parse_source_date), days), (lambda c: F.expr(X.text_sql(c)), texts), (V.parse_source_flag, {"S": True, " s": True, "não": False, "NÃO": False, "N ": False, "": None, None: None})):
+        df = spark.createDataFrame([(v,) for v in pairs], "v string")
+        got = {r["v"]: r["got"] for r in df.select("v", of("v").alias("got")).collect()}
+        assert got == pairs

@@ -143,3 +143,15 @@ def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
     with_plan = FX.noisy(spark, str(tmp_path))
     assert "Exchange hashpartitioning(event_id" in with_plan._jdf.queryExecution().executedPlan().toString()
     assert with_plan.count() == 100_000
+
+
+def test_features_of_rows_need_one_aggregation(spark):
+    raw = [(k, f"B{k // 4}", "2024", (" -23.5", "-23,5000001", "-23.5")[k % 3], "-46.6", ("2024-01-05", "31/02/2024", "45291.5", None)[k % 4], ("", "DP 1")[k // 8 % 2], (None, "Furto", "Roubo")[k % 3], (" ", "Via 1")[k % 2], ("S", "talvez")[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(raw, "id long, NUM_BO string, ANO_BO string, LATITUDE string, LONGITUDE string, DATA_OCORRENCIA_BO string, NOME_DELEGACIA string, RUBRICA string, DESCR_TIPOLOCAL string, FLAG_FLAGRANTE string")
+    rows = R.source_rows(df.where("id % 5 < 3"), "celulares_2024").unionByName(R.source_rows(df.where("id % 5 > 1"), "veiculos_2024"))
+    whole = FE.features_of_rows(rows)
+    stepwise = FE.merge_features(FE.group_features(rows))
+    assert whole.columns == stepwise.columns
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, stepwise.collect()))
+    plan = lambda features: features._jdf.queryExecution().executedPlan().toString()
+    assert plan(FE.build_features({"celulares_2024": df})).count("ObjectHashAggregate") == 2 < plan(stepwise).count("ObjectHashAggregate")
