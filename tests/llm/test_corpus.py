@@ -13,6 +13,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -303,6 +304,21 @@ def test_katz_equals_brute_force_and_sums_to_one(docs, texts, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in t), rel=1e-9)
 
 
+def test_katz_leaves_its_scores_alone_on_disk(spark, docs):
+    docs.count()  # the cached table's own shuffle comes first
+    shared = Path(storage.shared_dir(spark).removeprefix("file://"))
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    there = lambda: ({p.name for p in shared.iterdir()}, {p: p.stat().st_size for d in local for p in Path(d).rglob("shuffle_*.data")})
+    tables, shuffles = there()
+    scores = katz.corpus_scores(docs, F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 1)
+    now = there()
+    assert [n.split("-")[0] for n in now[0] - tables] == ["scores"]
+    left = sum(now[1][p] for p in now[1].keys() - shuffles.keys())
+    assert left < 20_000  # sums of one row, no keys
+    assert scores.count() == scores.count() == docs.count()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_katz_without_rows(docs):
     assert katz.corpus_scores(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
     few = katz.corpus_scores(docs.where("doc_id in (7, 8)"), F.lit(False), F.lit(True)).collect()
