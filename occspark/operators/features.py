@@ -15,6 +15,10 @@ from .records import KEY, LOCATION, OCCURRENCE, source_config, source_rows
 _SUMMARY = (("celulares_count", "celular"), ("veiculos_count", "veiculo"), ("objetos_count", "objeto"), ("dados_criminais_count", "dados_criminais"))
 
 
+#: The fields of structs that derive_search_columns reads.
+SEARCHED = ("occurrence.periodo", "occurrence.hora_ocorrencia")
+
+
 def summarize_records(records: Column) -> Column:
     """O-6.10: the number of records in all and of each kind."""
     count = lambda test: F.size(F.filter(records, test))
@@ -59,6 +63,19 @@ def merge_features(parts: DataFrame) -> DataFrame:
     return whole.withColumn("summary", summarize_records(F.col("records")))
 
 
+def narrowed(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Rows (source_rows) with some fields of their structs alone, as ``record.marca``; a struct without any goes.
+
+    Spark prunes no field of what is collected into arrays, so what is not read later would be
+    made, moved and sorted all the same. A record keeps what features are made of.
+    """
+    wanted = {*fields, "record.type", "record.source_table", "record.rubrica"}
+    kept = {s: [f for f in rows.schema[s].dataType.names if f"{s}.{f}" in wanted] for s in ("location", "occurrence", "record")}
+    if unknown := wanted - {f"{s}.{f}" for s, names in kept.items() for f in names}:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    return rows.withColumns({s: F.struct(*[F.col(f"{s}.{f}") for f in names]) for s, names in kept.items() if names}).drop(*[s for s, names in kept.items() if not names])
+
+
 def features_of_rows(rows: DataFrame) -> DataFrame:
     """O-6.9 and O-6.11 at once: what merge_features makes of group_features.
 
@@ -66,26 +83,28 @@ def features_of_rows(rows: DataFrame) -> DataFrame:
     rows, and most have one table each, so two aggregations would sort and copy nearly every
     row again. The rules of both read the first row of each table.
     """
-    kinds = {c: rows.schema[c].dataType for c in ("data_ocorrencia", "location", "occurrence")}
+    kinds = {c: rows.schema[c].dataType for c in ("data_ocorrencia", "location", "occurrence") if c in rows.columns}
     order = ("source_table", "lat_bucket", "lon_bucket", "id")
     taken = ("latitude", "longitude", "category", "rubrica_for_styling", *kinds, "record")
     met = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(*order, *taken))).alias("_rows"))
     met = met.withColumn("_firsts", F.filter("_rows", lambda r, k: (k == 0) | (F.get("_rows", k - 1)["source_table"] != r["source_table"])))
-    later = lambda known, r, struct, names: F.struct(*[F.coalesce(r[struct][f], known[struct][f]).alias(f) for f in names]).alias(struct)
+    structs = [c for c in kinds if c != "data_ocorrencia"]
+    later = lambda known, r, struct: F.struct(*[F.coalesce(r[struct][f], known[struct][f]).alias(f) for f in kinds[struct].names]).alias(struct)
     known = F.aggregate("_firsts", F.struct(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]), lambda known, r: F.struct(
-        F.coalesce(r["data_ocorrencia"], known["data_ocorrencia"]).alias("data_ocorrencia"), later(known, r, "location", LOCATION), later(known, r, "occurrence", OCCURRENCE)))
+        F.coalesce(r["data_ocorrencia"], known["data_ocorrencia"]).alias("data_ocorrencia"), *[later(known, r, c) for c in structs]))
     first, last = F.get("_firsts", F.lit(0)), F.try_element_at("_firsts", F.lit(-1))
     records = F.sort_array(F.transform("_rows", lambda r: F.struct(r["source_table"], r["id"], r["record"].alias("record"))))
     whole = met.withColumn("_known", known).select(
         *KEY, first["latitude"].alias("latitude"), first["longitude"].alias("longitude"), last["category"].alias("category"), last["rubrica_for_styling"].alias("rubrica_for_styling"), "_known.data_ocorrencia",
-        F.transform("_firsts", lambda r: r["source_table"]).alias("source_tables"), "_known.location", "_known.occurrence",
+        F.transform("_firsts", lambda r: r["source_table"]).alias("source_tables"), *[f"_known.{c}" for c in structs],
         F.array_sort(F.array_distinct(F.filter(F.transform("_rows", lambda r: r["record"]["rubrica"]), lambda x: x.isNotNull()))).alias("all_rubricas"), F.transform(records, lambda x: x["record"]).alias("records"))
     return whole.withColumn("summary", summarize_records(F.col("records")))
 
 
-def build_features(tables: dict[str, DataFrame]) -> DataFrame:
-    """Features of all raw tables by one shuffle on the key."""
-    rows = reduce(DataFrame.unionByName, [source_rows(df, name) for name, df in sorted(tables.items())])
+def build_features(tables: dict[str, DataFrame], fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Features of all raw tables by one shuffle on the key. fields: those of structs that are kept (narrowed), else all."""
+    taken = lambda df, name: source_rows(df, name) if fields is None else narrowed(source_rows(df, name), fields)
+    rows = reduce(DataFrame.unionByName, [taken(df, name) for name, df in sorted(tables.items())])
     return features_of_rows(rows.repartition(*KEY))
 
 

@@ -11,6 +11,7 @@ from .filters import FeatureFilter, radius_filter
 
 #: Rows of a chart.
 CHART_ROWS = 12
+CHARTS = ("category", "period", "weekday", "location_type", "police_circumscription", "police_unit", "record_type", "object_type", "vehicle_brand", "phone_brand", "weapon_type", "drug_type")
 NO_BRAND = "Marca não informada"
 
 
@@ -72,44 +73,51 @@ def _entry(chart: str, label: Column, amount: Column | None = None, sort: Column
     return F.struct(F.lit(chart).alias("chart"), named.alias("label"), (amount if amount is not None else F.lit(None)).cast("double").alias("amount"), (sort if sort is not None else F.lit(None)).cast("int").alias("sort"))
 
 
-def _feature_entries() -> list[Column]:
-    """O-8.9, O-8.10, O-8.15, O-8.16, O-8.17."""
-    return [_entry("period", V.period_label("periodo_normalized"), sort=V.period_sort("periodo_normalized")), _entry("weekday", V.weekday_label("data_ocorrencia"), sort=V.weekday_sort("data_ocorrencia")),
-            _entry("location_type", F.col("location.tipo_local")), _entry("police_circumscription", F.col("occurrence.delegacia_circunscricao")), _entry("police_unit", F.col("delegacia"))]
+def _feature_entries(names: tuple[str, ...]) -> list[Column]:
+    """O-8.9, O-8.10, O-8.15, O-8.16, O-8.17, as far as they are named."""
+    told = {"period": (V.period_label("periodo_normalized"), V.period_sort("periodo_normalized")), "weekday": (V.weekday_label("data_ocorrencia"), V.weekday_sort("data_ocorrencia")),
+            "location_type": (F.col("location.tipo_local"), None), "police_circumscription": (F.col("occurrence.delegacia_circunscricao"), None), "police_unit": (F.col("delegacia"), None)}
+    return [_entry(chart, label, sort=sort) for chart, (label, sort) in told.items() if chart in names]
 
 
-def _record_entries(r: Column) -> Column:
-    """O-8.11 to O-8.14, O-8.18, O-8.19 of one record."""
+def _record_entries(r: Column, names: tuple[str, ...]) -> Column:
+    """O-8.11 to O-8.14, O-8.18, O-8.19 of one record, as far as they are named."""
     text = lambda name: F.nullif(r[name].cast("string"), F.lit(""))
     brand = F.coalesce(text("marca"), F.lit(NO_BRAND))
     quantity = V.record_quantity(r["quantidade"])
-    entries = [(F.lit(True), _entry("record_type", V.record_type_label(r["type"]))),
-               (r["type"].isin("objeto", "celular"), _entry("object_type", F.coalesce(text("descr_tipo_objeto"), text("descr_subtipo_objeto")), quantity)),
-               (r["type"].isin("veiculo", "produtividade_veiculos"), _entry("vehicle_brand", F.concat_ws(" · ", brand, text("tipo_veiculo"), text("ano_modelo")))),
-               (r["type"] == "celular", _entry("phone_brand", F.concat_ws(" · ", brand, text("descr_subtipo_objeto")), quantity)),
-               (r["type"] == "produtividade_armas", _entry("weapon_type", F.coalesce(text("tipo_arma"), text("calibre")))),
-               (r["type"] == "produtividade_entorpecentes", _entry("drug_type", text("tipo_droga"), V.drug_grams(r["quantidade_gramas"])))]
-    return F.array_compact(F.array(*[F.when(test, entry) for test, entry in entries]))
+    told = {"record_type": (F.lit(True), V.record_type_label(r["type"]), None),
+            "object_type": (r["type"].isin("objeto", "celular"), F.coalesce(text("descr_tipo_objeto"), text("descr_subtipo_objeto")), quantity),
+            "vehicle_brand": (r["type"].isin("veiculo", "produtividade_veiculos"), F.concat_ws(" · ", brand, text("tipo_veiculo"), text("ano_modelo")), None),
+            "phone_brand": (r["type"] == "celular", F.concat_ws(" · ", brand, text("descr_subtipo_objeto")), quantity),
+            "weapon_type": (r["type"] == "produtividade_armas", F.coalesce(text("tipo_arma"), text("calibre")), None),
+            "drug_type": (r["type"] == "produtividade_entorpecentes", text("tipo_droga"), V.drug_grams(r["quantidade_gramas"]))}
+    return F.array_compact(F.array(*[F.when(test, _entry(chart, label, amount)) for chart, (test, label, amount) in told.items() if chart in names]))
 
 
-def all_charts(features: DataFrame, rows: int = CHART_ROWS) -> DataFrame:
-    """O-8.20: (chart, rank, label, count, amount) of the twelve charts.
+def all_charts(features: DataFrame, rows: int = CHART_ROWS, names: tuple[str, ...] = CHARTS) -> DataFrame:
+    """O-8.20: (chart, rank, label, count, amount) of the twelve charts, or of some of them.
 
     One scan: a feature gives its entries and its records' as one array, one aggregation by
     (chart, label) with partial sums follows, and only its result is ranked. Period and
     weekday go by their own order, others by count, then label.
     """
-    categories = F.transform(buckets(), lambda b: _entry("category", b))
-    records = F.flatten(F.transform("records", _record_entries))
-    each = features.select(F.explode(F.concat(F.array(*_feature_entries()), categories, records)).alias("x"))
+    if not names or not {*names} <= {*CHARTS}:
+        raise ValueError(f"no such charts: {names}")
+    own = _feature_entries(names)
+    parts = [F.array(*own)] if own else []
+    if "category" in names:
+        parts.append(F.transform(buckets(), lambda b: _entry("category", b)))
+    if {*names} & {*CHARTS[CHARTS.index("record_type"):]}:
+        parts.append(F.flatten(F.transform("records", lambda r: _record_entries(r, names))))
+    each = features.select(F.explode(F.concat(*parts)).alias("x"))
     counted = each.groupBy("x.chart", "x.label", "x.sort").agg(F.count(F.lit(1)).alias("count"), F.sum("x.amount").alias("amount"))
     order = Window.partitionBy("chart").orderBy(F.coalesce("sort", F.lit(0)), F.when(F.col("sort").isNull(), -F.col("count")).otherwise(0), "label")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("chart", "rank", "label", "count", "amount")
 
 
 def chart(features: DataFrame, name: str) -> DataFrame:
-    """O-8.8 to O-8.19: one of the twelve charts by its name."""
-    return all_charts(features).where(F.col("chart") == name).drop("chart").orderBy("rank")
+    """O-8.8 to O-8.19: one of the twelve charts by its name; no other is made."""
+    return all_charts(features, names=(name,)).drop("chart").orderBy("rank")
 
 
 def merge_arrays(a: Column, b: Column) -> Column:

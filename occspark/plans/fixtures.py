@@ -66,9 +66,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_to(spark: SparkSession) -> int:
+    """Partitions that costly rows are dealt to: several for each core, so that no core waits for the last."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(32, 2 * spark.sparkContext.defaultParallelism))
+
+
 def _select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    # a file is read by as many tasks as it has row groups, and each row costs much: the few columns are dealt anew first
-    events = load(spark, sf_dir, "events").select("event_id", "event_type", "ts").repartition("event_id")
+    # a file is read by as many tasks as it has row groups, and each row costs much: the few columns are dealt anew first,
+    # to a given number of tasks, as Spark would join the small partitions into about one for each core
+    events = load(spark, sf_dir, "events").select("event_id", "event_type", "ts").repartition(dealt_to(spark), "event_id")
     return spark.sql(sql.replace("FROM events", "FROM {events}"), events=events)
 
 
@@ -94,7 +100,7 @@ def coroner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(spark, sf_dir, CORONER_SQL)
 
 
-def search_features(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES) -> DataFrame:
-    """Merged features of the tables with their search columns."""
+def search_features(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Merged features of the tables with their search columns, and of their structs some fields alone if they are named."""
     raw = raw_tables(spark, sf_dir)
-    return FE.derive_search_columns(FE.build_features({t: raw[t] for t in tables}))
+    return FE.derive_search_columns(FE.build_features({t: raw[t] for t in tables}, None if fields is None else (*FE.SEARCHED, *fields)))

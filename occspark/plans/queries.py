@@ -322,7 +322,7 @@ def other_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weapon_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-8.18."""
-    return ST.chart(FE.derive_search_columns(FE.build_features(FX.other_tables(spark, sf_dir))), "weapon_type").select("rank", "label", "count")
+    return ST.chart(FE.derive_search_columns(FE.build_features(FX.other_tables(spark, sf_dir), (*FE.SEARCHED, "record.tipo_arma", "record.calibre"))), "weapon_type").select("rank", "label", "count")
 
 def upsert_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-6.14: of features of all tables, three tables come anew, each with the rows of every other report alone."""

@@ -155,3 +155,30 @@ def test_features_of_rows_need_one_aggregation(spark):
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, stepwise.collect()))
     plan = lambda features: features._jdf.queryExecution().executedPlan().toString()
     assert plan(FE.build_features({"celulares_2024": df})).count("ObjectHashAggregate") == 2 < plan(stepwise).count("ObjectHashAggregate")
+
+
+def test_features_of_some_fields_and_one_chart(tables, built):
+    few = FE.build_features(tables, (*FE.SEARCHED, "record.marca"))
+    assert few.schema["occurrence"].dataType.names == ["hora_ocorrencia", "periodo"] and "location" not in few.columns
+    assert {*few.schema["records"].dataType.elementType.names} == {"type", "source_table", "rubrica", "marca"}
+    whole = FE.build_features(tables)
+    plain = lambda df: [tuple(r) for r in df.select(*R.KEY, "category", "data_ocorrencia", "occurrence.periodo", "all_rubricas", "source_tables", "summary", F.transform("records", lambda r: r["marca"])).orderBy(*R.KEY).collect()]
+    assert plain(few) == plain(whole)
+    with pytest.raises(ValueError):
+        FE.build_features(tables, ("record.nothing",))
+    phones = ST.chart(built, "phone_brand")
+    assert "drug_type" not in phones._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(ValueError):
+        ST.chart(built, "nothing")
+
+
+def test_costly_rows_are_dealt_to_several_tasks_a_core(spark):
+    from occspark.plans import fixtures as FX
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert FX.dealt_to(spark) == 32
+        assert FX.noisy(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
