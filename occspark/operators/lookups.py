@@ -16,6 +16,12 @@ from .records import KEY
 # The columns that filters and counts read.
 _COUNTED = ("category", "all_rubricas", "search_categories", "data_ocorrencia", "periodo_normalized", "hora_ocorrencia", "latitude", "longitude")
 
+# Where the columns of O-9.6 come from.
+_OF = {"hora_ocorrencia": "occurrence.hora_ocorrencia", "data_registro": "occurrence.data_registro", "logradouro": "location.logradouro", "numero_logradouro": "location.numero", "bairro": "location.bairro", "cidade": "location.cidade",
+       "local_tipo": "location.tipo_local", "periodo": "occurrence.periodo", "conduta": "occurrence.conduta", "natureza_apurada": "occurrence.natureza_apurada"}
+#: What grouped_occurrences reads of structs.
+GROUPED = (*_OF.values(), "occurrence.delegacia", "record.source_id")
+
 
 def entry_time(c: Column) -> Column:
     """A coroner's entry date and time: day first with time, day first, or ISO."""
@@ -70,15 +76,13 @@ def grouped_occurrences(features: DataFrame) -> DataFrame:
 
     The columns from primary_category on are those of the report that the row belongs to.
     """
-    of = {"hora_ocorrencia": "occurrence.hora_ocorrencia", "data_registro": "occurrence.data_registro", "logradouro": "location.logradouro", "numero_logradouro": "location.numero", "bairro": "location.bairro", "cidade": "location.cidade",
-          "local_tipo": "location.tipo_local", "periodo": "occurrence.periodo", "conduta": "occurrence.conduta", "natureza_apurada": "occurrence.natureza_apurada"}
     first_table = F.coalesce(F.get("source_tables", F.lit(0)), F.lit("unknown"))
-    rows = features.select(*KEY, "latitude", "longitude", "category", "rubrica_for_styling", "data_ocorrencia", "source_tables", *[F.col(c).alias(n) for n, c in of.items()], F.coalesce("occurrence.delegacia", "delegacia").alias("unit"), "all_rubricas",
+    rows = features.select(*KEY, "latitude", "longitude", "category", "rubrica_for_styling", "data_ocorrencia", "source_tables", *[F.col(c).alias(n) for n, c in _OF.items()], F.coalesce("occurrence.delegacia", "delegacia").alias("unit"), "all_rubricas",
                            F.greatest(F.coalesce("total_records", F.lit(0)), F.lit(1)).alias("record_count"), F.explode_outer("records").alias("r"))
     known = F.col("r").isNotNull()
     alone = F.concat_ws(":", F.lit("map_features"), F.col("num_bo"), F.col("ano_bo").cast("string"), F.col("location_hash"))
     return rows.select(F.when(known, F.concat_ws(":", "r.source_table", F.col("r.source_id").cast("string"))).otherwise(alone).alias("occurrence_id"), F.when(known, F.col("r.source_table")).otherwise(first_table).alias("source_table"), "num_bo", "ano_bo", "location_hash",
-                       F.coalesce(F.nullif("r.rubrica", F.lit("")), "category").alias("category"), "rubrica_for_styling", "latitude", "longitude", "data_ocorrencia", *of, F.col("unit").alias("delegacia"), V.record_type_label("r.type").alias("record_label"),
+                       F.coalesce(F.nullif("r.rubrica", F.lit("")), "category").alias("category"), "rubrica_for_styling", "latitude", "longitude", "data_ocorrencia", *_OF, F.col("unit").alias("delegacia"), V.record_type_label("r.type").alias("record_label"),
                        F.col("category").alias("primary_category"), F.when(F.size("all_rubricas") > 0, F.col("all_rubricas")).otherwise(F.array("category")).alias("all_categories"), "source_tables", "record_count")
 
 

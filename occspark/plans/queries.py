@@ -143,7 +143,7 @@ def by_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouped_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-9.6."""
-    g = LO.grouped_occurrences(FX.search_features(spark, sf_dir))
+    g = LO.grouped_occurrences(FX.search_features(spark, sf_dir, fields=LO.GROUPED))
     plain = [c for c in g.columns if c not in ("data_ocorrencia", "latitude", "longitude", "all_categories", "source_tables", "delegacia")]
     return g.select(*plain, F.coalesce("delegacia", F.lit("")).alias("delegacia"), _text_date(F.col("data_ocorrencia")).alias("data_ocorrencia"), F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), F.array_join("all_categories", "|").alias("all_categories"), F.array_join("source_tables", "|").alias("source_tables"))
 
