@@ -48,6 +48,9 @@ def flat(features: DataFrame) -> DataFrame:
                            _text_date(F.col("data_ocorrencia")).alias("data_ocorrencia"), join("source_tables").alias("source_tables"), join("all_rubricas").alias("all_rubricas"), F.col("summary.total_records").alias("total_records"), F.col("summary.celulares_count").alias("celulares_count"), F.col("summary.produtividade_count").alias("produtividade_count"),
                            join(F.transform("records", lambda r: F.concat_ws(":", r["source_table"], r["source_id"].cast("string")))).alias("records"), F.col("location.tipo_local").alias("tipo_local"), F.col("occurrence.periodo").alias("periodo"))
 
+#: What flat reads of structs.
+FLAT = ("record.source_id", "location.tipo_local", "occurrence.periodo")
+
 def _flat_query(tables: tuple[str, ...]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = FX.raw_tables(spark, sf_dir)
@@ -65,7 +68,7 @@ def group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-6.12."""
     raw = FX.raw_tables(spark, sf_dir)
-    return flat(FE.remove_source_table(FE.build_features(raw), "objetos_2024"))
+    return flat(FE.remove_source_table(FE.build_features(raw, FLAT), "objetos_2024"))
 
 def upsert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-6.13, O-6.14: tables that come one after another, in the order of their names."""
