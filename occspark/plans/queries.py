@@ -85,9 +85,9 @@ def search_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-6.19: features whose records of one table were lost get them back."""
     raw = FX.raw_tables(spark, sf_dir)
-    features = FE.build_features(raw)
+    features = FE.build_features(raw, ())
     lost = features.withColumn("records", F.filter("records", lambda r: r["source_table"] != "veiculos_2024"))
-    got = FE.hydrate_missing_records(lost, R.source_rows(raw["veiculos_2024"], "veiculos_2024"))
+    got = FE.hydrate_missing_records(lost, FE.narrowed(R.source_rows(raw["veiculos_2024"], "veiculos_2024"), ()))
     return got.select("num_bo", F.coalesce("delegacia", F.lit("")).alias("delegacia"), "location_hash", F.col("summary.total_records").alias("total_records"), F.col("summary.veiculos_count").alias("veiculos_count"))
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
