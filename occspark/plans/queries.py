@@ -103,7 +103,7 @@ def etl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _count(name: str, condition) -> DataFrame:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = FX.search_features(spark, sf_dir)
+        f = FX.search_features(spark, sf_dir, fields=())
         return f.where(condition()).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
 
     run.__doc__ = name
