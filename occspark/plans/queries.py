@@ -123,7 +123,7 @@ def period_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_period_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-8.5."""
-    return ST.category_period_stats(FX.search_features(spark, sf_dir), WHERE)
+    return ST.category_period_stats(FX.search_features(spark, sf_dir, fields=()), WHERE)
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-8.6, O-8.7."""
