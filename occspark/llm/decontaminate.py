@@ -8,8 +8,9 @@ Every window of a text, at every word, is embedded so for every length that item
 that agree with an item in the sampled places of any repeat are its only candidates. Then
 the exact word edit distance decides.
 
-A walk doesn't depend on how long its window is, so all lengths share it, and four steps are
-taken at once by looking ahead. Items of more than PIECE words are looked for by pieces: of an
+A walk doesn't depend on how long its window is, so all lengths share it. It doesn't depend on
+where it came from either: windows whose walks have met share all that follows, so a text is
+walked by what comes to each word, not by windows. Items of more than PIECE words are looked for by pieces: of an
 item with few edits, some piece has no more than its share of them.
 """
 
@@ -50,8 +51,9 @@ LENGTH_STEP = 1.5
 #: UTF-8 bytes of items that one block, and so one broadcast, holds at most (an item is whole in one).
 BLOCK_ITEM_BYTES = 16 << 20
 _PAD = np.uint64(0)
+#: Repeats sample at multiples of so many steps, so that they can share lookups.
 _STRIDE = 4
-#: Places that a walk can get beyond the last word.
+#: Places that a walk can get beyond the last word (under 256: see all_signatures).
 _BEYOND = 2 * PIECE + 2 * _STRIDE
 _SLOTS = 16
 #: Cells of hits x words looked at together.
@@ -88,58 +90,97 @@ def first_place(length: int, repeat: int) -> int:
     return 0 if length < 1 / EDIT_SHARE else int(_WHERE[repeat] * max(0, span)) // _STRIDE * _STRIDE
 
 
-def _ahead(x: np.ndarray, by: int) -> np.ndarray:
-    out = np.zeros_like(x)
-    out[:-by] = x[by:]
-    return out
-
-
-def _moves(planes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far two and four steps lead from each word: bits are looked up at the words that they lead over."""
-    bit = [(planes[(step + k) % 64 // 8] >> np.uint8((step + k) % 8)) & np.uint8(1) for k in range(_STRIDE)]
-    two, next_two = (a + (b ^ ((b ^ _ahead(b, 1)) & a)) for a, b in (bit[:2], bit[2:]))
-    one, both = np.negative(two & np.uint8(1)), np.negative(two >> np.uint8(1))
-    return two, two + ((next_two & ~(one | both)) | (_ahead(next_two, 1) & one) | (_ahead(next_two, 2) & both))
-
-
-def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray | None = None) -> Iterator[tuple[tuple[int, int, int], np.ndarray, tuple[np.ndarray, ...]]]:
-    """((walk, step, number of places), signature, places) of the windows from each start, by default from every word.
-
-    ``lengths`` are length classes; repeats and classes that sample a walk at one step share
-    what they sample. places: the words that the walk is on at the sampled places. Behind the
-    words everything is padding.
-    """
-    padded = np.concatenate([words, np.full(_BEYOND + 2, _PAD)])
-    mixed = [kernels.mix(padded + np.uint64(k + 1)) * np.uint64(2 * k + 3) for k in range(PLACES)]
-    begin = np.arange(len(words)) if starts is None else np.asarray(starts, np.int64)
+def _sampled(lengths: list[int]) -> Iterator[tuple[int, dict[int, set[int]]]]:
+    """(walk, step -> numbers of places) for some length classes; repeats and classes that sample a walk at one step share what they sample."""
     for walk in range(WALKS + REPEATS):
         wanted: dict[int, set[int]] = {}
         for repeat in range(walk, REPEATS, WALKS) if walk < WALKS else [walk - WALKS]:
             for length in lengths:
                 if (length < OWN_WALKS) == (walk >= WALKS):
                     wanted.setdefault(first_place(length, repeat), set()).add(1 if length == 1 else 2 if length < SHORT else PLACES)
-        if not wanted:
-            continue
-        at, begun = begin, None
-        for step in range(0, max(wanted, default=-1) + 2 * _STRIDE, _STRIDE):
-            if begun:  # the third place is the one after four steps
-                key, signature, places = begun
-                yield key, signature + mixed[2].take(at), (*places, at)
-                begun = None
+        if wanted:
+            yield walk, wanted
+
+
+def _bits(padded: np.ndarray, walk: int, step: int) -> np.ndarray:
+    """A random bit of each word for 64 steps of a walk."""
+    return kernels.mix(padded * _ODD[walk, step // 64])
+
+
+def _moved(at: np.ndarray, bits: np.ndarray, step: int) -> np.ndarray:
+    return at + ((bits.take(at) >> np.uint64(step % 64)) & np.uint64(1)).view(np.int64)
+
+
+def _places(at: np.ndarray, bits: np.ndarray, mixed: list[np.ndarray], step: int, numbers: set[int]) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
+    """(number of places, signature, places) of walks that are on the words ``at``: the first place, then one each GAP steps."""
+    places, signature = (at,), mixed[0].take(at)
+    for number in range(1, max(numbers) + 1):
+        if number > 1:
+            for k in range(GAP):
+                at = _moved(at, bits, step + GAP * (number - 2) + k)
+            places, signature = (*places, at), signature + mixed[number - 1].take(at)
+        if number in numbers:
+            yield number, signature, places
+
+
+def _padded(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the words and padding behind, on which walks stay; what each word adds to a signature at each place)"""
+    padded = np.append(words, np.full(2, _PAD))
+    return padded, [kernels.mix(padded + np.uint64(k + 1)) * np.uint64(2 * k + 3) for k in range(PLACES)]
+
+
+def signatures(words: np.ndarray, lengths: list[int], starts: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray, tuple[np.ndarray, ...]]]:
+    """((walk, step, number of places), signature, places) of the windows from each start.
+
+    ``lengths`` are length classes. places: the words that the walk is on at the sampled
+    places. Behind the words everything is padding.
+    """
+    padded, mixed = _padded(words)
+    for walk, wanted in _sampled(lengths):
+        at = np.asarray(starts, np.int64)
+        for step in range(max(wanted) + 1):
             if step % 64 == 0:
-                bits = kernels.mix(padded * _ODD[walk, step // 64])
-                planes = np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 8).T)
-            two, four = _moves(planes, step)
+                bits = _bits(padded, walk, step)
             if step in wanted:
-                first, half = mixed[0].take(at), at + two.take(at)
-                both = first + mixed[1].take(half)
-                if 1 in wanted[step]:
-                    yield (walk, step, 1), first, (at,)
-                if 2 in wanted[step]:
-                    yield (walk, step, 2), both, (at, half)
-                if PLACES in wanted[step]:
-                    begun = (walk, step, PLACES), both, (at, half)
-            at = at + four.take(at)
+                for number, signature, places in _places(at, bits, mixed, step, wanted[step]):
+                    yield (walk, step, number), signature, places
+            at = _moved(at, bits, step)
+
+
+def _slot(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - _SLOTS)).view(np.int64)
+
+
+def all_signatures(words: np.ndarray, lengths: list[int], first: dict[tuple[int, int], np.ndarray]) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """((walk, step, number of places), signature, first place, behind) of the windows from every word, each place once.
+
+    first: (walk, step) -> the slots of words that can be first places; others are left out.
+    Walks from neighbouring words soon meet, and then go on as one. behind: how far before
+    each word the first window starts whose walk has come to it or beyond, so that of word p
+    the windows start from p - behind[p] until p + 1 - behind[p + 1]; the next step changes it.
+    """
+    padded, mixed = _padded(words)
+    slot = _slot(padded)
+    for walk, wanted in _sampled(lengths):
+        behind = np.zeros(len(padded), np.uint8)
+        behind[-1] = 1  # no window starts at the padding
+        apart, move = np.empty_like(behind[1:]), np.empty_like(behind[1:])
+        for step in range(max(wanted) + 1):
+            if step % 64 == 0:
+                bits = _bits(padded, walk, step)
+                planes = np.ascontiguousarray(bits[:-1].view(np.uint8).reshape(-1, 8).T)
+            if step in wanted:
+                at = np.flatnonzero(behind[1:] <= behind[:-1])
+                at = at[first[walk, step].take(slot.take(at))]
+                for number, signature, _ in _places(at, bits, mixed, step, wanted[step]):
+                    yield (walk, step, number), signature, at, behind
+            # those who come to a word are those who were there, or one before and move
+            np.right_shift(planes[step % 64 // 8], np.uint8(step % 8), out=move)
+            np.bitwise_and(move, np.uint8(1), out=move)
+            np.subtract(behind[:-1], behind[1:], out=apart)
+            np.add(apart, np.uint8(1), out=apart)
+            np.multiply(apart, move, out=apart)
+            behind[1:] += apart
 
 
 @dataclass(frozen=True)
@@ -147,8 +188,9 @@ class Items:
     """Benchmark items of one block: words, allowed edits, and the signature tables of their pieces.
 
     runs, grams: the length of the word runs that survivors are counted by, and each item's.
-    lengths: the length classes of the pieces. tables: (walk, step, places) -> (which slots are
-    taken, sorted signatures, their pieces).
+    lengths: the length classes of the pieces. first: (walk, step) -> which slots of words are
+    taken by first places. tables: (walk, step, places) -> (which slots are taken, sorted
+    signatures, their pieces).
     """
 
     ids: list
@@ -159,6 +201,7 @@ class Items:
     item: np.ndarray
     offset: np.ndarray
     lengths: list[int]
+    first: dict[tuple[int, int], np.ndarray]
     tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -182,40 +225,50 @@ def prepare(rows: list[tuple[object, str | None]], share: float = EDIT_SHARE) ->
     own = np.array([length_class(int(n)) for n in size], np.int64)
     lengths = sorted(set(own.tolist()))
     sampled: dict[tuple[int, int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    first_slots = {(walk, step): np.zeros(1 << _SLOTS, bool) for walk, wanted in _sampled(lengths) for step in wanted}
     gap = np.full(_BEYOND, _PAD)
     for length in lengths:
         of = np.flatnonzero(own == length)
         parts = [np.concatenate([words[item[p]][offset[p] : offset[p] + size[p]], gap]) for p in of]
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-        drawn = list(signatures(np.concatenate(parts), [length], starts))
+        laid = np.concatenate(parts)
+        drawn = list(signatures(laid, [length], starts))
         # a walk that runs out of its piece says nothing, and one that stays on a word little
         inside = [places[-1] < starts + size[of] for _, _, places in drawn]
         apart = [np.logical_and.reduce([a < b for a, b in zip(places, places[1:], strict=False)] or [np.ones(len(of), bool)]) & x for x, (_, _, places) in zip(inside, drawn, strict=True)]
         few = np.sum(apart, 0) < LEAST_REPEATS
-        for (key, signature, _), x, y in zip(drawn, inside, apart, strict=True):
+        for (key, signature, places), x, y in zip(drawn, inside, apart, strict=True):
             told = np.flatnonzero(np.where(few, x, y))
+            first_slots[key[:2]][_slot(laid[places[0][told]])] = True
             sampled.setdefault(key, []).append((signature[told], of[told]))
     tables = {}
     for key, parts in sampled.items():
         signature, piece = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         order = np.argsort(signature, kind="stable")
         taken = np.zeros(1 << _SLOTS, bool)
-        taken[signature >> np.uint64(64 - _SLOTS)] = True
+        taken[_slot(signature)] = True
         tables[key] = (taken, signature[order], piece[order])
-    return Items(ids, words, edits, runs, [np.unique(_runs(w, int(q))) for w, q in zip(words, runs, strict=True)], item, offset, lengths, tables)
+    return Items(ids, words, edits, runs, [np.unique(_runs(w, int(q))) for w, q in zip(words, runs, strict=True)], item, offset, lengths, first_slots, tables)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def hits(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(item, where it would start) of every window that agrees with an item in some repeat's places, each once."""
     found = [np.empty((0, 2), np.int64)]
     held = 0
-    for key, signature, _ in signatures(words, items.lengths):
+    for key, signature, at, behind in all_signatures(words, items.lengths, items.first):
         taken, known, piece = items.tables[key]
-        near = np.flatnonzero(taken.take((signature >> np.uint64(64 - _SLOTS)).view(np.int64)))
+        near = np.flatnonzero(taken.take(_slot(signature)))
         low, high = np.searchsorted(known, signature[near], "left"), np.searchsorted(known, signature[near], "right")
-        count = high - low
-        which = piece[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        found.append(np.stack([items.item[which], np.repeat(near, count) - items.offset[which]], 1))
+        told = np.repeat(at[near], high - low)
+        first = told - behind[told]
+        many = told + 1 - behind[told + 1] - first
+        which = np.repeat(piece[_ranges(low, high - low)], many)
+        found.append(np.stack([items.item[which], _ranges(first, many) - items.offset[which]], 1))
         held += len(which)
         if held > _HELD:  # repeats find the same hits again
             found = [np.unique(np.concatenate(found), axis=0)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,47 @@ def test_pairs_of_words_keep_the_hits_of_short_items_few():
     assert len(item) <= 0.1 * 500 * 4_000
 
 
+class Counted:
+    """The taken slots of a table, and how many windows were looked up in them."""
+
+    def __init__(self, taken):
+        self.taken, self.asked = taken, 0
+
+    def take(self, slots):
+        self.asked += len(slots)
+        return self.taken.take(slots)
+
+
+def test_windows_whose_walks_have_met_are_looked_up_once():
+    dice = random.Random(36)
+    vocabulary = [f"w{k}" for k in range(3_000)]
+    items = [" ".join(dice.choices(vocabulary, k=dice.randrange(15, 60))) for _ in range(100)]
+    known = decontaminate.prepare(list(enumerate(items)))
+    hashed, _ = decontaminate.kernels.hash_words([" ".join([*dice.choices(vocabulary, k=4_000), *items]).encode()], strip_punctuation=True)
+    counted = dataclasses.replace(known, tables={key: (Counted(table[0]), *table[1:]) for key, table in known.tables.items()})
+    item, start = decontaminate.hits(hashed, counted)
+    assert set(item) == set(range(100)) and set(zip(*map(np.ndarray.tolist, decontaminate.hits(hashed, known)), strict=True)) == set(zip(item.tolist(), start.tolist(), strict=True))
+    assert sum(table[0].asked for table in counted.tables.values()) <= 0.4 * len(hashed) * len(known.tables)
+
+
+@pytest.mark.parametrize("words", [1, 2, 20, 500])
+def test_hits_are_those_of_each_window_walked_alone(words):
+    dice = random.Random(37 + words)
+    vocabulary = [f"w{k}" for k in range(words)]
+    items = [" ".join(dice.choices(vocabulary, k=k)) for k in (1, 4, 6, 7, 8, 11, 12, 17, 18, 30, 64, 150)]
+    known = decontaminate.prepare(list(enumerate(items)))
+    hashed, _ = decontaminate.kernels.hash_words([" ".join([*dice.choices(vocabulary, k=100), *items, *dice.choices(vocabulary, k=100)]).encode()], strip_punctuation=True)
+    want = set()
+    for key, signature, _ in decontaminate.signatures(hashed, known.lengths, np.arange(len(hashed))):
+        _, sorted_signatures, piece = known.tables[key]
+        pieces: dict[int, list[int]] = {}
+        for s, p in zip(sorted_signatures.tolist(), piece.tolist(), strict=True):
+            pieces.setdefault(s, []).append(p)
+        want |= {(int(known.item[p]), k - int(known.offset[p])) for k, s in enumerate(signature.tolist()) for p in pieces.get(s, [])}
+    item, start = decontaminate.hits(hashed, known)
+    assert len(item) == len(want) and set(zip(item.tolist(), start.tolist(), strict=True)) == want
+
+
 def test_columns_of_any_name_pass_the_pipeline_filters(spark, tmp_path):
     dice = random.Random(35)
     odd = ["row_key", "_row_key", "rejected_row", "row_path", "row_place", "Row_File", "row_known", "_row", "_of", "_at", "_path", "_file", "_metadata", "member", "component", "fp", "moved_fp"]
